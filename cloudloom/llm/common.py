@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import scratch_path, shared_dir, stored
+
+__all__ = ["scratch_path", "shared_dir", "stored"]
+
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,44 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it; where that is unset (tests), a folder in
-    the warehouse is used and set.
-    """
-    sc = spark.sparkContext
-    held = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    sc.setCheckpointDir(own)
-    return own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path.rpartition("/")[0])
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended: the folder stays for the cluster's own cleaning
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def column_free(df: DataFrame, name: str) -> str:
     """``name``, or with underscores after it if a column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, secret_scan
+from . import exact_dedup, line_dedup, secret_scan, simhash
 from .common import table
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -25,7 +30,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op7_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op5_secret_scan, op7_exact_dedup, op10_line_dedup)}
 
 _ASSIGN, _ACCESS, _HEX = (r.pattern.replace("'", "''") for r in secret_scan.RULES)
 
