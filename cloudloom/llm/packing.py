@@ -62,13 +62,16 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, eta: floa
     configuration for ``share`` of the count of its scarcest length, one sequence at least.
     """
     left, size, uses = counts.astype(float), lengths / capacity, {}
+    draw = np.random.default_rng(42)
     while True:
         live = np.flatnonzero(left > 1e-9)
         if not len(live):
             return [(dict(c), x) for c, x in uses.items()]
         prices = size[live] * np.exp(eta * left[live] / counts[live])
-        if len(live) > PRICED:  # partial pricing: the lengths of the highest price a token
-            live, prices = (x[np.argpartition(-prices / size[live], PRICED)[:PRICED]] for x in (live, prices))
+        if len(live) > PRICED:  # partial pricing: the lengths of the highest price a token, and others by lot
+            by_price = np.argpartition(-prices / size[live], PRICED // 3)
+            some = np.concatenate([by_price[: PRICED // 3], draw.choice(by_price[PRICED // 3 :], PRICED - PRICED // 3, replace=False)])
+            live, prices = live[some], prices[some]
         got = best_configuration(lengths[live], np.ceil(left[live]), prices, capacity)
         config = {int(live[i]): n for i, n in got.items()}
         step = min(max(1.0, share * counts[i] / n) for i, n in config.items())
@@ -96,7 +99,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, ...]]:
     return [tuple(b) for b in bins]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, eta: float = 1.0, share: float = 1.0, rounds: int = 4) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, eta: float = 0.3, share: float = 1.0, rounds: int = 4) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of a sequence, number of such sequences)] that hold each length as often as ``histogram`` says."""
     left = {k: n for k, n in histogram.items() if n > 0}
     runs: Counter[tuple[int, ...]] = Counter()

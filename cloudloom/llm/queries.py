@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, secret_scan, simhash
-from .common import table
+from . import exact_dedup, line_dedup, packing, secret_scan, simhash, tokens
+from .common import scratch_path, table
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +20,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -21,6 +31,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(r.kind) for r in secret_scan.RULES), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokens.write_files(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), tokenizer_path())
+    return tokens.read_documents(files, tokens.crc_of, "doc_id long, start long, n_tokens long, value long").withColumnRenamed("value", "ids_crc32")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
 
@@ -30,7 +45,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op5_secret_scan, op7_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_best_fit_packing, op5_secret_scan, op6_token_files, op7_exact_dedup, op10_line_dedup)}
 
 _ASSIGN, _ACCESS, _HEX = (r.pattern.replace("'", "''") for r in secret_scan.RULES)
 

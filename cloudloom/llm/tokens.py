@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-CACHE = 250_000  # pieces, and pre-tokens, that a worker remembers
+CACHE = 350_000  # pieces, and pre-tokens, that a worker remembers
 SEQUENCE, BATCH = 2048, 64
 
 # Fixed value: the byte-level pre-tokenizer's published pattern.
@@ -36,11 +37,10 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the pre
 _encoders: dict[str, Encoder] = {}
 
 
-def _byte_names() -> list[str]:
+def _byte_names() -> dict[int, int]:
     """The letters by which a byte-level vocabulary writes bytes: visible Latin-1 is itself, the others follow 255 in order."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(visible)]
-    return [chr(b) if b in set(visible) else chr(256 + others.index(b)) for b in range(256)]
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in visible)}
 
 
 class _Pretokens(dict):
@@ -50,8 +50,8 @@ class _Pretokens(dict):
         self.model, self.names = model, _byte_names()
 
     def __missing__(self, token: str) -> bytes:
-        names = self.names
-        ids = np.asarray([t.id for t in self.model.tokenize("".join([names[b] for b in token.encode()]))], "<u4").tobytes()
+        named = token.encode().decode("latin-1").translate(self.names)
+        ids = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
         if len(self) < CACHE:
             self[token] = ids
         return ids
