@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, secret_scan, simhash, tokens
-from .common import scratch_path, table
+from . import ann, exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash, tokens
+from .common import held_out, scratch_path, table
 
 
 def tokenizer_path() -> str:
@@ -15,6 +15,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, ~held_out(F.col("doc_id")))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
@@ -24,6 +31,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -40,12 +52,41 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
 
 
+# The target weights of the mixture; nodes without one weigh 1.
+MIXTURE = {
+    ("domain0",): 5, ("domain1",): 3, ("domain2",): 2,
+    ("*", "en"): 6, ("*", "de"): 2, ("*", "fr"): 2, ("*", "es"): 1,
+}
+BUDGET_SHARE, MAX_EPOCHS, SEED = 0.75, 3, 42
+
+
+def domain_of():
+    """Sources are dealt to three domains by their number; the others are domain3."""
+    number = F.regexp_extract("source", "^src([0-9]{1,9})$", 1)
+    return F.when(F.length(number) > 0, F.concat(F.lit("domain"), (F.try_to_number(number, F.lit("999999999")).cast("long") % 3).cast("string"))).otherwise("domain3")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs, MIXTURE, domain_of(), BUDGET_SHARE, MAX_EPOCHS, SEED)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "epoch", "domain", "lang", "source", "tokens")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_best_fit_packing, op5_secret_scan, op6_token_files, op7_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_secret_scan, op6_token_files, op7_exact_dedup, op8_mixing, op9_quality, op10_line_dedup)}
 
 _ASSIGN, _ACCESS, _HEX = (r.pattern.replace("'", "''") for r in secret_scan.RULES)
 
@@ -61,6 +102,42 @@ def _sql_spans(kind: str, rank: int, pattern: str, group: int, least: int) -> st
     from d)) where tested[i] >= {least}"""
 
 
+def _shared_out(name: str, above: str, keys: str, last: str, weight: str) -> str:
+    """CTEs that share the budgets of ``above`` among the nodes of ``name``."""
+    on = f"join {above}_b using ({keys})" if keys else f"cross join {above}_b"
+    part = f"partition by {keys}" if keys else ""
+    return f"""
+{name}_w as (select n.*, {weight} as weight, up.budget as budget_up from {name} n {on.replace(above + "_b", above + "_b up")}),
+{name}_l as (select *, budget_up - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0) as left_,
+  sum(weight) over (o rows between current row and unbounded following) as heavy_
+  from {name}_w window o as ({part} order by cap::double / weight::double, {last})),
+{name}_f as (select *, cap::hugeint * heavy_::hugeint <= weight::hugeint * left_::hugeint as full_ from {name}_l),
+{name}_k as (select *, budget_up - coalesce(sum(case when full_ then cap end) over ({part}), 0) as kept_,
+  sum(case when not full_ then weight end) over ({part}) as open_ from {name}_f),
+{name}_b as (select * exclude (weight, budget_up, left_, heavy_, full_, kept_, open_),
+  case when full_ then cap else ((weight::hugeint * kept_::hugeint) // open_::hugeint)::bigint end as budget from {name}_k)"""
+
+
+def _mixing_sql() -> str:
+    case = lambda k, at: "case " + " ".join(f"when {at} = '{p[-1]}' then {w}" for p, w in MIXTURE.items() if len(p) == k) + " else 1 end"
+    return rf"""
+with d as (select doc_id, lang, source, coalesce('domain' || (nullif(regexp_extract(source, '^src([0-9]{{1,9}})$', 1), '')::bigint % 3), 'domain3') as d,
+  coalesce(lang, '') as l, coalesce(source, '') as s, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) + 1 as n from documents),
+leaf as (select d, l, s, sum(n)::bigint as tokens, (sum(n) * {MAX_EPOCHS})::bigint as cap from d group by all),
+lang_ as (select d, l, sum(cap)::bigint as cap from leaf group by all),
+dom as (select d, sum(cap)::bigint as cap from lang_ group by all),
+root_b as (select least(floor(sum(tokens) * {BUDGET_SHARE}::double)::bigint, sum(cap)::bigint) as budget from leaf),
+{_shared_out("dom", "root", "", "d", case(1, "d"))},
+{_shared_out("lang_", "dom", "d", "l", case(2, "l")).replace("n.*", "n.*", 1)},
+{_shared_out("leaf", "lang_", "d, l", "s", "1")},
+e as (select *, budget // tokens as epochs, budget % tokens as rest from leaf_b),
+o as (select d.*, e.epochs, e.rest, md5('{SEED}:' || e.epochs || ':' || d.doc_id) as key from d join e using (d, l, s)),
+c as (select *, sum(n) over (partition by d, l, s order by key range between unbounded preceding and current row) as upto from o),
+t as (select *, epochs + (upto <= rest)::bigint as times from c)
+select doc_id, unnest(range(times))::int as epoch, d as domain, lang, source, n::bigint as tokens from t where times > 0"""
+
+
 SQL = {
     "op5_secret_scan": f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
@@ -75,6 +152,7 @@ with d as (select doc_id, coalesce(length(text), 0) as cp, sha256(regexp_replace
 r as (select *, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size from d
       window w as (partition by text_sha256 order by cp desc, doc_id nulls last))
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from r""",
+    "op8_mixing": _mixing_sql(),
     "op10_line_dedup": f"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 l as (select doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as pos from d),
