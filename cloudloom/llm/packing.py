@@ -149,10 +149,11 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
 
     def run(parts):
         enc = encoder(tokenizer)
-        for batch in batches(parts):
+        for batch in batches(parts, most=6 << 20):
             rows = []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(np.frombuffer(enc.one(t or ""), "<u4"), np.uint32(end_id))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, got in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
+                ids = np.append(got, np.uint32(end_id))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((doc, k, a, b - a, crc_of(ids[a:b]), ids[a:b]))

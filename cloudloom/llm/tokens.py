@@ -22,16 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-CACHE = 350_000  # pieces, and pre-tokens, that a worker remembers
+CACHE = 400_000  # pieces, and pre-tokens, that a worker remembers
 SEQUENCE, BATCH = 2048, 64
 
 # Fixed value: the byte-level pre-tokenizer's published pattern.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+MARKS = ".,;:!?|#$%&*"
+BEGIN = "\x01"  # before a text's first part; texts that hold it take another way
 _PIECE = re.compile(r"\s*\S+|\s+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the pre-tokenizer
 _encoders: dict[str, Encoder] = {}
@@ -64,14 +67,14 @@ class _Parts(dict):
         self.encoder = encoder
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.encoder.piece(part if part[0] == "\n" else " " + part)
+        ids = self.encoder.part(part)
         if len(self) < CACHE:
             self[part] = ids
         return ids
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as unsigned 32-bit arrays."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,19 +90,48 @@ class Encoder:
     def piece(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.split(text)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.one(t) for t in texts]
-
-    def one(self, text: str) -> bytes:
-        parts = text.replace("\n", " \n").split(" ")
-        if "" not in parts and len(text.split()) == len(parts) and not any(map(str.isspace, parts)):
-            first, *rest = parts
-            return self.piece(first) + b"".join(map(self.parts.__getitem__, rest))
-        if not text:
-            return b""
+    def part(self, part: str) -> bytes:
+        """Ids of a part with its space, or of a text's first part; letters and common marks need no pattern."""
+        lead, core = (part[0], part[1:]) if part[0] in BEGIN + "\n" else (" ", part)
+        word = core.rstrip(MARKS)
+        if not word.isalpha():
+            return self.piece(core if lead == BEGIN else lead + core)
+        ids = self.tokens[" " + word] if lead == " " else self.tokens[word]
+        if lead == "\n":
+            ids = self.tokens["\n"] + ids
+        return ids + self.tokens[core[len(word) :]] if len(word) < len(core) else ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. A batch's different parts are looked up once each."""
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        lines, at = [], []
+        for i, text in enumerate(texts):
+            line = text.replace("\n", " \n")
+            if not text:
+                continue
+            if line[0] == " " or line[-1] in " \n" or "  " in line or "\n " in line or not text.replace("\n", " ").isprintable():
+                out[i] = self._apart(text)  # other white space, or some beside another
+            else:
+                lines.append(BEGIN + line)
+                at.append(i)
+        if not lines:
+            return out
+        parts = pc.split_pattern(pa.array(lines, pa.string()), " ")
+        coded = parts.values.dictionary_encode()
+        codes, raw = coded.indices.to_numpy(), list(map(self.parts.__getitem__, coded.dictionary.to_pylist()))
+        flat, sizes = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        n = sizes[codes]
+        ends = n.cumsum()
+        ids = flat[np.arange(ends[-1]) + np.repeat((sizes.cumsum() - sizes)[codes] - (ends - n), n)]
+        bounds = ends[parts.offsets.to_numpy()[1:] - 1]
+        for i, a, b in zip(at, [0, *bounds[:-1].tolist()], bounds.tolist(), strict=True):
+            out[i] = ids[a:b]
+        return out
+
+    def _apart(self, text: str) -> np.ndarray:
         if _SEPARATORS.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.piece, _PIECE.findall(text)))
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(b"".join(map(self.piece, _PIECE.findall(text))), "<u4")
 
 
 def encoder(path: str) -> Encoder:
@@ -204,16 +236,15 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text"
         name = f"{base}/part-{part:06d}"
         mine = f"{base}/.try-{part:06d}-{task.taskAttemptId()}"
         out, index, end, at, n = None, None, np.asarray([end_id], dtype), 0, 0
-        for batch in batches(parts):
+        for batch in batches(parts, most=6 << 20):
             if out is None:
                 stream, listed = files.open_output_stream(mine + ".arrow"), files.open_output_stream(mine + ".idx")
                 out = _Writer(stream, dtype, sequence)
                 schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(listed, schema)
             sizes = []
-            for raw in enc.encode([x or "" for x in batch.column(1).to_pylist()]):
-                ids = np.frombuffer(raw, "<u4").astype(dtype)
-                out.add(ids)
+            for ids in enc.encode([x or "" for x in batch.column(1).to_pylist()]):
+                out.add(ids.astype(dtype))
                 out.add(end)
                 sizes.append(len(ids) + 1)
             sizes = np.asarray(sizes, np.int64)
