@@ -30,3 +30,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if not moved:
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def dbscan(points: DataFrame, eps: float, min_points: int, pid: str = "pid") -> DataFrame:
+    """(pid, cluster_id): density clusters, null for noise.
+
+    A core point has at least ``min_points`` within ``eps``, itself with them. Clusters
+    are components of core points; a border point joins the least component in reach. A
+    cluster is named by its least core point. Tables with fewer rows than ``min_points``
+    are all noise.
+    """
+    from .spatial import pairs_within
+
+    pairs = stored(pairs_within(points, eps, pid), "pairs")
+    both = pairs.select("src", "dst").unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    degree = both.groupBy("src").agg((F.count(F.lit(1)) + 1).alias("n"))
+    core = points.select(F.col(pid).alias("src")).join(degree, "src", "left").where(F.coalesce("n", F.lit(1)) >= min_points).select("src")
+    core = stored(core, "core")
+    linked = both.join(core, "src").join(core.select(F.col("src").alias("dst")), "dst")
+    alone = core.select("src", F.col("src").alias("dst"))
+    labels = connected_components(linked.select("src", "dst").unionByName(alone))
+    border = both.join(core, "src", "left_anti").join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("component"))
+    found = labels.select(F.col("node").alias(pid), "component").unionByName(border.select(F.col("src").alias(pid), "component"))
+    return points.select(pid).join(found, pid, "left").select(pid, F.col("component").alias("cluster_id"))
