@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AXES = "xyz"
 SIX = (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))
-EIGEN = "struct<l1:double,l2:double,l3:double,e1:array<double>,e2:array<double>,e3:array<double>>"
+EIGEN = T.StructType([*(T.StructField(f"l{k}", T.DoubleType()) for k in (1, 2, 3)), *(T.StructField(f"e{k}", T.ArrayType(T.DoubleType())) for k in (1, 2, 3))])
 
 
 def scatter_sums(points: DataFrame, by: list[str], columns: tuple[str, str, str] = ("x", "y", "z"), centred: bool = True) -> DataFrame:
