@@ -504,3 +504,447 @@ def block_around(spark, sf):
 def click_instance(spark, sf):
     """What lies under a click."""
     return review.instance_at(cloud(spark, sf).withColumn("instance_id", (F.col("label") + 1).cast("long")), (0.1, 0.0, 0.0)).withColumn("instance_id", F.col("instance_id").cast("long"))
+
+
+# --- rules ------------------------------------------------------------------------
+
+_FEATURE_SQL = """f as (select p_partkey as id, (p_partkey * 7 % 400)::bigint as n, (p_size * 13 % 50) / 10.0::double + 0.2 as a, (p_size * 7 % 30) / 20.0::double + 0.05 as b, (p_size * 3 % 20) / 20.0::double + 0.02 as h,
+  (p_partkey % 37) / 100.0::double as density, (p_partkey % 11) / 10.0::double as linearity, (p_partkey % 7) / 10.0::double as planarity, (p_partkey % 21) / 20.0::double as verticality,
+  (p_partkey % 31) / 10.0::double as robust_z, (p_partkey % 5) / 4.0::double as band_share, (p_partkey % 23) / 10.0::double as top, 0.0::double as bottom,
+  (p_partkey % 17) / 10.0::double as to_ceiling, (p_partkey % 29) / 10.0::double - 0.3 as to_floor, p_partkey % 9 = 0 as under_pipe,
+  p_partkey % 3 > 0 as valid, (p_partkey % 41) / 60.0::double as radius, (p_partkey % 13) / 12.0::double as inliers, (p_partkey % 6) / 5.0::double as radial, (p_partkey % 8) / 4.0::double as section, (p_partkey % 10) / 10.0::double as normals, (p_partkey % 19) / 10.0::double as length from part)"""
+
+
+def feature_rows(spark, sf):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    d = lambda c, n: c.cast("double") / float(n)
+    return table(spark, sf, "part").select(
+        k.alias("id"), (k * 7 % 400).alias("n"), F.array(d(s * 13 % 50, 10) + 0.2, d(s * 7 % 30, 20) + 0.05, d(s * 3 % 20, 20) + 0.02).alias("dims"),
+        d(k % 37, 100).alias("density"), d(k % 11, 10).alias("linearity"), d(k % 7, 10).alias("planarity"), d(k % 21, 20).alias("verticality"),
+        d(k % 31, 10).alias("robust_z"), d(k % 5, 4).alias("band_share"), d(k % 23, 10).alias("top"), F.lit(0.0).alias("bottom"),
+        d(k % 17, 10).alias("to_ceiling"), (d(k % 29, 10) - 0.3).alias("to_floor"), (k % 9 == 0).alias("under_pipe"),
+        F.struct((k % 3 > 0).alias("valid"), d(k % 41, 60).alias("radius"), d(k % 13, 12).alias("inliers"), d(k % 6, 5).alias("radial"), d(k % 8, 4).alias("section"), d(k % 10, 10).alias("normals"), d(k % 19, 10).alias("length")).alias("cylinder"),
+    )
+
+
+@query(f"""with {_FEATURE_SQL}, g as (select *, a * b * h as volume, greatest(b, 1e-6) as wide, verticality <= 0.35 as level, to_ceiling <= 1.5 as hung,
+ valid and inliers >= 0.5 and radial >= 0.5 and section >= 0.75 and normals <= 0.65 and linearity >= 0.5 and length >= 0.4 as round_,
+ h <= 0.25 and h <= 0.5 * b and (robust_z <= 0.30 or band_share >= 0.5) and to_ceiling <= 0.6 and a between 0.15 and 3.0 and density >= 0.08 as flat from f)
+select id, (case when density < 0.05 and volume >= 0.20 then 16 when density < 0.05 then 9 when to_floor + (top - bottom) < -0.05 then 16
+ when n >= 20 and a <= 0.35 and (under_pipe or to_ceiling <= 1.0) then 6
+ when verticality >= 0.7 and to_ceiling <= 0.4 and to_floor <= 0.4 and robust_z >= 2.0 and b between 0.2 and 1.2 and not (valid and radius <= 0.10) then 14
+ when n >= 30 and round_ and radius <= 0.10 then 3
+ when n >= 80 and round_ and radius <= 0.60 and not (radius >= 0.35 and to_floor <= 0.2) then 1
+ when n >= 80 and level and hung and b between 0.10 and 0.70 and a >= 2.0 * wide and a >= 2.0 and h <= 0.15 then 4
+ when n >= 80 and level and hung and b between 0.10 and 0.70 and a >= 3.0 * wide and a >= 2.5 and h <= 0.30 and b >= 0.20 then 4
+ when n >= 80 and a >= 2.0 * wide and level and hung and b between 0.20 and 1.50 and h between 0.12 and 1.20 then 2
+ when n >= 25 and flat and a / wide <= 1.6 and a <= 0.9 then 7 when n >= 30 and flat then 5
+ when (level or verticality >= 0.7) and h <= 0.15 and a >= 1.5 and b >= 0.5 and robust_z >= 0.8 and planarity + linearity >= 0.7 and density >= 0.10 and a * b >= 2.0 then 13
+ when n >= 200 and density >= 0.10 and to_floor <= 1.0 and ((h >= 0.35 and a >= 0.60) or volume >= 0.40) then 8 else 9 end)::smallint as label from g""")
+def rule_cascade(spark, sf):
+    """The first rule that holds."""
+    return rules.classify(feature_rows(spark, sf)).select("id", "label")
+
+
+@query()
+def rule_cascade_excluded(spark, sf):
+    """The cascade without some classes."""
+    return rules.classify(feature_rows(spark, sf), excluded=["luce", "Sprinkler"], least_points=100).select("id", "label")
+
+
+@query(f"""with {LATTICE_SQL}, m as (select grp, median(r) as r, median(g) as g, median(b) as b from lattice group by grp)
+select grp, (case when (round_even(r, 0) - 120) ** 2 + (round_even(g, 0) - 40) ** 2 + (round_even(b, 0) - 90) ** 2 <= 2025 then 4 when (round_even(r, 0) - 128) ** 2 + (round_even(g, 0) - 80) ** 2 + (round_even(b, 0) - 120) ** 2 <= 900 then 5 else 9 end)::smallint as label from m""")
+def colour_guide(spark, sf):
+    """R2: generic instances of one colour take the guide's class."""
+    got = features.dominant_colour(lattice(spark, sf), ["grp"]).withColumns({"label": F.lit(9).cast("smallint"), "uniformity": F.lit(1.0)})
+    return rules.colour_guide(got, [("PASSERELLA_CAVI", (120, 40, 90), None), ("luce", (128, 80, 120), 30.0)]).select("grp", "label")
+
+
+@query("select o_orderkey as pid, (case when o_custkey % 17 = 9 and o_orderkey % 3 > 0 then o_orderkey % 8 else o_custkey % 17 end)::smallint as label, case when o_custkey % 17 in (0, 9, 10, 16) then 0 else 1 end::smallint as confidence from orders")
+def label_fusion(spark, sf):
+    """Generic labels take another source's; confidence of the first ones."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % 17).cast("smallint").alias("label"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 8).alias("dl_label"))
+    return rules.fuse(o.withColumn("confidence", rules.confidence(F.col("label")))).select("pid", "label", "confidence")
+
+
+@query(f"""with {CLOUD_SQL}, f as (select floor(x / 0.5)::bigint as i, floor(y / 0.5)::bigint as j, min(z) + 0.4 as low from cloud where label < 5 group by all)
+select pid, (case when z < low - 0.2 and label not in (11, 12) then 16 else label end)::smallint as label from cloud left join f on i = floor(x / 0.5) and j = floor(y / 0.5)""")
+def reflections(spark, sf):
+    """Points below the lowest floor of their cell."""
+    points = cloud(spark, sf)
+    floors = voxel.cells(points.where("label < 5"), 0.5).select("i", "j", (F.col("min_z") + 0.4).alias("z"))
+    return rules.reflections(points, floors, 0.5, 0.2).select("pid", F.col("label").cast("smallint").alias("label"))
+
+
+# --- review -----------------------------------------------------------------------
+
+_SIGN_SQL = """sign as (select s_suppkey as instance_id, (s_suppkey % 17)::smallint as label, round(s_acctbal / 5000 + 3.0, 4) as d1, round((s_suppkey % 9) / 10.0 + 0.3, 4)::double as d2, round((s_suppkey % 4) / 10.0 + 0.1, 4)::double as d3,
+  ((s_suppkey % 6) / 5.0)::double as z_extent, ((s_suppkey % 8) / 4.0)::double as to_ceiling, ((s_suppkey % 10) / 10.0)::double as to_floor, ((s_suppkey % 11) / 10.0)::double as verticality,
+  ((s_suppkey * 3 % 40) / 20.0)::double as cx, ((s_suppkey * 7 % 30) / 20.0)::double as cy, ((s_suppkey % 3) / 10.0)::double as cz from supplier)"""
+
+
+def signs(spark, sf):
+    k = F.col("s_suppkey")
+    d = lambda c, n: c.cast("double") / float(n)
+    return table(spark, sf, "supplier").select(
+        k.alias("instance_id"), (k % 17).cast("smallint").alias("label"), F.round(F.col("s_acctbal") / 5000 + 3.0, 4).alias("d1"), F.round(d(k % 9, 10) + 0.3, 4).alias("d2"), F.round(d(k % 4, 10) + 0.1, 4).alias("d3"),
+        d(k % 6, 5).alias("z_extent"), d(k % 8, 4).alias("to_ceiling"), d(k % 10, 10).alias("to_floor"), d(k % 11, 10).alias("verticality"),
+        d(k * 3 % 40, 20).alias("cx"), d(k * 7 % 30, 20).alias("cy"), d(k % 3, 10).alias("cz"),
+    )
+
+
+_W = lambda a, b, r, m: f"abs({a} - {b}) <= greatest({b} * {r}::double, {m}::double)"
+_O = lambda c: f"case when {c} > 0.7 then 2 when {c} < 0.35 then 0 else 1 end"
+_MATCH = " and ".join((*(_W(f"a.d{k}", f"m.d{k}", 0.4, 0.08) for k in (1, 2, 3)), "a.z_extent <= m.z_extent + greatest(m.z_extent * 0.4::double, 0.08::double)", f"{_O('a.verticality')} = {_O('m.verticality')}",
+    "(case when m.to_ceiling <= 1.5 then abs(a.to_ceiling - m.to_ceiling) <= 0.6::double when m.to_floor <= 0.3 then abs(a.to_floor - m.to_floor) <= 0.6::double else true end)"))
+_SAME = "(a.cx - m.cx) * (a.cx - m.cx) + (a.cy - m.cy) * (a.cy - m.cy) + (a.cz - m.cz) * (a.cz - m.cz)"
+_PLACE = f"{_SAME} <= 0.3::double * 0.3::double and " + " and ".join(_W(f"a.d{k}", f"m.d{k}", 0.2, 0.05) for k in (1, 2, 3))
+
+
+def _models(s):
+    return s.where("instance_id % 5 = 0").select((F.col("instance_id") / 5).cast("long").alias("ord"), F.concat(F.lit("m"), F.col("instance_id")).alias("name"), (F.col("label") % 9).cast("int").alias("target"), *[c for c in s.columns if c not in ("instance_id", "label")])
+
+
+@query(f"with {_SIGN_SQL} select a.instance_id, m.instance_id // 5 as ord, 'm' || m.instance_id as name, (m.label % 9)::int as target from sign a join sign m on m.instance_id % 5 = 0 and {_MATCH}")
+def model_match(spark, sf):
+    """Models that an instance fits."""
+    s = signs(spark, sf)
+    return review.model_matches(s, _models(s))
+
+
+@query(f"with {_SIGN_SQL} select a.instance_id, a.label from sign a where not exists (select 1 from sign m where m.instance_id % 13 = 0 and {_MATCH})")
+def reject_veto(spark, sf):
+    """Instances that fit no rejection."""
+    s = signs(spark, sf)
+    return s.join(review.rejected(s, s.where("instance_id % 13 = 0")), "instance_id", "left_anti").select("instance_id", "label")
+
+
+@query(f"""with {_SIGN_SQL}, p as (select a.instance_id, m.instance_id // 5 as ord, (m.label % 9)::int as target from sign a join sign m on m.instance_id % 5 = 0 and {_MATCH}),
+l as (select instance_id, list(target order by ord) as ts from p group by instance_id), r as (select a.instance_id from sign a where exists (select 1 from sign m where m.instance_id % 13 = 0 and {_MATCH}))
+select a.instance_id, (case when r.instance_id is not null or ts is null then label else list_reduce(list_prepend(label::int, ts), lambda now, t: case when now in (9, 8, 7) and now <> t then t else now end) end)::smallint as label
+from sign a left join l on l.instance_id = a.instance_id left join r on r.instance_id = a.instance_id""")
+def model_application(spark, sf):
+    """Models in their order, unless a rejection fits."""
+    s = signs(spark, sf)
+    return review.apply_models(s, _models(s), s.where("instance_id % 13 = 0"), ("MEP_GENERICO", "APPARECCHIATURA", "TERMINALE_ARIA")).select("instance_id", "label")
+
+
+@query(f"with {_SIGN_SQL} select a.instance_id as a, m.instance_id as b, {_SAME} as d2 from sign a join sign m on {_PLACE}")
+def same_instance(spark, sf):
+    """Signatures in the same place, with the tolerance of the second."""
+    s = signs(spark, sf)
+    return review.place_join(s, s).select(F.col("a_instance_id").alias("a"), F.col("b_instance_id").alias("b"), "d2")
+
+
+_PINS = f"""c as (select instance_id as decision, (instance_id % 7)::smallint as yes, * exclude (instance_id, label) from sign where instance_id % 3 = 0), n as (select instance_id as decision, * exclude (instance_id, label) from sign where instance_id % 4 = 1),
+py as (select m.decision, m.yes, arg_min(a.instance_id, ({_SAME}, a.instance_id)) as instance_id from c m join sign a on {_PLACE} group by all), pn as (select m.decision, arg_min(a.instance_id, ({_SAME}, a.instance_id)) as instance_id from n m join sign a on {_PLACE} group by all),
+y as (select instance_id, arg_max(yes, decision) as yes from py group by instance_id)"""
+
+
+@query(f"with {_SIGN_SQL}, {_PINS} select s.instance_id, coalesce(y.yes, case when s.instance_id in (select instance_id from pn) then 16 end, s.label)::smallint as label from sign s left join y on y.instance_id = s.instance_id")
+def user_pins(spark, sf):
+    """Rejections, then confirmations."""
+    s = signs(spark, sf)
+    yes = s.where("instance_id % 3 = 0").withColumns({"decision": F.col("instance_id"), "label": (F.col("instance_id") % 7).cast("smallint")})
+    no = s.where("instance_id % 4 = 1").withColumn("decision", F.col("instance_id"))
+    return review.apply_pins(s, yes, no).select("instance_id", "label")
+
+
+def _runs(spark, sf):
+    s = signs(spark, sf)
+    return s.where("instance_id % 6 > 0"), s.where("instance_id % 7 > 0").withColumn("label", ((F.col("instance_id") + F.col("instance_id") % 3) % 17).cast("smallint"))
+
+
+_RUNS_SQL = f"{_SIGN_SQL}, x as (select * from sign where instance_id % 6 > 0), y as (select * replace (((instance_id + instance_id % 3) % 17)::smallint as label) from sign where instance_id % 7 > 0)"
+
+
+@query(f"""with {_RUNS_SQL}, p as (select a.instance_id, a.label as label_after, m.label as label_before, row_number() over (partition by a.instance_id order by {_SAME}, m.instance_id) as rn from y a join x m on {_PLACE})
+select instance_id, label_before, label_after from p where rn = 1 and label_before <> label_after""")
+def diff_nearest(spark, sf):
+    """Classes that changed since the run before."""
+    return review.diff_nearest(*_runs(spark, sf))
+
+
+@query(f"""with recursive {_RUNS_SQL}, p as (select m.instance_id as b, list(a.instance_id order by a.instance_id) as cand from y a join x m on {_PLACE} group by m.instance_id),
+o as (select b, cand, row_number() over (order by b) as k from p),
+walk as (select 0::bigint as k, []::bigint[] as used, null::bigint as b, null::bigint as a union all
+  select o.k, case when len(list_filter(o.cand, lambda c: not list_contains(w.used, c))) > 0 then list_append(w.used, list_filter(o.cand, lambda c: not list_contains(w.used, c))[1]) else w.used end, o.b, list_filter(o.cand, lambda c: not list_contains(w.used, c))[1] from walk w join o on o.k = w.k + 1),
+t as (select b, a from walk where a is not null)
+select x.instance_id as id_before, y.instance_id as id_after, x.label as label_before, y.label as label_after, case when x.instance_id is null then 'new' when y.instance_id is null then 'lost' when x.label = y.label then 'stable' else 'changed' end as outcome
+from x left join t on t.b = x.instance_id full join y on y.instance_id = t.a""")
+def diff_greedy(spark, sf):
+    """Stable, changed, lost and new instances, one to one in order."""
+    return review.diff_greedy(*_runs(spark, sf))
+
+
+@query("select o_orderpriority as label, count(*) filter (o_orderkey % 4 = 0) as stable, count(*) filter (o_orderkey % 4 = 1) as changed, count(*) filter (o_orderkey % 4 = 2) as lost, count(*) filter (o_orderkey % 4 = 3) as new from orders group by 1")
+def run_stability(spark, sf):
+    """Outcomes a class."""
+    o = table(spark, sf, "orders")
+    return review.stability(o.select(F.col("o_orderpriority").alias("label_before"), F.col("o_orderpriority").alias("label_after"), F.element_at(F.array(*map(F.lit, ("stable", "changed", "lost", "new"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("outcome")))
+
+
+@query("select * from (select o_orderpriority as label_before, o_custkey % 5 as label_after, count(*) as n, row_number() over (partition by o_orderpriority order by count(*) desc, o_custkey % 5)::int as rank from orders where o_orderkey % 2 = 0 group by 1, 2) where rank <= 3")
+def top_transitions(spark, sf):
+    """The three most frequent changes of each class."""
+    o = table(spark, sf, "orders").where("o_orderkey % 2 = 0")
+    return review.top_transitions(o.select(F.col("o_orderpriority").alias("label_before"), (F.col("o_custkey") % 5).alias("label_after"), F.lit("changed").alias("outcome")))
+
+
+@query("select c_name as name, c_acctbal as value from customer where c_custkey % 3 > 0 and c_name not in (select c_name from customer where c_custkey % 4 = 0) union all select c_name, -1.0 from customer where c_custkey % 4 = 0")
+def upsert_by_name(spark, sf):
+    """U4, K9: models replaced by name."""
+    c = table(spark, sf, "customer")
+    return review.upsert(c.where("c_custkey % 3 > 0").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("value")), c.where("c_custkey % 4 = 0").select(F.col("c_name").alias("name"), F.lit(-1.0).alias("value")), "name")
+
+
+@query(f"""with {_SIGN_SQL}, o as (select * from sign where instance_id % 2 = 0), n as (select * from sign where instance_id % 9 = 4)
+select instance_id as decision, label from o a where not exists (select 1 from n m where {_PLACE}) union all select instance_id, label from n""")
+def upsert_by_place(spark, sf):
+    """Decisions replaced by place."""
+    s = signs(spark, sf).withColumn("decision", F.col("instance_id"))
+    return review.upsert_places(s.where("instance_id % 2 = 0"), s.where("instance_id % 9 = 4")).select("decision", "label")
+
+
+@query("select kind, count(*) as n from (select 'conferma' as kind from customer where c_custkey % 3 = 0 union all select 'rifiuto' from customer where c_custkey % 5 = 0) group by kind")
+def decision_counts(spark, sf):
+    """Decisions of both kinds, counted."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("decision"))
+    return review.decisions(c.where("decision % 3 = 0"), c.where("decision % 5 = 0")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- context ----------------------------------------------------------------------
+
+_ROD_SQL = """rod as (select c_custkey as instance_id, (case c_custkey % 6 when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 4 when 4 then 9 else 5 end)::smallint as label, (c_custkey * 7 % 300 + 50)::bigint as n,
+  (c_custkey * 13 % 70)::double / 4 as x, (c_custkey * 29 % 50)::double / 4 as y, (c_custkey % 4)::double / 5 as z, (c_custkey % 2)::double as ux, (1 - c_custkey % 2)::double as uy,
+  (c_custkey % 12)::double / 5 + 0.6 as length, (c_custkey % 5)::double / 20 + 0.05 as section from customer)"""
+
+
+def rods(spark, sf):
+    k = F.col("c_custkey")
+    d = lambda c: c.cast("double")
+    label = F.element_at(F.array(*map(F.lit, (1, 2, 3, 4, 9, 5))), (k % 6 + 1).cast("int")).cast("smallint")
+    return table(spark, sf, "customer").select(
+        k.alias("instance_id"), label.alias("label"), (k * 7 % 300 + 50).alias("n"), F.array(d(k * 13 % 70) / 4, d(k * 29 % 50) / 4, d(k % 4) / 5).alias("centre"),
+        F.array(d(k % 2), d(1 - k % 2), F.lit(0.0)).alias("axis"), F.array(d(k % 12) / 5 + 0.6, d(k % 5) / 20 + 0.05, F.lit(0.05)).alias("dims"),
+        F.struct((k < 0).alias("valid"), F.lit(0.0).alias("radius"), F.lit(0.0).alias("length"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("axis")).alias("cylinder"),
+        (d(k % 9) / 5).alias("to_ceiling"), F.lit(0.1).alias("robust_z"), F.lit(1.0).alias("band_share"), F.lit(0.5).alias("density"),
+    )
+
+
+_LIGHTS = """m as (select * from rod where label in (3, 9, 5) and section <= 0.35 and length between 0.12 and 2.5 and (instance_id % 9)::double / 5 <= 1.2),
+e as (select a.instance_id as s, b.instance_id as d from m a join m b on a.instance_id <> b.instance_id and abs(a.ux * b.ux + a.uy * b.uy) > 0.9 and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 36 and abs(a.z - b.z) < 0.5
+  and (case when a.instance_id < b.instance_id then a.length / b.length else b.length / a.length end) > 0.7 and (case when a.instance_id < b.instance_id then a.length / b.length else b.length / a.length end) < 1.43)"""
+
+
+@query(f"with {_ROD_SQL}, {_LIGHTS} select s as src, d as dst from e where s < d")
+def parallel_pairs(spark, sf):
+    """Light-like instances that belong together."""
+    return context.parallel_pairs(context.light_like(rods(spark, sf)))
+
+
+@query()
+def serial_lights(spark, sf):
+    """Lights in series; the components are tested by brute force."""
+    return context.serial_lights(rods(spark, sf)).select("instance_id", "label")
+
+
+_CHAIN = """m as (select *, greatest(section, 0.02) as sec from rod where label in (1, 2, 3, 4, 8, 9, 10) and section <= 0.8 and length >= 2 * section and length >= 0.3),
+e as (select a.instance_id as s, b.instance_id as d from m a join m b on a.instance_id < b.instance_id and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 16 and abs(a.ux * b.ux + a.uy * b.uy) >= 0.9
+  and greatest(a.sec, b.sec) / least(a.sec, b.sec) <= 2.5 and abs((b.x - a.x) * a.ux + (b.y - a.y) * a.uy) - 0.5 * (a.length + b.length) <= 0.6
+  and sqrt((b.x - a.x - ((b.x - a.x) * a.ux + (b.y - a.y) * a.uy) * a.ux) ** 2 + (b.y - a.y - ((b.x - a.x) * a.ux + (b.y - a.y) * a.uy) * a.uy) ** 2 + (b.z - a.z) ** 2) <= 0.35)"""
+
+
+@query(f"with {_ROD_SQL}, {_CHAIN} select s as src, d as dst from e")
+def chain_pairs(spark, sf):
+    """Instances that continue each other."""
+    return context.chain_pairs(context.chain_members(rods(spark, sf)))
+
+
+@query(f"""with recursive {_ROD_SQL}, {_CHAIN}, b as (select s, d from e union all select d, s from e), walk as (select distinct s as node, s as seen from b union select w.node, b.d from walk w join b on w.seen = b.s),
+c as (select node, min(seen) as comp from walk group by node), v as (select comp, label, sum(n) as w, min(instance_id) as o from c join m on m.instance_id = c.node where label in (1, 2, 3, 4) group by all),
+won as (select comp, label from v qualify row_number() over (partition by comp order by w desc, o) = 1)
+select r.instance_id, coalesce(won.label, r.label)::smallint as label from rod r left join c on c.node = r.instance_id left join won on won.comp = c.comp""")
+def chain_unification(spark, sf):
+    """Chains take the class with the most points."""
+    return context.unify_chains(rods(spark, sf)).select("instance_id", "label")
+
+
+@query("select l_suppkey as grp, arg_max(l_returnflag, (w, -o)) as winner from (select l_suppkey, l_returnflag, sum(l_partkey) as w, min(l_orderkey) as o from lineitem group by all) group by l_suppkey")
+def class_vote(spark, sf):
+    """A weighted vote, ties to the first seen."""
+    t = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_returnflag").alias("label"), F.col("l_partkey").alias("w"), F.col("l_orderkey").alias("o"))
+    return context.vote(t, "grp", "label", "w", "o")
+
+
+@query()
+def anchoring(spark, sf):
+    """Pipes and ducts without an anchored end become furniture."""
+    r = rods(spark, sf)
+    points = r.select("instance_id", "label", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"), "centre", "axis", "dims").select(
+        (F.col("instance_id") * 11 + F.col("k")).alias("pid"), "instance_id", "label",
+        *((F.element_at("centre", i) + F.element_at("axis", i) * (F.col("k") / 10.0 - 0.5) * F.element_at("dims", 1)).alias(c) for i, c in enumerate("xyz", 1)),
+    )
+    return context.anchoring(r, points).select("instance_id", "label")
+
+
+# --- datasets and classes ---------------------------------------------------------
+
+
+@query("select code, key, name, r, g, b, macro_group, excludable from (values " + ", ".join(f"({c}, '{k}', '{n}', {r}, {g}, {b}, '{m}', {str(x).lower()})" for c, k, n, r, g, b, m, x in __import__("cloudloom.plans.model", fromlist=["CLASSES"]).CLASSES) + ") t(code, key, name, r, g, b, macro_group, excludable)")
+def class_listing(spark, sf):
+    """The classes."""
+    return class_table(spark)
+
+
+_KEYS_SQL = "k as (select code, key, macro_group from (values " + ", ".join(f"({c}, '{k}', '{m}')" for c, k, n, r, g, b, m, x in __import__("cloudloom.plans.model", fromlist=["CLASSES"]).CLASSES) + ") t(code, key, macro_group))"
+
+
+@query(f"with {_KEYS_SQL} select code, key, count(l_orderkey) as n from k left join lineitem on l_partkey % 13 = code group by all")
+def class_counts(spark, sf):
+    """Counts of all classes, zeros too."""
+    points = table(spark, sf, "lineitem").select((F.col("l_partkey") % 13).alias("label"))
+    return dataset.class_counts(points, class_table(spark))
+
+
+@query(f"with {_KEYS_SQL} select macro_group, count(*) as n, sum(l_quantity) as total from lineitem join k on l_partkey % 17 = code group by macro_group")
+def routed_groups(spark, sf):
+    """Points by macro group."""
+    t = table(spark, sf, "lineitem").withColumn("code", (F.col("l_partkey") % 17).cast("int"))
+    return t.join(F.broadcast(class_table(spark).select("code", "macro_group")), "code").groupBy("macro_group").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"))
+
+
+@query("select l_partkey % 17 as label, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (), 4)::double as percent from lineitem group by 1")
+def summary_percent(spark, sf):
+    """Counts and shares of the classes that occur."""
+    got = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 17).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return got.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))), 4))
+
+
+@query("with c as (select quality * 2 + toxic as t, (doc_id % 3 + quality) % 4 as p, count(*) as n from labels group by all), t as (select t as code, sum(n) as n_truth, sum(case when t = p then n else 0 end) as hit from c group by t), q as (select p as code, sum(n) as n_predicted from c group by p) select t.code::bigint as code, hit::bigint as hit, n_truth::bigint as n_truth, coalesce(n_predicted, 0)::bigint as n_predicted, hit / (n_truth + coalesce(n_predicted, 0) - hit) as iou from t left join q on q.code = t.code")
+def confusion_iou(spark, sf):
+    """Confusion and intersection over union."""
+    rows = table(spark, sf, "labels").select((F.col("quality") * 2 + F.col("toxic")).cast("long").alias("truth"), ((F.col("doc_id") % 3 + F.col("quality")) % 4).alias("predicted"))
+    return dataset.intersection_over_union(dataset.confusion(rows))
+
+
+@query(f"with {_KEYS_SQL}, c as (select code, count(l_orderkey) as n from k left join (select * from lineitem where l_suppkey % 3 > 0) on l_partkey % 13 = code group by code) select code, n, coalesce((1.0::double / nullif(n, 0)) / avg(1.0::double / nullif(n, 0)) over (), 0.0) as weight from c".replace("coalesce((1.0", "round(coalesce((1.0").replace("over (), 0.0) as weight", "over (), 0.0), 8) as weight"))
+def class_weights(spark, sf):
+    """Inverse frequency of confident rows."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_partkey") % 13).cast("int").alias("label"), (F.col("l_suppkey") % 3).alias("confidence"))
+    return dataset.class_weights(rows, class_table(spark)).withColumn("weight", F.round("weight", 8))
+
+
+@query("select case when l_suppkey % 4 = 0 then 'val' else 'train' end as split, count(*) as n, count(*) filter (l_partkey % 3 = 2) as n_confirmed from lineitem group by 1")
+def split_stats(spark, sf):
+    """A27."""
+    t = table(spark, sf, "lineitem").select(F.when(F.col("l_suppkey") % 4 == 0, "val").otherwise("train").alias("split"), (F.col("l_partkey") % 3).alias("confidence"))
+    return dataset.split_stats(t)
+
+
+@query()
+def augmented_blocks(spark, sf):
+    """Turned, mirrored, scaled and jittered blocks."""
+    return dataset.augment(cloud(spark, sf).withColumn("block", F.col("label")))
+
+
+# --- text -------------------------------------------------------------------------
+
+_WORDS = [("the", "article"), ("der", "german"), ("que", "spanish"), ("et", "french")]
+_CASE = lambda t: " ".join(f"when contains({t}, '{w}') then '{v}'" for w, v in _WORDS)
+
+
+@query(f"select doc_id, case {_CASE('split_part(lower(text), chr(10), 1)')} {_CASE('lower(text)')} else 'none' end as found from documents")
+def keyword_class(spark, sf):
+    """the first keyword, of the first line before the rest."""
+    return table(spark, sf, "documents").select("doc_id", expr.first_keyword(F.col("text"), _WORDS, "none").alias("found"))
+
+
+@query("select p_partkey, case when starts_with(lower(p_type), 'standard') then 'standard' when starts_with(lower(p_type), 'small') then 'small' when starts_with(lower(p_type), 's') then 's' end as mapped, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') as slug, try_cast(nullif(regexp_extract(p_brand || '_v' || p_size, '_v([0-9]{1,9})$', 1), '') as int) as version from part")
+def names(spark, sf):
+    """Longest prefix, slug, version."""
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", expr.longest_prefix(F.col("p_type"), ["s", "small", "standard"]).alias("mapped"), expr.slug(F.col("p_name")).alias("slug"), expr.version_of(F.concat("p_brand", F.lit("_v"), F.col("p_size"))).alias("version"))
+
+
+@query(f"with {LATTICE_SQL} select distinct ((floor(x / 5)::bigint + 1048576) << 42) | ((floor(y / 5)::bigint + 1048576) << 21) | (floor(z / 5)::bigint + 1048576) as key, floor(x / 5)::bigint as i, floor(y / 5)::bigint as j, floor(z / 5)::bigint as k from lattice")
+def voxel_keys(spark, sf):
+    """keys of 3 times 21 bits, there and back."""
+    keys = lattice(spark, sf).select(expr.voxel_key(F.col("x"), F.col("y"), F.col("z"), 5.0).alias("key")).distinct()
+    return keys.select("key", *(c.alias(n) for n, c in zip("ijk", expr.voxel_of(F.col("key")), strict=True)))
+
+
+# --- structure and clusters -------------------------------------------------------
+
+
+@query()
+def plane_peel(spark, sf):
+    """Planes peeled off; rows only (random candidates)."""
+    planes, _ = __import__("cloudloom.operators.structure", fromlist=["x"]).peel_planes(lattice(spark, sf).withColumn("pid", F.monotonically_increasing_id()).select(F.xxhash64("x", "y", "z", "line").alias("pid"), "x", "y", "z"), 0.25, 3000, 4)
+    return spark.createDataFrame([(p["plane_id"], list(p["plane"]), p["n"]) for p in planes] or [(None, None, None)], "plane_id int, plane array<double>, n long").where("plane_id is not null")
+
+
+@query(f"""with {_TRACK_SQL}, j as (select *, coalesce((z - lag(z) over (order by z) > 0.2)::int, 0) as jump from track), l as (select *, sum(jump) over (order by z range between unbounded preceding and current row) as level from j),
+big as (select level from l group by level having count(*) >= 30) select level::bigint as level, floor(t / 86400)::bigint as i, floor(grp / 10)::bigint as j, min(z) as z from l where level in (select level from big) group by all""")
+def floor_map(spark, sf):
+    """The lowest point of each cell and level."""
+    from ..operators import structure
+
+    t = track(spark, sf).select((F.col("t") / 86400).alias("x"), (F.col("grp").cast("double") / 10).alias("y"), "z")
+    return structure.floor_map(t, 1.0, 0.2, 30).withColumn("level", F.col("level").cast("long"))
+
+
+@query(f"""with {CLOUD_SQL}, f as (select floor(x / 0.5)::bigint as i, floor(y / 0.5)::bigint as j, list(z) as zs from cloud where label < 3 group by all)
+select pid, list_min(zs) as lowest_floor, list_max(list_filter(zs, lambda v: v <= z)) as own_floor from cloud left join f on i = floor(x / 0.5) and j = floor(y / 0.5)""")
+def floor_lookup(spark, sf):
+    """The floors of a point's cell."""
+    from ..operators import structure
+
+    points = cloud(spark, sf)
+    floors = points.where("label < 3").select(F.floor(F.col("x") / 0.5).alias("i"), F.floor(F.col("y") / 0.5).alias("j"), "z")
+    return structure.floor_at(points, floors, 0.5).select("pid", "lowest_floor", "own_floor")
+
+
+@query()
+def column_detection(spark, sf):
+    """Column components."""
+    from ..operators import structure
+
+    t = structure.STRUCTURE | {"column_cell": 1.0, "column_coverage": 0.2, "column_min": 1.0, "column_max": 60.0, "column_elongation": 9.0}
+    return structure.columns(lattice(spark, sf), t=t)
+
+
+@query()
+def ceiling_protrusions(spark, sf):
+    """M9, M4: what hangs below the local height."""
+    from ..operators import structure
+
+    points = lattice(spark, sf).select(F.xxhash64("x", "y", "z", "line", "grp").alias("pid"), "x", "y", (F.col("z") / 10 + F.when(F.col("x") % 7 == 0, -0.5).otherwise(0.0)).alias("z"))
+    return structure.protrusions(points, cell=1.0)
+
+
+@query()
+def surface_growth(spark, sf):
+    """Clusters by surface continuity."""
+    from ..operators import cluster
+
+    t = cluster.CLUSTER | {"eps": 0.4, "jump": 0.3, "patch": 5, "least": 5, "smooth_degrees": 40.0}
+    return cluster.grow(cloud(spark, sf).select("pid", "x", "y", "z"), 0.1, t)
+
+
+@query()
+def direction_split(spark, sf):
+    """Clusters cut by direction."""
+    from ..operators import cluster
+
+    points = cloud(spark, sf).join(features.local_normals(cloud(spark, sf), 0.6), "pid").where("nx is not null").withColumn("cluster_id", F.col("label").cast("long"))
+    return cluster.split_directions(points, cluster.CLUSTER | {"direction_points": 10, "sphericity": None})
+
+
+@query()
+def giant_split(spark, sf):
+    """Long clusters cut by level and erosion."""
+    from ..operators import cluster
+
+    points = lattice(spark, sf).select(F.xxhash64("x", "y", "z", "line", "grp").alias("pid"), (F.col("x") / 2).alias("x"), (F.col("y") / 4).alias("y"), "z", F.col("line").cast("long").alias("cluster_id")).dropDuplicates(["pid"])
+    return cluster.split_giants(points, 9.0, [0.0, 4.0])
