@@ -11,24 +11,36 @@ from .tables import stored
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches.
 
-    Each round gives a node the least label among its neighbours' and its own, then
-    follows labels twice, so paths of any length shrink fast. Every round is written
-    to the shared folder; it ends when a round changes no label. Edges with a null end
-    are ignored; self loops make a node its own component.
+    Each round points every node at its least neighbour (or itself), follows the pointers
+    twice more, and contracts the edges to what is pointed at; the least node of a
+    component only ever points at itself, so it is what remains. Edges shrink round by
+    round and each round is written to the shared folder. Edges with a null end are
+    ignored; a self loop makes a node its own component.
     """
     clean = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    both = stored(clean.union(clean.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    every = stored(clean.union(clean.select("b", "a")).distinct(), "edges")
+    labels = None
+    left = every.where("a <> b")
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        hop = low.join(up, "label").select("node", "old", F.least("label", "up").alias("label"))
-        new = stored(hop, "labels")
-        moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels.select("node", F.col("label").alias("component"))
+        point = left.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to"))
+        for _ in range(2):
+            point = stored(point, "pointers")
+            ahead = point.select(F.col("node").alias("to"), F.col("to").alias("ahead"))
+            point = point.join(ahead, "to").select("node", F.col("ahead").alias("to"))
+        point = stored(point, "pointers")
+        if labels is None:
+            nodes = every.select(F.col("a").alias("node")).distinct()
+            labels = nodes.join(point, "node", "left").select("node", F.coalesce("to", "node").alias("component"))
+        else:
+            moved = point.select(F.col("node").alias("component"), "to")
+            labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        labels = stored(labels, "labels")
+        at = point.select(F.col("node").alias("a"), F.col("to").alias("a2"))
+        to = point.select(F.col("node").alias("b"), F.col("to").alias("b2"))
+        left = left.join(at, "a").join(to, "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
+        left = stored(left, "contracted")
+        if left.isEmpty():
+            return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -115,6 +115,8 @@ def plane_components(points: DataFrame, planes: list[dict], t: dict = STRUCTURE)
     for p in planes:  # a plane a round: there are at most ``planes`` of them
         a, b, c, _ = p["plane"]
         mine = held.where(F.col("plane_id") == p["plane_id"])
+        if "nx" in points.columns:  # what merely crosses the plane would join its parts
+            mine = mine.where(F.coalesce(F.abs(a * F.col("nx") + b * F.col("ny") + c * F.col("nz")) > 0.85, F.lit(False)))
         flat = abs(c) >= 0.9
         s = F.col("x") if flat else (F.col("y") * a - F.col("x") * b) / float(max((a * a + b * b) ** 0.5, 1e-9))
         u = F.col("y") if flat else F.col("z")
