@@ -179,3 +179,105 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     """The rows of ``docs`` whose doc_id is their component's smallest; rows without an id stay only where no id is reached."""
     kept = near_dedup(docs, text, doc_id, words).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs[doc_id] == F.col("kept_id"), "left_semi")
+
+
+# --- near copies by similarity ----------------------------------------------------
+#
+# Copies with a few edited words keep most of their different words, so the SimHash of
+# the set of words (256 bits) differs in few bits. It is cut into twelve segments of 21
+# bits; a key is one segment as it is and the next one's Golay codewords, 33 bits. What
+# meets is compared by fingerprint first, then by the words' shingles, exactly.
+
+WIDE_SEGMENTS, WIDE_BITS = 12, 21
+OFFSETS = (1, 5)  # the decoded segment stands so many after the exact one
+FAR_BITS = 56  # of 256; near copies at a similarity of 0.8 differ in about 25 at most
+
+
+def word_fingerprint(text: bytes) -> bytes:
+    """256 bits of a text's different words; no bit is set without words."""
+    import xxhash
+
+    words = set(text.lower().split())
+    if not words:
+        return bytes(32)
+    hashed = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2) for w in words]), np.uint8).reshape(-1, 32)
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(hashed), 4096):
+        counts += np.unpackbits(hashed[at : at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(words), bitorder="little").tobytes()
+
+
+def wide_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of fingerprints (n, 32 bytes)."""
+    bits = np.unpackbits(fp, axis=1, bitorder="little")[:, : WIDE_SEGMENTS * WIDE_BITS].reshape(len(fp), WIDE_SEGMENTS, WIDE_BITS)
+    parts = bits.astype(np.int64) @ (1 << np.arange(WIDE_BITS, dtype=np.int64))
+    codes = [golay_keys(parts[:, k]) for k in range(WIDE_SEGMENTS)]
+    rows, keys = [], []
+    for t, offset in enumerate(OFFSETS):
+        for i in range(WIDE_SEGMENTS):
+            code = codes[(i + offset) % WIDE_SEGMENTS]
+            row, col = np.nonzero(code >= 0)
+            rows.append(row)
+            keys.append((t * WIDE_SEGMENTS + i) << 33 | parts[row, i] << 12 | code[row, col])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def shingle_similarity(a: bytes, b: bytes, words: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; a text of fewer words is one shingle, one without words has none."""
+
+    def shingles(text: bytes) -> set[bytes]:
+        w = text.lower().split()
+        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    s, t = shingles(a), shingles(b)
+    both = len(s & t)
+    return both / (len(s) + len(t) - both) if s or t else 1.0
+
+
+def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): documents whose shingle sets are at least ``similarity`` alike, found by their keys.
+
+    In a bucket every member meets its least and its greatest member, so pairs are linear
+    in the members, and all pairs of up to three are met. A document with a null id takes
+    no part.
+    """
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
+
+    def prints(parts):
+        for batch in batches(parts, "t"):
+            got = np.frombuffer(b"".join([word_fingerprint(t or b"") for t in batch.column(1).to_pylist()]), "<i8").reshape(-1, 4)
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(4))], names=["id", "f0", "f1", "f2", "f3"])
+
+    marks = stored(rows.mapInArrow(prints, "id long, f0 long, f1 long, f2 long, f3 long"), "marks")
+
+    def keyed(parts):
+        for batch in parts:
+            ids = batch.column(0).to_numpy()
+            fp = np.stack([batch.column(k).to_numpy() for k in range(1, 5)], axis=1).astype("<i8").view(np.uint8).reshape(-1, 32)
+            for at in range(0, len(ids), 1024):
+                row, key = wide_keys(fp[at : at + 1024])
+                yield pa.record_batch([pa.array(key), pa.array(ids[at : at + 1024][row])], names=["key", "id"])
+
+    keys = stored(marks.mapInArrow(keyed, "key long, id long"), "keys")
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    ends = F.explode(F.array("low", "high"))
+    met = keys.join(shared, "key").select("id", ends.alias("end")).where("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+    of = lambda p: marks.select(F.col("id").alias(p), *(F.col(f"f{k}").alias(f"{p}{k}") for k in range(4)))
+    bits = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)), F.lit(0))
+    close = stored(met.join(of("a"), "a").join(of("b"), "b").where(bits <= FAR_BITS).select("a", "b").distinct(), "close")
+    part = stored(rows.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
+    texts = close.join(part.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(part.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+
+    def compare(parts):
+        for batch in batches(parts, "tb"):
+            good = [shingle_similarity(x or b"", y or b"", words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return stored(texts.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "similar")
+
+
+def keep_dissimilar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those that reach a smaller doc_id over similar pairs; rows with a null id stay."""
+    reach = connected_components(similar_pairs(docs, text, doc_id, words, similarity), "a", "b")
+    gone = reach.where("node > component").select(F.col("node").alias("gone_id"))
+    return docs.join(gone, docs[doc_id] == F.col("gone_id"), "left_anti")
