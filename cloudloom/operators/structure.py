@@ -35,17 +35,17 @@ def _candidates(sample: np.ndarray, normals: np.ndarray | None, draw, n: int) ->
     return np.column_stack([normal, -(normal * pick[good, 0]).sum(axis=1)])
 
 
-def best_plane(points: DataFrame, distance: float, sample_rows: int = 20_000, tries: int = 400, finals: int = 12, seed: int = 0) -> tuple[tuple[float, ...], int] | None:
+def best_plane(points: DataFrame, distance: float, sample_rows: int = 20_000, tries: int = 400, finals: int = 12, seed: int = 0, n: int | None = None) -> tuple[tuple[float, ...], int] | None:
     """(plane, inliers): the plane with the most points within ``distance``.
 
     Candidates come from a bounded sample (``sample_rows`` by a hash of pid) and are
     ranked on it; the best few are counted over all points in one pass.
     """
-    n = points.count()
+    n = points.count() if n is None else n
     if n < 3:
         return None
     some = points if n <= sample_rows else points.where(F.pmod(F.xxhash64(F.lit(seed), "pid"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
-    sample = some.orderBy("pid").select("x", "y", "z").toPandas().to_numpy(float)
+    sample = some.select("pid", "x", "y", "z").toPandas().sort_values("pid")[["x", "y", "z"]].to_numpy(float)
     planes = _candidates(sample, None, np.random.default_rng(seed), tries)
     if not len(planes):
         return None
@@ -58,7 +58,10 @@ def best_plane(points: DataFrame, distance: float, sample_rows: int = 20_000, tr
             refined.append((*vectors[:, 0].tolist(), -float(vectors[:, 0] @ held.mean(axis=0))))
     if not refined:
         return None
-    counts = points.agg(*(F.count_if(F.abs(_offset(p)) <= distance).alias(f"c{i}") for i, p in enumerate(refined))).first()
+    if n <= sample_rows:  # the sample is the table
+        counts = [int((np.abs(sample @ np.array(p[:3]) + p[3]) <= distance).sum()) for p in refined]
+    else:
+        counts = points.agg(*(F.count_if(F.abs(_offset(p)) <= distance).alias(f"c{i}") for i, p in enumerate(refined))).first()
     best = max(range(len(refined)), key=lambda i: (counts[i], -i))
     plane = np.array(refined[best]) * (1 if max(refined[best][:3], key=abs) > 0 else -1)
     return tuple(plane.tolist()), int(counts[best])
@@ -69,12 +72,13 @@ def peel_planes(points: DataFrame, distance: float = 0.02, least: int = 1500, mo
 
     A plane is {plane_id, plane, n}; membership is by the first plane within ``distance``.
     """
-    left, planes = points, []
+    left, planes, n = points, [], points.count()
     while len(planes) < most:
-        got = best_plane(left, distance, seed=seed + len(planes))
+        got = best_plane(left, distance, seed=seed + len(planes), n=n)
         if got is None or got[1] < least:
             break
         planes.append({"plane_id": len(planes), "plane": got[0], "n": got[1]})
+        n -= got[1]
         left = left.where(F.abs(_offset(got[0])) > distance)
         if len(planes) % 4 == 0:
             left = stored(left, "left")
@@ -109,22 +113,22 @@ def horizontal_kind(points: DataFrame, planes: DataFrame, near_band: float = 0.0
 
 def plane_components(points: DataFrame, planes: list[dict], t: dict = STRUCTURE) -> DataFrame:
     """(pid, plane_id, part): the points of each plane by the components of their cells in the plane; for a vertical plane cells run along it and up."""
-    out = None
     held = points.withColumn("plane_id", plane_of(planes, t["plane_distance"])).where("plane_id is not null")
-    held = stored(held, "held")
-    for p in planes:  # a plane a round: there are at most ``planes`` of them
+    along, up, facing = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(True)
+    for p in planes:
         a, b, c, _ = p["plane"]
-        mine = held.where(F.col("plane_id") == p["plane_id"])
+        mine, flat = F.col("plane_id") == p["plane_id"], abs(c) >= 0.9
+        along = F.when(mine, F.col("x") if flat else (F.col("y") * a - F.col("x") * b) / float(max((a * a + b * b) ** 0.5, 1e-9))).otherwise(along)
+        up = F.when(mine, F.col("y") if flat else F.col("z")).otherwise(up)
         if "nx" in points.columns:  # what merely crosses the plane would join its parts
-            mine = mine.where(F.coalesce(F.abs(a * F.col("nx") + b * F.col("ny") + c * F.col("nz")) > 0.85, F.lit(False)))
-        flat = abs(c) >= 0.9
-        s = F.col("x") if flat else (F.col("y") * a - F.col("x") * b) / float(max((a * a + b * b) ** 0.5, 1e-9))
-        u = F.col("y") if flat else F.col("z")
-        mine = mine.withColumns({"i": F.floor(s / t["component_cell"]).cast("long"), "j": F.floor(u / t["component_cell"]).cast("long"), "s_": s, "u_": u})
-        parts = raster.grid_components(mine.select("i", "j"))
-        got = mine.join(parts, ["i", "j"]).select("pid", "plane_id", F.col("component").alias("part"), "x", "y", "z", "s_", "u_", "i", "j")
-        out = got if out is None else out.unionByName(got)
-    return out
+            facing = F.when(mine, F.abs(a * F.col("nx") + b * F.col("ny") + c * F.col("nz")) > 0.85).otherwise(facing)
+    cell = t["component_cell"]
+    held = held.withColumns({"s_": along, "u_": up, "ok_": F.coalesce(facing, F.lit(False))}).where("ok_")
+    # each plane has its own stretch of rows, so one search over cells serves all planes
+    held = held.withColumns({"i": F.floor(F.col("s_") / cell).cast("long") + F.col("plane_id").cast("long") * 4_000_000, "j": F.floor(F.col("u_") / cell).cast("long")})
+    held = stored(held.select("pid", "plane_id", "x", "y", "z", "s_", "u_", "i", "j"), "held")
+    parts = raster.grid_components(held.select("i", "j"))
+    return held.join(parts, ["i", "j"]).withColumnRenamed("component", "part").select("pid", "plane_id", "part", "x", "y", "z", "s_", "u_", "i", "j")
 
 
 def accept_components(parts: DataFrame, planes: list[dict], bottom: float, top: float, t: dict = STRUCTURE, least: int = 200) -> DataFrame:

@@ -948,3 +948,143 @@ def giant_split(spark, sf):
 
     points = lattice(spark, sf).select(F.xxhash64("x", "y", "z", "line", "grp").alias("pid"), (F.col("x") / 2).alias("x"), (F.col("y") / 4).alias("y"), "z", F.col("line").cast("long").alias("cluster_id")).dropDuplicates(["pid"])
     return cluster.split_giants(points, 9.0, [0.0, 4.0])
+
+
+# --- patches, planes and reports --------------------------------------------------
+
+_EDGE_SQL = """edge as (select distinct l_partkey as src, l_partkey + l_suppkey as dst, l_suppkey % 3 = 0 as concave from lineitem where l_linenumber = 1), vote as (
+select least(src % 40, dst % 40) as p, greatest(src % 40, dst % 40) as q, count(*) as contacts, count(*) filter (concave) as concave from edge where src % 40 <> dst % 40 group by all)"""
+
+
+def _votes(spark, sf):
+    from ..operators import cluster
+
+    e = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") + F.col("l_suppkey")).alias("dst"), (F.col("l_suppkey") % 3 == 0).alias("concave")).distinct()
+    nodes = e.select(F.col("src").alias("pid")).union(e.select("dst")).distinct().withColumn("patch", F.col("pid") % 40)
+    return cluster.contact_votes(e, nodes, 0.6)
+
+
+@query(f"with {_EDGE_SQL} select p, q, contacts, concave, 1 - concave / contacts >= 0.6 as merge from vote")
+def contact_votes(spark, sf):
+    """Contacts of patches and their votes."""
+    return _votes(spark, sf)
+
+
+@query(f"""with {_EDGE_SQL}, sides as (select p as patch, q as into_, contacts from vote union all select q, p, contacts from vote)
+select patch, arg_max(into_, (contacts, into_)) as into from sides where patch % 5 = 0 and into_ % 5 > 0 group by patch""")
+def strongest_contact(spark, sf):
+    """A small patch's strongest neighbour."""
+    from ..operators import cluster
+
+    return cluster.strongest_contact(_votes(spark, sf), spark.range(40).select(F.col("id").alias("patch")).where("patch % 5 = 0"))
+
+
+@query(f"""with {_EDGE_SQL}, patch as (select range as patch, case range % 4 when 0 then 'cylindrical' when 1 then 'irregular' when 2 then 'horizontal' else 'vertical' end as family, (range % 9) / 3.0::double as area from range(40)),
+m as (select v.*, a.family as pf, a.area as pa, b.family as qf, b.area as qa from vote v join patch a on a.patch = p join patch b on b.patch = q)
+select p, q from m where not ((pf = 'cylindrical' and ((qf in ('horizontal', 'vertical') and qa >= 1.5) or (qf = 'irregular' and qa >= 0.375))) or (pf = 'irregular' and qf in ('horizontal', 'vertical') and qa >= 1.5)
+or (qf = 'cylindrical' and ((pf in ('horizontal', 'vertical') and pa >= 1.5) or (pf = 'irregular' and pa >= 0.375))) or (qf = 'irregular' and pf in ('horizontal', 'vertical') and pa >= 1.5))""")
+def semantic_veto(spark, sf):
+    """Pairs of patches that may be one thing."""
+    from ..operators import cluster
+
+    n = F.col("id")
+    family = F.element_at(F.array(*map(F.lit, ("cylindrical", "irregular", "horizontal", "vertical"))), (n % 4 + 1).cast("int"))
+    patches = spark.range(40).select(n.alias("patch"), family.alias("family"), ((n % 9).cast("double") / 3.0).alias("area"))
+    return cluster.semantic_veto(_votes(spark, sf), patches).select("p", "q")
+
+
+_PLANES_SQL = "plane as (select s_suppkey as plane_id, (s_suppkey % 7) / 10.0::double - 0.3 as z, (s_suppkey % 5) / 4.0::double - 0.8 as x0, (s_suppkey % 5) / 4.0::double + 0.2 as x1, (s_suppkey % 4) / 4.0::double - 0.8 as y0, (s_suppkey % 4) / 4.0::double + 0.2 as y1 from supplier where s_suppkey <= 40)"
+
+
+def _flats(spark, sf):
+    k = F.col("s_suppkey")
+    d = lambda n, m: (k % n).cast("double") / float(m)
+    return table(spark, sf, "supplier").where(k <= 40).select(k.alias("plane_id"), (d(7, 10) - 0.3).alias("z"), (d(5, 4) - 0.8).alias("x0"), (d(5, 4) + 0.2).alias("x1"), (d(4, 4) - 0.8).alias("y0"), (d(4, 4) + 0.2).alias("y1"))
+
+
+@query(f"""with {CLOUD_SQL}, {_PLANES_SQL}, n as (select plane_id, any_value(p.z) as z, count(*) filter (c.z - p.z between 0.08 and 0.20) as above, count(*) filter (p.z - c.z between 0.08 and 0.20) as below
+ from plane p left join cloud c on c.x between p.x0 and p.x1 and c.y between p.y0 and p.y1 group by plane_id)
+select plane_id, above, below, case when above > 2 and above >= 2 * below then 'floor' when below > 2 and below >= 2 * above then 'ceiling' when z < 0.0 then 'floor' else 'ceiling' end as kind from n""")
+def plane_typing(spark, sf):
+    """Floor or ceiling by what stands above and below."""
+    from ..operators import structure
+
+    return structure.horizontal_kind(cloud(spark, sf), _flats(spark, sf), least=2)
+
+
+_WALLS_SQL = "wall as (select s_suppkey as plane_id, 0.6::double as a, 0.8::double as b, 0.0::double as c, (s_suppkey % 11) / 10.0::double - 0.5 as d, -1.0::double as x0, 0.5::double as x1, -1.0::double as y0, 0.5::double as y1, -0.5::double as z0, 0.5::double as z1 from supplier where s_suppkey <= 12)"
+
+
+@query(f"""with {CLOUD_SQL}, {_WALLS_SQL} select pid from cloud where exists (select 1 from wall w where x between w.x0 - 0.1 and w.x1 + 0.1 and y between w.y0 - 0.1 and w.y1 + 0.1 and z between w.z0 - 0.1 and w.z1 + 0.1
+and abs(w.a * x + w.b * y + w.c * z + w.d) <= 0.05 and abs(w.a * y + w.b * z + w.c * x) >= 0.2)""")
+def wall_completion(spark, sf):
+    """P5: points that complete a wall."""
+    from ..operators import structure
+
+    k = F.col("s_suppkey")
+    walls = table(spark, sf, "supplier").where(k <= 12).select(k.alias("plane_id"), F.lit(0.6).alias("a"), F.lit(0.8).alias("b"), F.lit(0.0).alias("c"), ((k % 11).cast("double") / 10.0 - 0.5).alias("d"), *(F.lit(v).alias(f"{c}{e}") for c, lo, hi in (("x", -1.0, 0.5), ("y", -1.0, 0.5), ("z", -0.5, 0.5)) for e, v in ((0, lo), (1, hi))))
+    points = cloud(spark, sf).withColumns({"nx": F.col("y"), "ny": F.col("z"), "nz": F.col("x")})
+    return structure.wall_completion(points, walls, structure.STRUCTURE | {"wall_align": 0.2}, 0.1)
+
+
+@query(f"""with {CLOUD_SQL}, {_WALLS_SQL}, s as (select label, plane_id, avg((x between x0 - 0.3 and x1 + 0.3 and y between y0 - 0.3 and y1 + 0.3 and z between z0 - 0.3 and z1 + 0.3)::int) as inside, avg((abs(a * x + b * y + c * z + d) <= 0.05)::int) as close
+ from cloud, wall where label > 1 group by all) select label as cluster_id, arg_min((plane_id % 3)::int, plane_id) as code from s where inside >= 0.05 and close >= 0.05 group by label""")
+def structural_residual(spark, sf):
+    """Clusters that are the rest of a plane."""
+    from ..operators import structure
+
+    k = F.col("s_suppkey")
+    planes = table(spark, sf, "supplier").where(k <= 12).select(k.alias("ord"), (k % 3).cast("int").alias("code"), F.lit(0.6).alias("a"), F.lit(0.8).alias("b"), F.lit(0.0).alias("c"), ((k % 11).cast("double") / 10.0 - 0.5).alias("d"), F.lit(0.3).alias("margin"), *(F.lit(v).alias(f"{c}{e}") for c, lo, hi in (("x", -1.0, 0.5), ("y", -1.0, 0.5), ("z", -0.5, 0.5)) for e, v in ((0, lo), (1, hi))))
+    points = cloud(spark, sf).withColumnRenamed("label", "cluster_id")
+    thick = points.select("cluster_id").distinct().withColumn("thickness", F.when(F.col("cluster_id") > 1, 0.1).otherwise(0.5))
+    return structure.structural_residual(points, planes, thick, t=structure.STRUCTURE | {"residual_share": 0.05})
+
+
+
+@query(f"""with {_FEATURE_SQL} select id as instance_id, round_even(a, 4) as d1, round_even(b, 4) as d2, round_even(h, 4) as d3, round_even(robust_z, 4) as z_extent, round_even(to_ceiling, 4) as to_ceiling, round_even(verticality, 4) as verticality,
+case when verticality > 0.7 then 'vertical' when verticality < 0.35 then 'horizontal' else 'oblique' end as way from f""")
+def signatures(spark, sf):
+    """Signatures of instances and their orientation."""
+    f = feature_rows(spark, sf).withColumns({"instance_id": F.col("id"), "label": F.lit(9), "centre": F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))})
+    return review.signature(f).select("instance_id", "d1", "d2", "d3", "z_extent", "to_ceiling", "verticality", expr.orientation(F.col("verticality")).alias("way"))
+
+
+@query(f"""with {_FEATURE_SQL} select id, case when id % 4 = 0 then 'Tubazione' when id % 4 = 1 then 'Condotta circolare' when id % 4 = 2 then 'Condotta rettangolare' else 'Struttura / non-MEP' end as classe, n as n_punti,
+case when id % 4 in (0, 1) and valid then round_even(radius, 4) end as raggio_stimato, case when id % 4 in (0, 1) and valid then round_even(2 * radius, 4) end as diametro_stimato, case when id % 4 in (0, 1) and valid then round_even(length, 3) end as lunghezza_stimata from f""")
+def report_rows(spark, sf):
+    """Rows of the report; cylinder columns only for pipes and round ducts."""
+    from ..sources.writers import instance_rows
+
+    zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    label = F.element_at(F.array(*map(F.lit, (3, 1, 2, 0))), (F.col("id") % 4 + 1).cast("int")).cast("smallint")
+    f = feature_rows(spark, sf).withColumns({"instance_id": F.col("id"), "label": label, "centre": zero, "cylinder": F.struct("cylinder.valid", "cylinder.radius", "cylinder.length", zero.alias("axis"))})
+    return instance_rows(f).select("id", "classe", "n_punti", "raggio_stimato", "diametro_stimato", "lunghezza_stimata")
+
+
+@query("select kind, n from (select 'points' as kind, count(*) as n from events union all select 'users', count(distinct user_id) from events)")
+def union_scans(spark, sf):
+    """Scans together, then totals."""
+    e = table(spark, sf, "events")
+    scans = [e.where(F.col("event_id") % 3 == k).select("event_id", "user_id") for k in range(3)]
+    every = scans[0].unionByName(scans[1]).unionByName(scans[2])
+    return every.agg(F.count(F.lit(1)).alias("points"), F.count_distinct("user_id").alias("users")).selectExpr("stack(2, 'points', points, 'users', users) as (kind, n)")
+
+
+@query("select window_start, event_type, count(*) as n from (select time_bucket(interval '1 hour', ts) as window_start, event_type from events) group by all")
+def event_windows(spark, sf):
+    """An extra: event-time windows with a watermark, as a batch."""
+    e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "10 minutes")
+    return e.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query()
+def room_structure(spark, sf):
+    """Floor, ceiling and walls of a synthetic room."""
+    from ..operators import structure
+    from ..plans.model import STRUCTURE
+    from . import scene
+
+    points = voxel.voxel_downsample(scene.room_points(spark, structure_step=0.12, object_step=0.06), 0.1).withColumnRenamed("rid", "pid")
+    points = points.join(features.local_normals(points, 0.25), "pid").withColumn("label", F.lit(CODE["MEP_GENERICO"]).cast("smallint"))
+    out, _, _, _ = structure.extract_structure(points, STRUCTURE)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
