@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import voxel_index
 from ..plans.model import CODE, STRUCTURE
-from . import ordered, raster, voxel
+from . import raster, voxel
 from .spatial import near
 from .tables import stored
 
@@ -178,7 +178,13 @@ def structural_residual(points: DataFrame, planes: DataFrame, thickness: DataFra
 
 def floor_map(points: DataFrame, cell: float = 0.5, gap: float = 0.5, least: int = 30) -> DataFrame:
     """(level, i, j, z): the lowest floor point of each cell, for levels (split at gaps) with enough points."""
-    runs = ordered.gap_islands(points.withColumn("all_", F.lit(0)), ["all_"], "z", gap, "level")
+    # a bin of half a gap holds no gap, so levels follow from the bins' bounds and no window sees a point
+    width = F.lit(gap / 2)
+    bins = points.groupBy(F.floor(F.col("z") / width).alias("bin_")).agg(F.min("z").alias("low_"), F.max("z").alias("high_"))
+    order = Window.orderBy("bin_")
+    new = F.coalesce(((F.col("low_") - F.lag("high_").over(order)) > gap).cast("int"), F.lit(0))
+    level_of = bins.withColumn("new_", new).withColumn("level", F.sum("new_").over(order)).select("bin_", "level")
+    runs = points.withColumn("bin_", F.floor(F.col("z") / width)).join(level_of, "bin_")
     big = runs.groupBy("level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("level")
     return runs.join(big, "level", "left_semi").groupBy("level", voxel_index(F.col("x"), cell).alias("i"), voxel_index(F.col("y"), cell).alias("j")).agg(F.min("z").alias("z"))
 
@@ -255,7 +261,7 @@ def extract_structure(points: DataFrame, t: dict = STRUCTURE, seed: int = 0) ->
     n = points.count()
     least = max(t["plane_points"] if n > 40 * t["plane_points"] else max(50, n // 100), 50)
     planes, _ = peel_planes(points, t["plane_distance"], least, t["planes"], seed)
-    span = points.agg(F.percentile("z", F.lit(0.005)).alias("a"), F.percentile("z", F.lit(0.995)).alias("b")).first()
+    span = points.agg(F.percentile_approx("z", F.lit(0.005), F.lit(20_000)).alias("a"), F.percentile_approx("z", F.lit(0.995), F.lit(20_000)).alias("b")).first()  # a sketch: no task holds all heights
     if not planes:
         return points, None, float(span.a or 0.0), float(span.b or 0.0)
     parts = stored(plane_components(points, planes, t), "parts")

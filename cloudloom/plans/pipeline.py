@@ -43,7 +43,12 @@ def preprocess(points: DataFrame, config: Config) -> DataFrame:
 def split_clusters(points: DataFrame, ceiling: float, floors: list[float], config: Config) -> DataFrame:
     """(pid, cluster_id): giants, then runs between gaps, then directions; scraps and small runs lose their cluster."""
     t = config.cluster
-    renumber = lambda df, part: df.withColumn("cluster_id", F.when(F.col(part) >= 0, F.dense_rank().over(Window.orderBy("cluster_id", part)).cast("long"))).select("pid", "cluster_id")
+
+    def renumber(df: DataFrame, part: str) -> DataFrame:
+        every = df.where(F.col(part) >= 0).groupBy("cluster_id", part).agg(F.count(F.lit(1)).alias("size_"))
+        number = every.withColumn("new_", F.row_number().over(Window.orderBy("cluster_id", part)).cast("long")).drop("size_")  # a row a part
+        return df.join(number, ["cluster_id", part], "left").select("pid", F.col("new_").alias("cluster_id"))
+
     got = stored(renumber(cluster.split_giants(points, ceiling, floors, t), "part").where("cluster_id is not null"), "giants")
     held = points.drop("cluster_id").join(got, "pid")
     eigen = features.with_eigen(features.scatter_sums(held, ["cluster_id"]))
