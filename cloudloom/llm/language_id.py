@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_free, stored
-from .tokens import batches
+from .tokens import batches, release
 
 SAMPLE_ROWS = 10_000  # about so many labelled rows are learnt from, at most
-MAX_GRAMS = 120_000  # of each order, the most frequent; words are order 0
+MAX_GRAMS = 80_000  # of each order, the most frequent; words are order 0
 ORDERS = (4, 3, 2, 1)
-REMEMBERED = 200_000  # unseen words that a worker remembers
+REMEMBERED = 60_000  # unseen words that a worker remembers
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -141,6 +141,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_name: str =
     at = docs.columns.index(text)
 
     def run(parts):
+        release()
         known = held.value
         for batch in batches(parts, text):
             got = [known.predict(t) for t in batch.column(at).to_pylist()]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import stored
-from .tokens import batches
+from .tokens import batches, release
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width of each
 GENERATOR = 0b101011100011  # fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the binary Golay code of length 23
@@ -244,6 +244,7 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
 
     def prints(parts):
+        release()
         for batch in batches(parts, "t"):
             got = np.frombuffer(b"".join([word_fingerprint(t or b"") for t in batch.column(1).to_pylist()]), "<i8").reshape(-1, 4)
             yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(4))], names=["id", "f0", "f1", "f2", "f3"])
@@ -251,6 +252,7 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     marks = stored(rows.mapInArrow(prints, "id long, f0 long, f1 long, f2 long, f3 long"), "marks")
 
     def keyed(parts):
+        release()
         for batch in parts:
             ids = batch.column(0).to_numpy()
             fp = np.stack([batch.column(k).to_numpy() for k in range(1, 5)], axis=1).astype("<i8").view(np.uint8).reshape(-1, 32)
@@ -269,6 +271,7 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     texts = close.join(part.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(part.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def compare(parts):
+        release()
         for batch in batches(parts, "tb"):
             good = [shingle_similarity(x or b"", y or b"", words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-CACHE = 400_000  # pieces, and pre-tokens, that a worker remembers
+CACHE = 300_000  # pieces, and pre-tokens, that a worker remembers
 SEQUENCE, BATCH = 2048, 64
 
 # Fixed value: the byte-level pre-tokenizer's published pattern.
@@ -141,6 +141,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Drop this worker's encoders: workers are used again, and other operators' tasks need the memory."""
+    _encoders.clear()
+
+
 def batches(rows: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that long texts do not add up."""
     for batch in rows:
