@@ -190,7 +190,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 
 WIDE_SEGMENTS, WIDE_BITS = 12, 21
 OFFSETS = (1, 5)  # the decoded segment stands so many after the exact one
-FAR_BITS = 56  # of 256; near copies at a similarity of 0.8 differ in about 25 at most
+FAR_BITS = 44  # of 256; near copies at a similarity of 0.8 differ in about 25 at most
 
 
 def word_fingerprint(text: bytes) -> bytes:
@@ -267,8 +267,21 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     of = lambda p: marks.select(F.col("id").alias(p), *(F.col(f"f{k}").alias(f"{p}{k}") for k in range(4)))
     bits = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)), F.lit(0))
     close = stored(met.join(of("a"), "a").join(of("b"), "b").where(bits <= FAR_BITS).select("a", "b").distinct(), "close")
-    part = stored(rows.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
-    texts = close.join(part.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(part.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    # each document first meets its least partner; of the other pairs, those that this has joined need no look
+    first = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = _compared(first, rows, words, similarity)
+    reach = connected_components(found, "a", "b")
+    side = lambda p: reach.select(F.col("node").alias(p), F.col("component").alias(f"{p}_of"))
+    apart = F.coalesce("a_of", "a") != F.coalesce("b_of", "b")
+    rest = close.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(apart).select("a", "b")
+    return found.unionByName(_compared(stored(rest, "rest"), rows, words, similarity))
+
+
+def _compared(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose texts in ``rows`` (id, t) are similar."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    part = stored(rows.join(ends, "id", "left_semi"), "texts")
+    texts = pairs.join(part.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(part.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def compare(parts):
         release()
