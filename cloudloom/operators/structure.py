@@ -25,7 +25,7 @@ def _offset(plane) -> Column:
     return a * F.col("x") + b * F.col("y") + c * F.col("z") + d
 
 
-def _candidates(sample: np.ndarray, normals: np.ndarray | None, draw, n: int) -> np.ndarray:
+def _candidates(sample: np.ndarray, draw, n: int) -> np.ndarray:
     """Planes (a, b, c, d) through random triples of the sample."""
     pick = sample[draw.integers(0, len(sample), (n, 3))]
     normal = np.cross(pick[:, 1] - pick[:, 0], pick[:, 2] - pick[:, 0])
@@ -46,7 +46,7 @@ def best_plane(points: DataFrame, distance: float, sample_rows: int = 20_000, tr
         return None
     some = points if n <= sample_rows else points.where(F.pmod(F.xxhash64(F.lit(seed), "pid"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
     sample = some.select("pid", "x", "y", "z").toPandas().sort_values("pid")[["x", "y", "z"]].to_numpy(float)
-    planes = _candidates(sample, None, np.random.default_rng(seed), tries)
+    planes = _candidates(sample, np.random.default_rng(seed), tries)
     if not len(planes):
         return None
     hits = np.array([(np.abs(sample @ p[:3] + p[3]) <= distance).sum() for p in planes])

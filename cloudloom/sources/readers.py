@@ -1,8 +1,8 @@
 """Sources: a folder, file or glob of any format becomes the one point schema.
 
-Text goes through Spark's own reader. Binary formats come as whole files; each is parsed
-where it lies and split into Arrow batches, so one task reads one file. Point ids are the
-file's place and the row's, which say the same on every read.
+Text goes through Spark's own reader and is stored once with its ids. Binary formats come
+as whole files; each is parsed where it lies and split into Arrow batches, so one task
+reads one file, and ids are the file's place and the row's.
 """
 
 from __future__ import annotations
@@ -44,25 +44,22 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return read_text(spark, path) if kind in TEXT else read_binary(spark, path).drop("classe")
 
 
-def _with_pid(df: DataFrame) -> DataFrame:
-    return df
-
-
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """x y z [r g b | intensity]: six columns or more are colours (scaled if none exceeds 1), exactly four an intensity. Fewer than three are an error."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"))
-    cut = lines.where(F.length(F.trim("value")) > 0).where(~F.col("value").startswith("#")).select("source", F.split(F.trim("value"), r"[\s,;]+").alias("v"), F.xxhash64("source", "value").alias("h"))
+    cut = lines.where(F.length(F.trim("value")) > 0).where(~F.col("value").startswith("#")).select("source", F.split(F.trim("value"), r"[\s,;]+").alias("v"))
     v = lambda k: F.get("v", F.lit(k)).try_cast("double")
-    rows = cut.select(*(v(k).alias(c) for k, c in enumerate("xyz")), F.size("v").alias("n"), v(3).alias("c3"), v(4).alias("c4"), v(5).alias("c5"), "source", "h")
+    rows = cut.select(*(v(k).alias(c) for k, c in enumerate("xyz")), F.size("v").alias("n"), v(3).alias("c3"), v(4).alias("c4"), v(5).alias("c5"), "source")
     about = rows.agg(F.min("n").alias("few"), F.max(F.when(F.col("n") >= 6, F.greatest("c3", "c4", "c5"))).alias("top")).first()
     if about.few is not None and about.few < 3:
         raise ValueError("a line has fewer than three columns")
     factor = 255.0 if about.top is not None and about.top <= 1.0 else 1.0
     colour = lambda c: F.when(F.col("n") >= 6, F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.bround(F.col(c) * factor)))).cast("smallint")
-    return rows.select(
-        F.col("h").alias("pid"), "x", "y", "z", colour("c3").alias("r"), colour("c4").alias("g"), colour("c5").alias("b"),
+    out = rows.select(
+        F.monotonically_increasing_id().alias("pid"), "x", "y", "z", colour("c3").alias("r"), colour("c4").alias("g"), colour("c5").alias("b"),
         F.when(F.col("n") == 4, F.col("c3")).cast("float").alias("intensity"), "source",
     )
+    return stored(out, "points")  # parsed once, and the ids stay what they are
 
 
 def _parse(path: str, data: bytes) -> dict[str, np.ndarray]:
