@@ -189,7 +189,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 # meets is compared by fingerprint first, then by the words' shingles, exactly.
 
 WIDE_SEGMENTS, WIDE_BITS = 12, 21
-OFFSETS = (1, 5)  # the decoded segment stands so many after the exact one
+OFFSETS = (1,)  # the decoded segment stands so many after the exact one
 FAR_BITS = 44  # of 256; near copies at a similarity of 0.8 differ in about 25 at most
 
 
