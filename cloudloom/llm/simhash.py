@@ -183,43 +183,97 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 
 # --- near copies by similarity ----------------------------------------------------
 #
-# Copies with a few edited words keep most of their different words, so the SimHash of
-# the set of words (256 bits) differs in few bits. It is cut into twelve segments of 21
-# bits; a key is one segment as it is and the next one's Golay codewords, 33 bits. What
-# meets is compared by fingerprint first, then by the words' shingles, exactly.
+# Sets of word shingles that are ``similarity`` alike share at least that part of the
+# larger set. So with all sets in one order of shingles, each pair has a shingle that is
+# among the first n - ceil(similarity * n) + 1 of both (prefix filter): these are a
+# document's keys, and no similar pair is without a common one. The order puts shingles
+# that many documents have last, by their counts, which keeps buckets small; any order
+# gives the same pairs. What meets is compared by the shingles themselves.
 
-WIDE_SEGMENTS, WIDE_BITS = 12, 21
-OFFSETS = (1,)  # the decoded segment stands so many after the exact one
-FAR_BITS = 44  # of 256; near copies at a similarity of 0.8 differ in about 25 at most
+COMMON, OFTEN = 20_000, 8  # so many shingles stand last at most; counted where a block of texts has one so often
+BLOCK = 1 << 20  # shingles counted at once
+KNOWN_WORDS = 200_000  # words whose hash a worker remembers
 
 
-def word_fingerprint(text: bytes) -> bytes:
-    """256 bits of a text's different words; no bit is set without words."""
-    import xxhash
+class _Words(dict):
+    """64-bit hashes of words."""
 
-    words = set(text.lower().split())
-    if not words:
-        return bytes(32)
-    hashed = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2) for w in words]), np.uint8).reshape(-1, 32)
-    counts = np.zeros(256, np.int64)
-    for at in range(0, len(hashed), 4096):
-        counts += np.unpackbits(hashed[at : at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(words), bitorder="little").tobytes()
-
-
-def wide_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of fingerprints (n, 32 bytes)."""
-    bits = np.unpackbits(fp, axis=1, bitorder="little")[:, : WIDE_SEGMENTS * WIDE_BITS].reshape(len(fp), WIDE_SEGMENTS, WIDE_BITS)
-    parts = bits.astype(np.int64) @ (1 << np.arange(WIDE_BITS, dtype=np.int64))
-    codes = [golay_keys(parts[:, k]) for k in range(WIDE_SEGMENTS)]
-    rows, keys = [], []
-    for t, offset in enumerate(OFFSETS):
-        for i in range(WIDE_SEGMENTS):
-            code = codes[(i + offset) % WIDE_SEGMENTS]
-            row, col = np.nonzero(code >= 0)
-            rows.append(row)
-            keys.append((t * WIDE_SEGMENTS + i) << 33 | parts[row, i] << 12 | code[row, col])
-    return np.concatenate(rows), np.concatenate(keys)
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(self) < KNOWN_WORDS:
+            self[word] = h
+        return h
+
+
+def shingle_hashes(text: bytes, known: _Words, words: int = 5) -> np.ndarray:
+    """Hashes of a text's different word shingles, ascending; a text of fewer words is one shingle, one without words has none."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    out = np.zeros(max(1, len(h) - words + 1), np.uint64)
+    for i in range(min(words, len(h))):
+        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def common_shingles(rows: DataFrame, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the shingles of ``rows`` (id, t) that most documents have, ascending by hash."""
+
+    def count(parts):
+        release()
+        known, held, n = _Words(), [], 0
+
+        def out():
+            shingle, c = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+            often = c >= OFTEN
+            return pa.record_batch([pa.array(shingle[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["shingle", "c"])
+
+        for batch in batches(parts, "t"):
+            for t in batch.column(1).to_pylist():
+                held.append(shingle_hashes(t or b"", known, words))
+                n += len(held[-1])
+                if n >= BLOCK:
+                    yield out()
+                    held, n = [], 0
+        yield out()
+
+    counted = rows.mapInArrow(count, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
+    top = counted.orderBy(F.desc("c"), "shingle").limit(COMMON).toArrow()
+    shingle, c = top["shingle"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    order = np.argsort(shingle)
+    return shingle[order], c[order]
+
+
+def shingle_keys(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, id, n, at): the keys of ``rows`` (id, t), the number of a document's shingles and the key's place among them."""
+    shingle, count = common_shingles(rows, words)
+
+    def run(parts):
+        release()
+        known = _Words()
+        for batch in batches(parts, "t"):
+            keys, sizes, ns = [], [], []
+            for t in batch.column(1).to_pylist():
+                h = shingle_hashes(t or b"", known, words)
+                n = len(h)
+                first = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                if len(shingle) and n:
+                    place = np.minimum(np.searchsorted(shingle, h), len(shingle) - 1)
+                    h = h[np.argsort(np.where(shingle[place] == h, count[place], 0), kind="stable")]
+                keys.append(h[:first] if n else np.zeros(1, np.uint64))  # texts without words are alike
+                sizes.append(len(keys[-1]))
+                ns.append(n)
+            sizes = np.asarray(sizes, np.int64)
+            at = np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
+            ids = np.repeat(batch.column(0).to_numpy(), sizes)
+            columns = [np.concatenate(keys).view(np.int64), ids, np.repeat(np.asarray(ns, np.int32), sizes), at.astype(np.int32)] if keys else [[]] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "id", "n", "at"])
+
+    return rows.mapInArrow(run, "key long, id long, n int, at int")
 
 
 def shingle_similarity(a: bytes, b: bytes, words: int = 5) -> float:
@@ -237,44 +291,35 @@ def shingle_similarity(a: bytes, b: bytes, words: int = 5) -> float:
 def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): documents whose shingle sets are at least ``similarity`` alike, found by their keys.
 
-    In a bucket every member meets its least and its greatest member, so pairs are linear
-    in the members, and all pairs of up to three are met. A document with a null id takes
-    no part.
+    In a bucket every member meets its least and its greatest member. A document with a
+    null id takes no part.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-
-    def prints(parts):
-        release()
-        for batch in batches(parts, "t"):
-            got = np.frombuffer(b"".join([word_fingerprint(t or b"") for t in batch.column(1).to_pylist()]), "<i8").reshape(-1, 4)
-            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(4))], names=["id", "f0", "f1", "f2", "f3"])
-
-    marks = stored(rows.mapInArrow(prints, "id long, f0 long, f1 long, f2 long, f3 long"), "marks")
-
-    def keyed(parts):
-        release()
-        for batch in parts:
-            ids = batch.column(0).to_numpy()
-            fp = np.stack([batch.column(k).to_numpy() for k in range(1, 5)], axis=1).astype("<i8").view(np.uint8).reshape(-1, 32)
-            for at in range(0, len(ids), 1024):
-                row, key = wide_keys(fp[at : at + 1024])
-                yield pa.record_batch([pa.array(key), pa.array(ids[at : at + 1024][row])], names=["key", "id"])
-
-    keys = stored(marks.mapInArrow(keyed, "key long, id long"), "keys")
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    ends = F.explode(F.array("low", "high"))
-    met = keys.join(shared, "key").select("id", ends.alias("end")).where("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
-    of = lambda p: marks.select(F.col("id").alias(p), *(F.col(f"f{k}").alias(f"{p}{k}") for k in range(4)))
-    bits = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)), F.lit(0))
-    close = stored(met.join(of("a"), "a").join(of("b"), "b").where(bits <= FAR_BITS).select("a", "b").distinct(), "close")
+    keys = stored(shingle_keys(rows, words, similarity), "keys")
+    ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = stored(keys.join(ends, "key"), "shared")
+    of = lambda p: (F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("at").alias(f"at{p}"))
+    # what can still be common from a pair's first common key on must do
+    fit = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def star(end: str) -> DataFrame:
+        centre, member = shared.where(F.col("id") == F.col(end)).select("key", *of("a")), shared.where(F.col("id") != F.col(end)).select("key", *of("b"))
+        return centre.join(member, "key").where(fit).select(*ordered).distinct()
+
+    low = stored(star("low"), "low")
     # each document first meets its least partner; of the other pairs, those that this has joined need no look
-    first = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = low.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = _compared(first, rows, words, similarity)
-    reach = connected_components(found, "a", "b")
+    rest = low.unionByName(star("high")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = stored(_apart(rest, connected_components(found, "a", "b")), "rest")
+    return found.unionByName(_compared(rest, rows, words, similarity))
+
+
+def _apart(pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that are in different components of ``reach`` (node, component)."""
     side = lambda p: reach.select(F.col("node").alias(p), F.col("component").alias(f"{p}_of"))
-    apart = F.coalesce("a_of", "a") != F.coalesce("b_of", "b")
-    rest = close.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(apart).select("a", "b")
-    return found.unionByName(_compared(stored(rest, "rest"), rows, words, similarity))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
 
 
 def _compared(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
