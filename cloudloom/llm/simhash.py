@@ -289,10 +289,11 @@ def shingle_similarity(a: bytes, b: bytes, words: int = 5) -> float:
 
 
 def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): documents whose shingle sets are at least ``similarity`` alike, found by their keys.
+    """(a, b): pairs of documents whose shingle sets are at least ``similarity`` alike, enough to link each such pair.
 
-    In a bucket every member meets its least and its greatest member. A document with a
-    null id takes no part.
+    In a bucket every member first meets the least and the greatest member. Then all
+    pairs of members that these links have not joined meet, whatever the bucket's size.
+    A document with a null id takes no part.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     keys = stored(shingle_keys(rows, words, similarity), "keys")
@@ -313,7 +314,18 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     found = _compared(first, rows, words, similarity)
     rest = low.unionByName(star("high")).distinct().join(first, ["a", "b"], "left_anti")
     rest = stored(_apart(rest, connected_components(found, "a", "b")), "rest")
-    return found.unionByName(_compared(rest, rows, words, similarity))
+    found = found.unionByName(_compared(rest, rows, words, similarity))
+    reach = connected_components(found, "a", "b").select(F.col("node").alias("id"), "component")
+    # buckets that are still in several parts, by part, so that a part is not joined with itself
+    split = stored(shared.drop("low", "high").join(reach, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "split")
+    several = split.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
+    split = stored(split.join(several, "key", "left_semi"), "several")
+    parts = split.select("key", "part").distinct()
+    meet = parts.withColumnRenamed("part", "part_a").join(parts.withColumnRenamed("part", "part_b"), "key").where("part_a < part_b")
+    left, right = split.select("key", F.col("part").alias("part_a"), *of("a")), split.select("key", F.col("part").alias("part_b"), *of("b"))
+    every = meet.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where(fit & (F.col("a") != F.col("b"))).select(*ordered).distinct()
+    every = every.join(first.unionByName(rest), ["a", "b"], "left_anti")
+    return found.unionByName(_compared(stored(every, "every"), rows, words, similarity))
 
 
 def _apart(pairs: DataFrame, reach: DataFrame) -> DataFrame:

@@ -28,6 +28,31 @@ def kept(spark, texts):
     return {r.doc_id for r in simhash.keep_dissimilar(rows).collect()}
 
 
+def test_reordered_texts_of_one_vocabulary(spark):
+    """All have one set of words; each text's copy stands far from it and neither is the least or greatest document."""
+    draw = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [draw.permutation(vocabulary * 2).tolist() for _ in range(12)]
+    copies = [[*b[2:], *b[:2]] for b in base[1:11]]
+    texts = [" ".join(x) for x in [*base, *copies, draw.permutation(vocabulary * 2).tolist()]]
+    want = left_by_brute_force(texts)
+    assert len(want) == 13 and kept(spark, texts) == want
+
+
+def test_a_bucket_of_unlike_documents_with_copies_inside(spark):
+    """One passage is in all documents, the least and the greatest are unlike the rest."""
+    draw = np.random.default_rng(12)
+    words = lambda n: [f"x{i}" for i in draw.integers(0, 1 << 40, n)]
+    passage = words(40)
+    texts = [passage + words(8)]
+    for _ in range(15):
+        own = words(12)
+        texts += [passage + own, [*passage, *own[:-1], "end"]]
+    texts = [" ".join(x) for x in [*texts, passage + words(9)]]
+    want = left_by_brute_force(texts)
+    assert len(want) == 17 and kept(spark, texts) == want
+
+
 def test_appended_passages_at_the_bound(spark):
     """A quarter of new words at the end: the similarity is just 0.8 and all are found."""
     draw = np.random.default_rng(13)
