@@ -144,11 +144,11 @@ def slots(runs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut into full pieces but the first."""
 
     def run(parts):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, added)
         for batch in batches(parts, most=6 << 20):
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -203,10 +203,10 @@ def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: in
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Every piece of every row of ``docs`` with its place: a null or empty text is the end id alone.
 
     Rows that share a doc_id are packed each on its own; a null doc_id is kept.
     """
-    rows = stored(pieces(docs, tokenizer, text, doc_id, end_id, capacity, with_ids), "pieces")
+    rows = stored(pieces(docs, tokenizer, text, doc_id, end_id, capacity, with_ids, added), "pieces")
     return pack(rows, ["doc_id", "piece", "start", "ids_crc32"], "length", capacity)

@@ -28,7 +28,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tokens.write_files(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), tokenizer_path())
+    files = tokens.write_files(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), tokenizer_path(), added=True)
     return tokens.read_documents(files, tokens.crc_of, "doc_id long, start long, n_tokens long, value long").withColumnRenamed("value", "ids_crc32")
 
 

@@ -3,7 +3,9 @@
 Encoding. The byte-level pre-tokenizer always cuts before the last white-space character
 of a run, so what lies between such cuts can be encoded alone. A worker keeps the ids of
 the pieces it has met (up to ``CACHE``) and asks the tokenizers library only for the
-others; the ids are the library's own.
+others; the ids are the library's own. With ``added``, a text that holds an added token's
+content (``<|endoftext|>``) goes to the library whole, which finds it there by default;
+without, such content is encoded as other text is.
 
 Files. The ids of all documents in ascending order, each with the end id, are one
 stream. Each range of documents is one Arrow file whose record batches hold fixed-size
@@ -37,7 +39,7 @@ MARKS = ".,;:!?|#$%&*"
 BEGIN = "\x01"  # before a text's first part; texts that hold it take another way
 _PIECE = re.compile(r"\s*\S+|\s+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the pre-tokenizer
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_names() -> dict[int, int]:
@@ -74,15 +76,17 @@ class _Parts(dict):
 
 
 class Encoder:
-    """Ids of texts as unsigned 32-bit arrays."""
+    """Ids of texts as unsigned 32-bit arrays; ``added``: added tokens are found in texts."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        contents = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(contents)).search if contents else None
         self.size = self.tokenizer.get_vocab_size()
         self.split = regex.compile(PRETOKEN).findall
         self.tokens, self.parts = _Pretokens(self.tokenizer.model), _Parts(self)
@@ -109,6 +113,9 @@ class Encoder:
             line = text.replace("\n", " \n")
             if not text:
                 continue
+            if self.added and self.added(text):
+                out[i] = self._whole(text)
+                continue
             if line[0] == " " or line[-1] in " \n" or "  " in line or "\n " in line or not text.replace("\n", " ").isprintable():
                 out[i] = self._apart(text)  # other white space, or some beside another
             else:
@@ -130,15 +137,18 @@ class Encoder:
 
     def _apart(self, text: str) -> np.ndarray:
         if _SEPARATORS.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            return self._whole(text)
         return np.frombuffer(b"".join(map(self.piece, _PIECE.findall(text))), "<u4")
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One encoder a worker, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 def release() -> None:
@@ -220,7 +230,7 @@ class _Writer:
         self.out.close()
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, sequence: int = SEQUENCE) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, sequence: int = SEQUENCE, added: bool = False) -> DataFrame:
     """Write ``docs`` as files in ``folder`` in ascending doc_id order; a row for each file.
 
     Rows: part, path, n_docs, n_tokens. A null text gives the end id alone; null ids come
@@ -234,7 +244,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text"
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part, enc = task.partitionId(), encoder(tokenizer)
+        part, enc = task.partitionId(), encoder(tokenizer, added)
         dtype = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
         files, base = _filesystem(folder)
         files.create_dir(base, recursive=True)
