@@ -18,6 +18,7 @@ masked out, which again loses no link and costs a fixed number of rows each.
 
 from __future__ import annotations
 
+import gc
 from functools import cache
 from itertools import combinations
 
@@ -323,9 +324,17 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     parts = split.select("key", "part").distinct()
     meet = parts.withColumnRenamed("part", "part_a").join(parts.withColumnRenamed("part", "part_b"), "key").where("part_a < part_b")
     left, right = split.select("key", F.col("part").alias("part_a"), *of("a")), split.select("key", F.col("part").alias("part_b"), *of("b"))
-    every = meet.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where(fit & (F.col("a") != F.col("b"))).select(*ordered).distinct()
+    joint = meet.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where(F.col("a") != F.col("b"))
+    # all common keys of a pair are here; of the document whose keys end first, only what follows its keys can be common too
+    counted = joint.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.min("ata").alias("ata"), F.min("atb").alias("atb"))
+    after = F.ceil(F.greatest("na", "nb") * F.lit(similarity) - 1e-9) - 1
+    most = F.col("c") + after >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
+    every = counted.where(fit & most).select(*ordered).distinct()
     every = every.join(first.unionByName(rest), ["a", "b"], "left_anti")
-    return found.unionByName(_compared(stored(every, "every"), rows, words, similarity))
+    every = stored(every, "every")
+    gc.collect()  # Spark removes the shuffle files of the steps before when the driver's garbage goes
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    return found.unionByName(_compared(every, rows, words, similarity))
 
 
 def _apart(pairs: DataFrame, reach: DataFrame) -> DataFrame:
