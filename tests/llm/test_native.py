@@ -37,10 +37,40 @@ def test_exact_dedup_stage_keeps_columns_and_one_row(spark):
     assert exact_dedup.keep_first(docs(spark, [])).count() == 0
 
 
-def test_directory_doubles_only_where_a_bucket_is_full():
-    depth, slots = exact_dedup.directory_of({0: 100, 1: 1, 2: 1, 3: 1}, 2, 50)
-    assert depth == 2 and [b for b, _ in slots] == [0, 1, 2, 2] and [d for _, d in slots] == [2, 2, 1, 1]
-    assert exact_dedup.directory_of({}, 3, 10) == (0, [(0, 0)])
+def test_directory_doubles_only_where_a_bucket_is_full(spark):
+    loads = spark.createDataFrame([(0, 100), (1, 1), (2, 1), (3, 1)], "p long, b long")
+    got = sorted(tuple(r) for r in exact_dedup.directory_of(loads, 2, 50).select("slot", "bucket", "depth", "pages").collect())
+    assert got == [(0, 0, 2, 2), (1, 1, 2, 1), (2, 2, 1, 1), (3, 2, 1, 1)]
+    assert exact_dedup.directory_of(loads, 2, 500).select("slot", "bucket", "depth", "pages").collect() == [(0, 0, 0, 1)]
+    assert exact_dedup.directory_of(loads.limit(0), 2, 50).count() == 0
+
+
+@pytest.mark.parametrize("bucket_bytes", [8, 64, 1 << 20])
+def test_colliding_hashes_chain_and_bytes_decide(spark, bucket_bytes):
+    """All texts have one hash, then one of two: the chains of the index tell them apart, over pages or not."""
+    for key in (lambda norm: F.lit(-5).cast("long"), lambda norm: F.pmod(F.xxhash64(norm), F.lit(2))):
+        keyed = exact_dedup.keyed_rows(docs(spark, TEXTS), "text", "doc_id", key)
+        index, directory = exact_dedup.build_index(keyed, bucket_bytes)
+        chains = {}
+        for r in index.collect():
+            chains.setdefault(r.h, []).append(r.chain)
+        assert len(chains) <= 2 and all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values())
+        assert bucket_bytes > 64 or directory.agg(F.max("pages")).first()[0] > 1
+        got = exact_dedup.exact_dedup(docs(spark, TEXTS), bucket_bytes=bucket_bytes, key=key).drop("bucket")
+        assert sorted(map(str, got.collect())) == sorted(map(str, exact_dedup.exact_dedup(docs(spark, TEXTS)).drop("bucket").collect()))
+
+
+def test_answers_come_out_of_the_index(spark, monkeypatch):
+    """An index that says otherwise changes every row."""
+    real = exact_dedup.build_index
+
+    def other(keyed, *rest):
+        index, directory = real(keyed, *rest)
+        return index.withColumns({"group_size": F.lit(77), "stays": F.struct(F.lit(0).alias("cp"), F.lit(-9).cast("long").alias("doc_id"), F.lit(-1).cast("long").alias("row"))}), directory
+
+    monkeypatch.setattr(exact_dedup, "build_index", other)
+    got = exact_dedup.exact_dedup(docs(spark, TEXTS)).collect()
+    assert {(r.keep_id, r.group_size, r.kept) for r in got} == {(-9, 77, False)} and len(got) == len(TEXTS)
 
 
 LINE = "This line is shared by many documents"
