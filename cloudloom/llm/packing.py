@@ -3,11 +3,20 @@
 Only the length histogram (one count for each length up to the capacity) reaches the
 driver, whatever the number of documents. A configuration is a multiset of lengths that
 fits one sequence; the program asks for the fewest configurations that cover all counts.
-Multiplicative weights solve it: each length has a price that falls as its count gets
-covered, a bounded-knapsack dynamic program finds the configuration of the highest price,
-and that is used for a share of its scarcest length. The solution is rounded to whole
-sequences, the rest is solved again, and what rounding leaves at last (an amount that
-depends on the number of configurations, not on the data) goes best fit by length.
+
+Multiplicative weights solve it. A length's weight falls exponentially with the part of
+its count that is covered so far; its price is its weight over its count. One knapsack
+dynamic program prices all lengths at once: it gives the configuration of the highest
+price and, for each length, the best configuration that holds it. Those close to the
+highest price are used for a small share of their counts, so no length gains more than
+``STEP`` of its count before prices are taken again. The uses of all rounds, averaged, are
+the solution. Each round's prices over the highest price are a solution of the dual
+program, so they bound the number of sequences from below; when rounding comes within
+``GAP`` of the best bound, the rounds end.
+
+The solution is rounded down to whole sequences, what is left is solved again, and the
+rest goes best fit. Best fit works on counts too: bins that are filled alike are one
+entry. Of the tries, plain best fit among them, the one with the fewest sequences stays.
 
 The plan is a table of slots: for each (length, configuration) which ranks of that length
 go where. Pieces get ranks within their length by hash buckets and running counts of the
@@ -18,6 +27,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,107 +38,149 @@ from .common import stored
 from .tokens import batches, crc_of, encoder
 
 CAPACITY = 2048
-PRICED = 200  # lengths that one pricing looks at
-
-
-def best_configuration(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """{index: copies} of the highest total price within ``capacity``, at most ``counts`` copies of each."""
-    best, taken, items = np.zeros(capacity + 1), [], []
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        left, step = min(int(counts[i]), capacity // int(lengths[i])), 1
-        while left > 0:
-            n = min(step, left)
-            w, v = n * int(lengths[i]), n * prices[i]
-            with_it = best[: capacity + 1 - w] + v
-            better = with_it > best[w:] + 1e-12
-            if better.any():
-                best[w:] = np.where(better, with_it, best[w:])
-                taken.append((w, better))
-                items.append((i, n))
-            left, step = left - n, step * 2
-    out: Counter[int] = Counter()
-    room = capacity
-    for (i, n), (w, better) in zip(reversed(items), reversed(taken), strict=True):
-        if room >= w and better[room - w]:
-            out[i] += n
-            room -= w
-    return dict(out)
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, eta: float, share: float) -> list[tuple[dict[int, int], float]]:
-    """[(configuration, times)] that cover ``counts``, by multiplicative weights.
-
-    ``eta`` is how fast a price falls with the covered part of its count; each step uses a
-    configuration for ``share`` of the count of its scarcest length, one sequence at least.
-    """
-    left, size, uses = counts.astype(float), lengths / capacity, {}
-    draw = np.random.default_rng(42)
-    while True:
-        live = np.flatnonzero(left > 1e-9)
-        if not len(live):
-            return [(dict(c), x) for c, x in uses.items()]
-        prices = size[live] * np.exp(eta * left[live] / counts[live])
-        if len(live) > PRICED:  # partial pricing: the lengths of the highest price a token, and others by lot
-            by_price = np.argpartition(-prices / size[live], PRICED // 3)
-            some = np.concatenate([by_price[: PRICED // 3], draw.choice(by_price[PRICED // 3 :], PRICED - PRICED // 3, replace=False)])
-            live, prices = live[some], prices[some]
-        got = best_configuration(lengths[live], np.ceil(left[live]), prices, capacity)
-        config = {int(live[i]): n for i, n in got.items()}
-        step = min(max(1.0, share * counts[i] / n) for i, n in config.items())
-        step = min(step, max(1.0, min(left[i] / n for i, n in config.items())))
-        for i, n in config.items():
-            left[i] = max(0.0, left[i] - step * n)
-        key = tuple(sorted(config.items()))
-        uses[key] = uses.get(key, 0.0) + step
-
-
-def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Bins for ``lengths``, longest first, each into the fullest bin that has room."""
-    gaps: list[tuple[int, int]] = []
-    bins: list[list[int]] = []
-    for length in sorted(lengths, reverse=True):
-        at = bisect_left(gaps, (length, -1))
-        if at == len(gaps):
-            bins.append([length])
-            gap, b = capacity, len(bins) - 1
-        else:
-            gap, b = gaps.pop(at)
-            bins[b].append(length)
-        if gap > length:
-            insort(gaps, (gap - length, b))
-    return [tuple(b) for b in bins]
+ROUNDS, BURN, STEP, ETA = 240, 60, 0.1, 5.0  # pricings at most, those that do not count; coverage a round; how fast weights fall with coverage, over the root of the round
+SLACK, GAP = 0.01, 0.0005  # configurations so close to the highest price are used; the gap at which rounds end
+Config = tuple[int, ...]  # lengths, longest first
+Runs = dict[Config, int]  # how many sequences hold a configuration
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, eta: float = 0.3, share: float = 1.0, rounds: int = 4) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, number of such sequences)] that hold each length as often as ``histogram`` says."""
-    left = {k: n for k, n in histogram.items() if n > 0}
-    runs: Counter[tuple[int, ...]] = Counter()
-    if full := left.pop(capacity, 0):
-        runs[capacity,] += full
-    for _ in range(rounds):
-        if not left:
-            break
-        lengths = np.array(sorted(left), np.int64)
-        counts = np.array([left[k] for k in lengths.tolist()], np.int64)
-        before = counts.sum()
-        for config, times in sorted(fractional(lengths, counts, capacity, eta, share), key=lambda x: -x[1]):
-            n = min(int(times + 1e-6), *(left.get(int(lengths[i]), 0) // a for i, a in config.items()))
-            used = sum(int(lengths[i]) * a for i, a in config.items())
-            if n < 1 or used < 0.98 * capacity:  # what does not fill a sequence waits for the next round or for best fit
+def priced(prices: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """(value, used, choice) for each room from 0 to the capacity: the highest price of lengths that fit it, how much of the room they need, and one of them.
+
+    ``prices`` is by length, 0 for lengths that do not occur; any number of copies may be taken.
+    """
+    room = len(prices) - 1
+    value, used, choice = np.zeros(room + 1), [0] * (room + 1), [0] * (room + 1)
+    for c in range(1, room + 1):
+        got = prices[1 : c + 1] + value[c - 1 :: -1]
+        best = int(got.argmax())
+        if got[best] > value[c - 1]:
+            value[c], used[c], choice[c] = got[best], c, best + 1
+        else:
+            value[c], used[c] = value[c - 1], used[c - 1]
+    return value, used, choice
+
+
+def fractional(counts: np.ndarray, rounds: int = ROUNDS, step: float = STEP, eta: float = ETA, slack: float = SLACK, gap: float = GAP, burn: int = BURN) -> tuple[dict[Config, float], float]:
+    """({configuration: times}, lower bound) for ``counts`` by length: the averaged solution of the program and its best dual bound."""
+    capacity = len(counts) - 1
+    there = np.flatnonzero(counts)
+    covered, logs, uses, bound = np.zeros(capacity + 1), np.zeros(capacity + 1), Counter(), float(counts @ np.arange(capacity + 1)) / capacity
+    for turn in range(1, rounds + 1):
+        prices = np.zeros(capacity + 1)
+        prices[there] = np.exp(logs[there] - logs[there].max()) * there  # with equal weights all tokens have one price
+        value, used, choice = priced(prices)
+        bound = max(bound, float(counts @ prices) / value[capacity])
+        gain = dict.fromkeys(there.tolist(), 0.0)
+        near = there[prices[there] + value[capacity - there] >= (1 - slack) * value[capacity]]
+        for first in near[np.argsort(covered[near], kind="stable")].tolist():
+            if gain[first] >= step:
+                continue
+            held, room = [first], used[capacity - first]
+            while room:
+                held.append(choice[room])
+                room = used[room - choice[room]]
+            config = Counter(held)
+            times = min((step - gain[k]) * counts[k] / n for k, n in config.items())
+            if times <= 0:
                 continue
-            runs[tuple(sorted((int(lengths[i]) for i, a in config.items() for _ in range(a)), reverse=True))] += n
-            for i, a in config.items():
-                left[int(lengths[i])] -= n * a
-        left = {k: n for k, n in left.items() if n > 0}
-        if sum(left.values()) > 0.7 * before:
+            for k, n in config.items():
+                gain[k] += times * n / counts[k]
+            uses[tuple(sorted(held, reverse=True))] += times
+        for k, g in gain.items():
+            covered[k] += g
+            logs[k] -= eta * g / turn**0.5
+        if turn == burn:
+            uses.clear()
+            covered[:] = 0.0
+        if turn % 20 == 0 and turn > burn and sum(uses.values()) <= (1 + gap) * bound * covered[there].min():
             break
-    for b in best_fit_runs(left, capacity):
-        runs[b] += 1
-    return sorted(runs.items(), key=lambda x: (-x[1], x[0]))
-
-
-def best_fit_runs(left: dict[int, int], capacity: int):
-    return best_fit([k for k, n in left.items() for _ in range(n)], capacity)
+    share = float(counts @ np.arange(capacity + 1)) / float((counts * covered) @ np.arange(capacity + 1))
+    return {c: x * share for c, x in uses.items()}, bound
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> Runs:
+    """Bins for the lengths of ``histogram``, longest first, each into the fullest bin that has room; bins filled alike are one entry."""
+    gaps: list[int] = []  # ascending, with room left
+    bins: dict[int, list[tuple[Config, int]]] = {}
+    done: Counter[Config] = Counter()
+
+    def put(gap: int, config: Config, n: int, least: int) -> None:
+        if gap < least:
+            done[config] += n
+            return
+        if gap not in bins:
+            bins[gap] = []
+            insort(gaps, gap)
+        bins[gap].append((config, n))
+
+    least = min((k for k, n in histogram.items() if n > 0), default=1)
+    for length in sorted(histogram, reverse=True):
+        left = histogram[length]
+        at = bisect_left(gaps, length)
+        while left > 0 and at < len(gaps):
+            gap = gaps.pop(at)
+            held = bins.pop(gap)
+            most = gap // length  # a bin takes all that it has room for: it stays the fullest
+            for config, n in held:
+                whole = min(n, left // most)
+                left -= whole * most
+                if whole:
+                    put(gap - most * length, config + (length,) * most, whole, least)
+                if n > whole and 0 < left < most:
+                    put(gap - left * length, config + (length,) * left, 1, least)
+                    whole, left = whole + 1, 0
+                if n > whole:
+                    put(gap, config, n - whole, least)
+            at = bisect_left(gaps, length)
+        most = capacity // length
+        if left >= most:
+            put(capacity - most * length, (length,) * most, left // most, least)
+        if left % most:
+            put(capacity - left % most * length, (length,) * (left % most), 1, least)
+    for held in bins.values():
+        for config, n in held:
+            done[config] += n
+    return dict(done)
+
+
+def take_whole(uses: dict[Config, float], left: dict[int, int], up: bool) -> Runs:
+    """Whole uses of ``uses`` as far as ``left`` goes, which loses what they take: rounded down, or one more of each (``up``), the largest remainder first."""
+    runs: Runs = {}
+    for config, x in sorted(uses.items(), key=lambda u: (-(u[1] % 1 if up else u[1]), u[0])):
+        held = Counter(config)
+        n = min(1 if up else int(x + 1e-9), *(left.get(k, 0) // a for k, a in held.items()))
+        if n > 0:
+            runs[config] = n
+            for k, a in held.items():
+                left[k] -= n * a
+    return runs
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, solutions: int = 3) -> list[tuple[Config, int]]:
+    """[(lengths of a sequence, number of such sequences)] that hold each length as often as ``histogram`` says.
+
+    After each rounding the rest is tried by best fit, and the best of all tries stays;
+    plain best fit is the first of them.
+    """
+    left = {k: n for k, n in histogram.items() if n > 0}
+    best = Counter(best_fit(left, capacity))
+    runs: Counter[Config] = Counter()
+    bound = ceil(sum(k * n for k, n in left.items()) / capacity)
+    for solution in range(solutions):
+        if not left or sum(best.values()) <= bound:
+            break
+        counts = np.zeros(capacity + 1)
+        counts[list(left)] = list(left.values())
+        uses, dual = fractional(counts)
+        if solution == 0:
+            bound = ceil(dual - 1e-6)
+        for up in (False, True):
+            runs.update(take_whole(uses, left, up))
+            left = {k: n for k, n in left.items() if n > 0}
+            whole = runs + Counter(best_fit(left, capacity))
+            best = min(best, whole, key=Counter.total)
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))
 
 
 def slots(runs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:

@@ -49,18 +49,60 @@ def test_token_files_round_trip(spark, tmp_path):
     assert tokens.write_files(doc_table(spark, []), f"file://{tmp_path}/none", PATH).count() == 0
 
 
-def test_plan_is_whole_and_near_the_bound():
+def one_by_one(lengths, capacity):
+    """Best fit, piece by piece."""
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits)[1]] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+def histograms():
     draw = np.random.default_rng(1)
-    lengths = np.clip(draw.lognormal(5.5, 1.0, 4000).astype(int), 1, 2048).tolist()
-    runs = packing.plan(dict(Counter(lengths)))
-    got = Counter()
+    of = lambda x: dict(Counter(np.clip(x.astype(int), 1, 2048).tolist()))
+    normal = lambda *parts: np.concatenate([draw.normal(m, s, 3000) for m, s in parts])
+    return {
+        "uniform": {k: 3 for k in range(1, 2049)}, "one each": {k: 1 for k in range(1, 2049)}, "over half": {1100: 400_000}, "full": {2048: 9, 1: 4},
+        "lognormal": of(draw.lognormal(5.5, 1.0, 4000)), "two": of(normal((700, 60), (450, 50))), "three": of(normal((1100, 60), (600, 50), (400, 30))),
+        "third": {1044: 6000, 546: 6000, 532: 6000, 471: 12000}, "few": {1044: 6, 546: 6, 532: 6, 471: 12}, "none": {},
+    }
+
+
+@pytest.mark.parametrize("name", list(histograms()))
+def test_plan_is_whole_and_near_the_bound(name):
+    histogram = histograms()[name]
+    runs, got = packing.plan(histogram), Counter()
     for lens, n in runs:
         assert sum(lens) <= 2048
         for x in lens:
             got[x] += n
-    assert got == Counter(lengths)
-    assert sum(n for _, n in runs) <= len(packing.best_fit(lengths, 2048)) <= 1.01 * sum(lengths) / 2048 + 1
-    assert packing.plan({}) == []
+    assert got == Counter(histogram)
+    counts = np.zeros(2049)
+    counts[list(histogram)] = list(histogram.values())
+    plain, mine = sum(packing.best_fit(histogram, 2048).values()), sum(n for _, n in runs)
+    assert mine <= plain
+    if name in ("two", "third", "few"):
+        assert mine < plain and mine <= 1.01 * packing.fractional(counts)[1] + 1
+    if sum(histogram.values()) <= 5000:
+        assert plain == one_by_one([k for k, n in histogram.items() for _ in range(n)], 2048)
+
+
+def test_program_is_solved_between_its_bounds():
+    """Primal and dual come within two hundredths, and what the configurations hold covers the counts."""
+    capacity, counts = 12, np.zeros(13)
+    for k, n in ((7, 50), (5, 30), (4, 40), (3, 70)):
+        counts[k] = n
+    uses, bound = packing.fractional(counts)
+    covered = Counter()
+    for config, x in uses.items():
+        assert sum(config) <= capacity
+        for k in config:
+            covered[k] += x
+    assert bound <= sum(uses.values()) + 1e-6 <= 1.02 * bound and all(covered[k] >= 0.97 * counts[k] for k in (3, 4, 5, 7))
 
 
 def test_packing_is_gapless_and_complete(spark):
