@@ -4,7 +4,11 @@ Every version of every path is addressed by the SHA-256 of its text. The ledger
 which (blob, rule version) pairs have been scanned and what was found. A run scans one
 representative text of each pair that the ledger lacks, appends to the ledger and joins
 the findings back to all paths that hold the blob. Copies are therefore scanned once,
-and a second run over the same history scans nothing.
+and a second run over the same history scans nothing. Pairs that two runs at a time have
+both appended count once.
+
+A hit's place is the sum of what lies before it, taken as a running sum over the hits
+of a text as rows, so a text with a million hits costs a sort and no more.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path
@@ -44,22 +48,30 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def _spans(text, rank: int, rule: Rule):
-    """An array of (start, rank, kind, end) in code points: what lies between the hits gives their places."""
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
+def _hits(text, rank: int, rule: Rule):
+    """An array of a rule's hits in order: rank, nth, gap (code points since the hit before), size, tested (size of what the least length is for)."""
     pattern = F.lit(rule.pattern)
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    tested = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    zero, add = F.lit(0), lambda a, x: a + x
-    # what stands before hit i: the gaps up to it and the hits before it
-    starts = F.transform(whole, lambda _, i: F.aggregate(F.slice(between, F.lit(1), i + 1), zero, add) + F.aggregate(F.slice(whole, F.lit(1), i), zero, add))
-    found = F.transform(
-        F.arrays_zip(starts.alias("start"), whole.alias("size"), tested.alias("tested")),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (x["start"] + x["size"]).alias("end"), x["tested"].alias("tested")),
-    )
-    kept = F.transform(F.filter(found, lambda x: x["tested"] >= rule.least), lambda x: x.dropFields("tested"))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return F.when(text.rlike(rule.pattern), kept).otherwise(none)
+    tested = whole if rule.group == 0 else F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
+    gaps = F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), F.lit(1), F.size(whole))
+    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("size"), tested.alias("tested"))
+    hits = F.transform(zipped, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("nth"), x["gap"].alias("gap"), x["size"].alias("size"), x["tested"].alias("tested")))
+    none = F.array().cast("array<struct<rank:int,nth:int,gap:int,size:int,tested:int>>")
+    return F.when(text.rlike(rule.pattern), hits).otherwise(none)
+
+
+def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
+    """(blob, spans) of ``blobs`` (blob, text) that have any: spans by start, then rule."""
+    hits = blobs.select("blob", F.inline(F.concat(*(_hits(F.col("text"), i, r) for i, r in enumerate(rules))))).repartition("blob")
+    order = Window.partitionBy("blob", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hits.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order).cast("int"))
+    pick = lambda value: F.element_at(F.array(*map(F.lit, value)), F.col("rank") + 1)
+    kept = placed.where(F.col("tested") >= pick([r.least for r in rules]))
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "rank", pick([r.kind for r in rules]).alias("kind"), "end")
+    return kept.groupBy("blob").agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("spans"))
 
 
 def as_text(spans):
@@ -74,24 +86,24 @@ def scan(versions: DataFrame, text: str = "text", path: str = "doc_id", ledger:
     and repeated paths are ordinary rows. An empty table gives no rows.
     """
     spark, version = versions.sparkSession, rule_version(rules)
-    schema = "blob string, rule_version string, spans array<struct<start:int,rank:int,kind:string,end:int>>"
+    schema = f"blob string, rule_version string, spans {SPANS}"
+    none = F.array().cast(SPANS)
     rows = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("blob", F.sha2("text", 256))
     first = rows.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is None:
         ledger = scratch_path(spark, "ledger")
-        seen = spark.createDataFrame([], schema)
-    else:
-        seen = spark.read.schema(schema).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], schema)
-        first = first.join(seen.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    chosen = first.select(F.col("blob").alias("first_blob"), F.col("path").alias("first_path")).hint("shuffle_hash")
+    elif _exists(spark, ledger):
+        seen = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == version)
+        first = first.join(seen.select("blob"), "blob", "left_anti")
+    chosen = first.select(F.col("blob").alias("first_blob"), F.col("path").alias("first_path"))
     unseen = rows.join(chosen, (rows["blob"] == F.col("first_blob")) & rows["path"].eqNullSafe(F.col("first_path")), "left_semi")
-    spans = F.concat(*(_spans(F.col("text"), i, r) for i, r in enumerate(rules)))
-    found = unseen.select("blob", F.array_sort(spans).alias("spans")).where(F.size("spans") > 0)
-    scanned = first.select("blob").join(found.dropDuplicates(["blob"]), "blob", "left")
-    scanned.select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("spans")).write.mode("append").parquet(ledger)
-    known = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == version).select("blob", "spans").where(F.size("spans") > 0)
-    return rows.select("path", "blob").join(known, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("spans"))
+    hit = unseen.where(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)))
+    scanned = first.select("blob").join(find_spans(hit.dropDuplicates(["blob"]).select("blob", "text"), rules), "blob", "left")
+    scanned.select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", none).alias("spans")).write.mode("append").parquet(ledger)
+    known = spark.read.schema(schema).parquet(ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0))
+    known = known.groupBy("blob").agg(F.first("spans").alias("spans"))  # a pair that was appended twice has the same spans
+    return rows.select("path", "blob").join(known, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def _exists(spark, path: str) -> bool:
