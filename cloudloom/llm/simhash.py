@@ -12,8 +12,9 @@ join then verifies.
 
 A fingerprint has at most 2,080 others within two bits, so verified links are linear in
 the number of different fingerprints. A bucket over ``wide`` fingerprints is not joined
-with itself: its members are hashed once more with every two of the remaining bits
-masked out, which again loses no link and costs a fixed number of rows each.
+with itself: its members are keyed once more with every two of the remaining bits
+masked out. At most four of them agree on such a key, so each costs a fixed number of
+rows, and all pairs that agree are links: both ways give the same links.
 """
 
 from __future__ import annotations
@@ -105,7 +106,10 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def links(nodes: DataFrame, wide: int = 16384) -> DataFrame:
+WIDE = 2048  # from about here on, masking a member's pairs of bits costs less than meeting all members
+
+
+def links(nodes: DataFrame, wide: int = WIDE) -> DataFrame:
     """(a, b) with a < b (as signed): different fingerprints of ``nodes`` (fp) that differ in at most two bits."""
 
     def run(parts):
@@ -132,11 +136,7 @@ def links(nodes: DataFrame, wide: int = 16384) -> DataFrame:
 
 
 def masked_links(members: DataFrame) -> DataFrame:
-    """Links among ``members`` (segment, fp) that agree on the segment: stars around what agrees with two other bits masked.
-
-    Fingerprints with one masked value differ in at most two bits, so a star's ends are
-    links of its centre; two of its ends reach each other through the centre.
-    """
+    """(a, b) with a < b: all of ``members`` (segment, fp) that agree on the segment and in all but two of the other bits."""
 
     def run(parts):
         for batch in parts:
@@ -151,19 +151,20 @@ def masked_links(members: DataFrame) -> DataFrame:
                         code = np.full(len(part), (i * 64 + p) * 64 + q, np.int32)
                         yield pa.record_batch([pa.array(code), pa.array(kept.view(np.int64)), pa.array(part.view(np.int64))], names=["code", "kept", "fp"])
 
-    stars = members.mapInArrow(run, "code int, kept long, fp long")
-    centres = stars.groupBy("code", "kept").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "kept", "a")
-    return stars.join(centres, ["code", "kept"]).where("a < fp").select("a", F.col("fp").alias("b"))
+    masked = members.mapInArrow(run, "code int, kept long, fp long")
+    several = masked.groupBy("code", "kept").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # four at most
+    both = several.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b"))
+    return both.where("a < b")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, wide: int = 16384) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, wide: int = WIDE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, fp, component_id, n_links.
 
     Fingerprints link at two or fewer differing bits; component_id is the smallest doc_id
-    that can be reached. Texts without words (null too) have the fingerprint zero and link
-    like any other. A null doc_id keeps its row and is nobody's component_id, unless no
-    other id is reached. n_links counts the fingerprints linked to the row's own. An empty
-    table gives no rows.
+    that can be reached; rows that repeat an id or a text are rows like any other. Texts
+    without words (null too) have the fingerprint zero and link like any other. A null
+    doc_id keeps its row and is nobody's component_id, unless no other id is reached.
+    n_links counts the fingerprints linked to the row's own. An empty table gives no rows.
     """
     rows = stored(fingerprints(docs, text, doc_id, words), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -176,12 +177,6 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     return rows.join(known, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest; rows without an id stay only where no id is reached."""
-    kept = near_dedup(docs, text, doc_id, words).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[doc_id] == F.col("kept_id"), "left_semi")
-
-
 # --- near copies by similarity ----------------------------------------------------
 #
 # Sets of word shingles that are ``similarity`` alike share at least that part of the

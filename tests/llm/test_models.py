@@ -126,7 +126,7 @@ def test_golay_keys_meet_within_two_bits():
             assert set(x[x >= 0].tolist()) & set(y[y >= 0].tolist())
 
 
-@pytest.mark.parametrize("wide", [16384, 3])
+@pytest.mark.parametrize("wide", [2048, 3])
 def test_links_are_all_found(spark, wide):
     draw = np.random.default_rng(3)
     fps = set()
@@ -138,17 +138,7 @@ def test_links_are_all_found(spark, wide):
     fps = [int(x) for x in np.array(sorted(fps), np.uint64).view(np.int64)]
     want = {tuple(sorted(p)) for p in combinations(fps, 2) if bin((p[0] ^ p[1]) & (2**64 - 1)).count("1") <= 2}
     got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), wide).collect()}
-    assert got <= want and (got == want if wide > 100 else True)
-    parent = {x: x for x in fps}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in got:
-        parent[max(find(a), find(b))] = min(find(a), find(b))
-    assert all(find(a) == find(b) for a, b in want)
+    assert got == want
 
 
 def test_near_dedup_edge_cases(spark):
