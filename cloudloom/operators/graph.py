@@ -2,44 +2,88 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import free, stored
 
+SMALL = 200_000  # edges that one task may hold
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+
+def components_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of the nodes 0 to n - 1 reaches over the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _at_once(every: DataFrame) -> DataFrame:
+    """(node, component) of the edges ``every`` (a, b) by a single task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, nodes = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True), sort=True)
+        root = components_of(codes[: len(pdf)], codes[len(pdf) :], len(nodes))
+        return pd.DataFrame({"node": nodes, "component": nodes[root]})
+
+    kind = every.schema["a"].dataType.simpleString()
+    return stored(every.groupBy().applyInPandas(run, f"node {kind}, component {kind}"), "labels")
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches.
 
     Each round points every node at its least neighbour (or itself), follows the pointers
     twice more, and contracts the edges to what is pointed at; the least node of a
     component only ever points at itself, so it is what remains. Edges shrink round by
     round and each round is written to the shared folder. Edges with a null end are
-    ignored; a self loop makes a node its own component.
+    ignored; a self loop makes a node its own component. A graph of at most ``small``
+    edges, after any round, is finished by one task, with the same result.
     """
     clean = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    every = stored(clean.union(clean.select("b", "a")).distinct(), "edges")
-    labels = None
-    left = every.where("a <> b")
+    once = stored(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if once.count() <= small:
+        labels = _at_once(once)
+        free(once)
+        return labels
+    nodes = once.select("a").union(once.select("b")).distinct().select(F.col("a").alias("node"))
+    left, labels, old = once.where("a <> b"), None, []
     for _ in range(max_rounds):
-        point = left.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to"))
+        both = left.union(left.select("b", "a"))
+        point = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to"))
         for _ in range(2):
             point = stored(point, "pointers")
+            old.append(point)
             ahead = point.select(F.col("node").alias("to"), F.col("to").alias("ahead"))
             point = point.join(ahead, "to").select("node", F.col("ahead").alias("to"))
         point = stored(point, "pointers")
-        if labels is None:
-            nodes = every.select(F.col("a").alias("node")).distinct()
-            labels = nodes.join(point, "node", "left").select("node", F.coalesce("to", "node").alias("component"))
-        else:
-            moved = point.select(F.col("node").alias("component"), "to")
-            labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = stored(labels, "labels")
         at = point.select(F.col("node").alias("a"), F.col("to").alias("a2"))
         to = point.select(F.col("node").alias("b"), F.col("to").alias("b2"))
-        left = left.join(at, "a").join(to, "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
-        left = stored(left, "contracted")
-        if left.isEmpty():
+        moved_edges = left.join(at, "a").join(to, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
+        old.append(left)
+        left = stored(moved_edges.distinct(), "contracted")
+        many = left.count()
+        steps = [point]
+        if 0 < many <= small:
+            steps.append(_at_once(left).select("node", F.col("component").alias("to")))
+        for step in steps:
+            old += [] if labels is None else [labels]
+            moved = step.select(F.col("node").alias("component"), "to")
+            known = nodes.select("node", F.col("node").alias("component")) if labels is None else labels
+            labels = stored(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        old.append(point)
+        free(*(x for x in old if hasattr(x, "stored_at_")))
+        old = []
+        if many == 0 or len(steps) > 1:
+            free(left, once)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -38,4 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at_ = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables of :func:`stored` that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at_.rpartition("/")[0])
