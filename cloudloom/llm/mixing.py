@@ -8,9 +8,11 @@ ancestor's siblings only once the siblings are full. A leaf's budget is that man
 epochs and a prefix, by tokens, of one more epoch in an order seeded by its number.
 
 The prefix needs no sorted leaf: tokens are summed by the first digits of the order's
-hash, only the documents of the one bucket where the budget ends are put in order, and
-the place found there is a hash below which all documents are taken. So a leaf with a
-third of all rows is filtered like any other.
+hash, the one bucket where the budget ends is cut up by the next digits, and so on until
+no such bucket holds more than ``SORTED`` documents. Those are put in order, and the
+place found there is a hash below which all documents are taken. So a leaf with a third
+of all rows is filtered like any other, whatever its size: a leaf never has more than
+16^``DIGITS`` sums, and at last ``SORTED`` documents, in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import column_free, stored
 
 LEVELS = ("domain", "lang", "source")
-DIGITS = 3  # hexadecimal digits of the hash that make a bucket
+DIGITS, SORTED = 2, 1000  # hexadecimal digits of the hash that cut a bucket up; documents that one task may sort
 WORD = r"[^\x20\x09-\x0D]+"
 MANY_LEAVES = 200_000
 
@@ -100,16 +102,24 @@ def cutoffs(docs: DataFrame, weights, budget_share: float, max_epochs: int, seed
     leaves = leaf_budgets(leaves, weights, budget_share, max_epochs)
     leaves = stored(leaves.withColumns({"epochs": F.floor(F.col("budget") / F.col("tokens")).cast("long"), "rest": F.col("budget") % F.col("tokens")}), "leaves")
     few = leaves.count() <= MANY_LEAVES
-    met = rows.join(F.broadcast(leaves) if few else leaves, list(LEVELS))
-    met = met.select(*LEVELS, "n", "rest", _order(seed, F.col("epochs"), F.col("doc_id")).alias("key")).withColumn("bucket", F.substring("key", 1, DIGITS))
-    sums = met.groupBy(*LEVELS, "bucket").agg(F.sum("n").alias("in_bucket"), F.first("rest").alias("rest"))
-    running = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.withColumn("end", F.sum("in_bucket").over(running)).where("end > rest")
-    edge = ends.groupBy(*LEVELS).agg(F.min("bucket").alias("edge"), F.min("end").alias("end"), F.min_by("in_bucket", "bucket").alias("in_bucket"))
-    edge = stored(edge.select(*LEVELS, "edge", (F.col("end") - F.col("in_bucket")).alias("before")), "edges")
-    inside = met.join(F.broadcast(edge) if few else edge, list(LEVELS)).where("bucket = edge")
+    small = lambda df: F.broadcast(df) if few else df
+    ordered = rows.join(small(leaves), list(LEVELS)).select(*LEVELS, "n", "rest", _order(seed, F.col("epochs"), F.col("doc_id")).alias("key"))
+    edge, inside = leaves.select(*LEVELS, F.lit("").alias("edge"), F.lit(0).cast("decimal(38,0)").alias("before")), ordered
+    for depth in range(DIGITS, 32, DIGITS):  # the edge buckets, by ever more digits, but never the whole hash
+        cut_up = inside.withColumn("bucket", F.substring("key", 1, depth))
+        sums = cut_up.groupBy(*LEVELS, "bucket").agg(F.sum("n").alias("in_bucket"), F.count(F.lit(1)).alias("docs"), F.first("rest").alias("rest"))
+        running = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        ends = sums.join(small(edge.select(*LEVELS, "before")), list(LEVELS)).withColumn("end", F.col("before") + F.sum("in_bucket").over(running)).where("end > rest")
+        first = ends.groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", "end", "in_bucket", "docs"), "bucket").alias("e"))
+        edge = first.select(*LEVELS, F.col("e.bucket").alias("edge"), (F.col("e.end") - F.col("e.in_bucket")).cast("decimal(38,0)").alias("before"), F.col("e.docs").alias("docs"))
+        edge = stored(edge, "edges")
+        inside = cut_up.join(small(edge.select(*LEVELS, "edge")), list(LEVELS)).where("bucket = edge").drop("bucket", "edge")
+        if (edge.agg(F.max("docs")).first()[0] or 0) <= SORTED:
+            break
+        inside = stored(inside, "inside")
     upto = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = inside.withColumn("upto", F.col("before") + F.sum("n").over(upto)).where("upto <= rest").groupBy(*LEVELS).agg(F.max("key").alias("key"))
+    reached = inside.join(small(edge.select(*LEVELS, "before")), list(LEVELS)).withColumn("upto", F.col("before") + F.sum("n").over(upto))
+    last = reached.where("upto <= rest").groupBy(*LEVELS).agg(F.max("key").alias("key"))
     cut = edge.join(last, list(LEVELS), "left").select(*LEVELS, F.coalesce("key", "edge").alias("cutoff"))
     return stored(leaves.join(cut, list(LEVELS), "left").drop("rest"), "cutoffs")
 
@@ -120,16 +130,16 @@ def mix(docs: DataFrame, weights: dict[tuple[str, ...], int], domain: Column, bu
     ``docs`` needs lang and source; ``weights`` maps paths of the tree to whole numbers;
     the budget is ``budget_share`` of all tokens. A null text has one token, null paths
     are the empty name, rows that share a doc_id stand or fall together in a leaf's order,
-    an empty table gives no rows. Columns of ``docs`` named as the new ones get an
-    underscore's distance: the new ones are renamed.
+    rows that repeat are taken or left each with its copies, an empty table gives no rows.
+    A new column that clashes with one of ``docs`` gets an underscore at its end.
     """
     leaves = cutoffs(docs, weights, budget_share, max_epochs, seed, domain, text, doc_id)
     few = leaves.count() <= MANY_LEAVES
-    cuts = leaves.select(*(F.col(c).alias(f"{c}__leaf") for c in LEVELS), F.col("epochs").alias("epochs__leaf"), F.col("cutoff").alias("cutoff__leaf"))
-    on = [c == F.col(f"{n}__leaf") for c, n in zip((F.coalesce(domain, F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))), LEVELS, strict=True)]
+    path, epochs, cutoff, times = [column_free(docs, f"{c}__leaf") for c in LEVELS], *(column_free(docs, c) for c in ("epochs__leaf", "cutoff__leaf", "times__"))
+    cuts = leaves.select(*(F.col(c).alias(a) for c, a in zip(LEVELS, path, strict=True)), F.col("epochs").alias(epochs), F.col("cutoff").alias(cutoff))
+    on = [F.coalesce(c, F.lit("")) == F.col(a) for c, a in zip((domain, F.col("lang"), F.col("source")), path, strict=True)]
     met = docs.join(F.broadcast(cuts) if few else cuts, on[0] & on[1] & on[2])
-    more = F.when(_order(seed, F.col("epochs__leaf"), F.col(doc_id)) <= F.coalesce("cutoff__leaf", F.lit("")), 1).otherwise(0)
-    times = F.col("epochs__leaf").cast("int") + more
+    more = F.when(_order(seed, F.col(epochs), F.col(doc_id)) <= F.coalesce(cutoff, F.lit("")), 1).otherwise(0)
     names = [column_free(docs, c) for c in ("epoch", "domain", "tokens")]
-    taken = met.withColumn("times__", times).where("times__ > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("times__") - 1)).alias(names[0]), F.col("domain__leaf").alias(names[1]), count_tokens(F.col(text)).alias(names[2]))
+    taken = met.withColumn(times, F.col(epochs).cast("int") + more).where(F.col(times) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias(names[0]), F.col(path[0]).alias(names[1]), count_tokens(F.col(text)).alias(names[2]))
