@@ -4,6 +4,11 @@ Lines are exploded and hashed (two 64-bit hashes), the documents of each hash ar
 counted, and the lines over the threshold are dropped where each document is put
 together again, by position. Only hashes and positions move by line; a text moves
 once, to meet its own dropped positions.
+
+Counting combines on the map side, so a line that all documents share is as cheap as any.
+To find a shared line's places again, the most frequent hashes go to all tasks: those
+with more than 1 / ``MANY`` of all lines, of which there are fewer than ``MANY``. Lines of
+other hashes meet theirs by a shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, ascii_lower, stored
 
 NO_ID = -(1 << 63)
+MANY = 20_000
 
 
 def line_key(line):
@@ -34,8 +40,14 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     long_enough = rows.where(F.length("text") >= min_length).select("of", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = long_enough.where(F.length("line") >= min_length).select("of", "body", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_length)
     lines = stored(keyed.select("of", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
-    shared = lines.groupBy("h1", "h2").agg(F.count_distinct("of").alias("n"), F.max("of").alias("stays")).where(F.col("n") >= min_docs).select("h1", "h2", "stays")
-    gone = lines.join(shared, ["h1", "h2"]).where("of <> stays").groupBy("of", "body").agg(F.collect_set("pos").alias("gone"))
+    counted = lines.groupBy("h1", "h2").agg(F.count_distinct("of").alias("n"), F.count(F.lit(1)).alias("lines"), F.max("of").alias("stays"))
+    shared = stored(counted.where(F.col("n") >= min_docs).select("h1", "h2", "stays", "lines"), "shared")
+    often = F.col("lines") > max(1000, lines.count() // MANY)
+    heavy, usual = shared.where(often).drop("lines"), shared.where(~often).drop("lines")
+    of_heavy = F.broadcast(heavy.select("h1", "h2", "stays"))
+    rest = lines.join(F.broadcast(heavy.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    places = lines.join(of_heavy, ["h1", "h2"]).unionByName(rest.join(usual, ["h1", "h2"]))
+    gone = places.where("of <> stays").groupBy("of", "body").agg(F.collect_set("pos").alias("gone"))
     met = rows.withColumn("body", F.xxhash64("text")).join(stored(gone, "gone"), ["of", "body"], "left")
     split = F.split("text", "\n", -1)
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n"))

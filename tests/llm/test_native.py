@@ -159,3 +159,41 @@ def test_mixing_takes_prefixes_of_epochs(spark, share, epochs):
     assert budget - 3 * 8 <= got.agg(F.sum("tokens")).first()[0] <= budget
     assert got.groupBy("doc_id", "epoch").count().where("count > 1").count() == 0
     assert mixing.mix(docs(spark, []), {}, F.lit("d")).count() == 0
+
+
+def test_mixing_finds_the_same_prefix_by_any_number_of_digits(spark, monkeypatch):
+    """Against a sorted leaf, with buckets cut up again and again; null paths, repeats and clashing columns are ordinary."""
+    rows = [(i, "w " * (i * 7 % 11), None if i % 5 == 0 else "en", None if i % 3 == 0 else "s", 1, "x", 2) for i in range(300)] * 2 + [(None, None, None, None, 1, "x", 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int, domain__leaf string, times__ int")
+    taken = []
+    for most in (1000, 0):
+        monkeypatch.setattr(mixing, "SORTED", most)
+        out = mixing.mix(table, {}, F.lit("d"), 0.6, 2)
+        assert out.columns == [*table.columns, "epoch_", "domain", "tokens"]
+        taken.append(sorted(map(str, out.collect())))
+    assert taken[0] == taken[1]
+    leaves = {}
+    for i, t, lang, source, *_ in rows:
+        leaves.setdefault((lang or "", source or ""), []).append((i, len((t or "").split()) + 1))
+    budgets = {(r.lang, r.source): r.budget for r in mixing.cutoffs(table, {}, 0.6, 2, 42, F.lit("d"), "text", "doc_id").collect()}
+    want = 0
+    for leaf, members in leaves.items():
+        epochs, rest = divmod(budgets[leaf], sum(n for _, n in members))
+        order = {}
+        for i, n in members:
+            order.setdefault(hashlib.md5(f"42:{epochs}:{'' if i is None else i}".encode()).hexdigest(), []).append(n)
+        at = 0
+        want += epochs * len(members)
+        for key in sorted(order):
+            at += sum(order[key])
+            if at > rest:
+                break
+            want += len(order[key])
+    assert len(taken[0]) == want
+
+
+def test_a_line_in_all_documents_and_a_very_long_text(spark):
+    rows = [(i, f"{LINE}\nown line number {i} of the table") for i in range(1500)] + [(2000, "\n".join([LINE] + [f"line {k} of a very long text" for k in range(60_000)]))]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert len(out) == 1501 and out[2000].n_dropped == 0 and out[2000].text == rows[-1][1]
+    assert all(out[i].n_dropped == 1 and out[i].text == f"own line number {i} of the table" for i in range(1500))
