@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.tables import free
 from .common import stored
 from .tokens import batches, release
 
@@ -169,7 +170,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     rows = stored(fingerprints(docs, text, doc_id, words), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = stored(links(nodes, wide), "links")
-    reach = connected_components(found, "a", "b").withColumnRenamed("node", "fp")
+    reach = connected_components(found, "a", "b", small=0).withColumnRenamed("node", "fp")
     degree = found.select(F.col("a").alias("fp")).unionAll(found.select("b")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     of = nodes.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -186,8 +187,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
 # that many documents have last, by their counts, which keeps buckets small; any order
 # gives the same pairs. What meets is compared by the shingles themselves.
 
-COMMON, OFTEN = 20_000, 8  # so many shingles stand last at most; counted where a block of texts has one so often
-BLOCK = 1 << 20  # shingles counted at once
+COMMON, OFTEN = 50_000, 3  # so many shingles stand last at most; counted where a block of texts has one so often
+BLOCK = 1 << 22  # shingles counted at once
 KNOWN_WORDS = 200_000  # words whose hash a worker remembers
 
 
@@ -293,15 +294,19 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     keys = stored(shingle_keys(rows, words, similarity), "keys")
-    ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = stored(keys.join(ends, "key"), "shared")
+    met = keys.groupBy("key").count().where("count > 1").select("key")
+    shared = stored(keys.withColumn("place", F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).select("key", "id", "place").join(met, "key"), "shared")
+    free(keys)
+    shared_by = shared.select("key", "id", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
+    ends = shared.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    ended = shared_by.join(ends, "key")
     of = lambda p: (F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("at").alias(f"at{p}"))
     # what can still be common from a pair's first common key on must do
     fit = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def star(end: str) -> DataFrame:
-        centre, member = shared.where(F.col("id") == F.col(end)).select("key", *of("a")), shared.where(F.col("id") != F.col(end)).select("key", *of("b"))
+        centre, member = ended.where(F.col("id") == F.col(end)).select("key", *of("a")), ended.where(F.col("id") != F.col(end)).select("key", *of("b"))
         return centre.join(member, "key").where(fit).select(*ordered).distinct()
 
     low = stored(star("low"), "low")
@@ -309,24 +314,28 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     first = low.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = _compared(first, rows, words, similarity)
     rest = low.unionByName(star("high")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = stored(_apart(rest, connected_components(found, "a", "b")), "rest")
+    rest = stored(_apart(rest, connected_components(found, "a", "b", small=0)), "rest")
     found = found.unionByName(_compared(rest, rows, words, similarity))
-    reach = connected_components(found, "a", "b").select(F.col("node").alias("id"), "component")
-    # buckets that are still in several parts, by part, so that a part is not joined with itself
-    split = stored(shared.drop("low", "high").join(reach, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "split")
+    reach = connected_components(found, "a", "b", small=0).select(F.col("node").alias("id"), "component")
+    # buckets that are still in several parts, by part, so that a part is not joined with itself, and by size, since sizes of similar texts differ little
+    band = F.floor(F.log("n") / float(-np.log(similarity)) + 1e-9).cast("int").alias("band")
+    split = stored(shared_by.join(reach, "id", "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("part"), band), "split")
+    free(shared)
     several = split.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    split = stored(split.join(several, "key", "left_semi"), "several")
-    parts = split.select("key", "part").distinct()
-    meet = parts.withColumnRenamed("part", "part_a").join(parts.withColumnRenamed("part", "part_b"), "key").where("part_a < part_b")
-    left, right = split.select("key", F.col("part").alias("part_a"), *of("a")), split.select("key", F.col("part").alias("part_b"), *of("b"))
-    joint = meet.join(left, ["key", "part_a"]).join(right, ["key", "part_b"]).where(F.col("a") != F.col("b"))
+    split = split.join(several, "key", "left_semi")
+    parts = stored(split.select("key", "part", "band").distinct(), "parts")
+    side = lambda p: parts.select("key", F.col("part").alias(f"part_{p}"), F.col("band").alias(f"band_{p}"))
+    meet = side("a").withColumn("at_band", F.explode(F.array(*(F.col("band_a") + k for k in (-1, 0, 1))))).join(side("b").withColumn("at_band", F.col("band_b")), ["key", "at_band"]).where("part_a < part_b").drop("at_band")
+    member = lambda p: split.select("key", F.col("part").alias(f"part_{p}"), F.col("band").alias(f"band_{p}"), *of(p))
+    joint = meet.join(member("a"), ["key", "part_a", "band_a"]).join(member("b"), ["key", "part_b", "band_b"])
+    joint = joint.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6))
     # all common keys of a pair are here; of the document whose keys end first, only what follows its keys can be common too
     counted = joint.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.min("ata").alias("ata"), F.min("atb").alias("atb"))
     after = F.ceil(F.greatest("na", "nb") * F.lit(similarity) - 1e-9) - 1
     most = F.col("c") + after >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
     every = counted.where(fit & most).select(*ordered).distinct()
-    every = every.join(first.unionByName(rest), ["a", "b"], "left_anti")
-    every = stored(every, "every")
+    every = stored(every.join(first.unionByName(rest), ["a", "b"], "left_anti"), "every")
+    free(low, rest, parts)
     gc.collect()  # Spark removes the shuffle files of the steps before when the driver's garbage goes
     docs.sparkSession.sparkContext._jvm.System.gc()
     return found.unionByName(_compared(every, rows, words, similarity))
@@ -350,11 +359,29 @@ def _compared(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
             good = [shingle_similarity(x or b"", y or b"", words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return stored(texts.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "similar")
+    out = stored(texts.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "similar")
+    free(part)
+    return out
 
 
 def keep_dissimilar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without those that reach a smaller doc_id over similar pairs; rows with a null id stay."""
-    reach = connected_components(similar_pairs(docs, text, doc_id, words, similarity), "a", "b")
+    """The rows of ``docs`` without those that reach a smaller row over similar pairs.
+
+    Rows are in the order of doc_id, null ids last, and of rows with one id those with
+    smaller text hashes first; each row stands for itself, so of two unlike texts with
+    one id only a near copy goes. Rows that repeat id and text are copies: one stays.
+    Null texts and texts without words are alike. An empty table gives no rows.
+    """
+    # a number for each row in that order, without one task sorting all: ids themselves, unless some repeat or are null
+    own = F.col(doc_id).cast("long")
+    counts = docs.select(own.alias("i")).groupBy("i").count().where(F.col("i").isNull() | (F.col("count") > 1))
+    if counts.isEmpty():
+        rows, at = docs, doc_id
+    else:
+        at = "row_number__"
+        order = (own.asc_nulls_last(), F.xxhash64(text))
+        ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = stored(ranged.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    reach = connected_components(similar_pairs(rows, text, at, words, similarity), "a", "b", small=0)
     gone = reach.where("node > component").select(F.col("node").alias("gone_id"))
-    return docs.join(gone, docs[doc_id] == F.col("gone_id"), "left_anti")
+    return rows.join(gone, rows[at] == F.col("gone_id"), "left_anti").select(*docs.columns)
