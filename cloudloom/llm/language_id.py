@@ -1,11 +1,16 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
-Training counts words and the n-grams of words (with a mark at both ends) for each
-language over a sample of labelled rows. A known word gives each language the log of its
-smoothed frequency there. A word that no language knows is looked up by its n-grams of
-the longest order, and if none of those is known either, by the next shorter one; it
-gives the mean over the n-grams that are known. A text's language has the highest sum
-over its words, repeats included.
+Training counts words and the n-grams of words (with a mark at both ends, but for single
+characters) for each language over a sample of labelled rows; nothing that the sample
+holds is left out. A known word gives each language the log of its smoothed frequency
+there. A word that no language knows is looked up by its n-grams of the longest order,
+and if none of those is known either, by the next shorter one; it gives the mean over the
+n-grams that are known. A text's language has the highest sum over its words, repeats
+included; of equal sums the first by name. A text with letters of which nothing is known
+gets the language of the most learnt rows, with the score of a guess.
+
+The model is arrays of 64-bit hashes in ascending order with a row of logs each, so a
+worker holds a few tens of bytes an entry.
 """
 
 from __future__ import annotations
@@ -19,122 +24,165 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_free, stored
+from .common import column_free
 from .tokens import batches, release
 
-SAMPLE_ROWS = 10_000  # about so many labelled rows are learnt from, at most
-MAX_GRAMS = 80_000  # of each order, the most frequent; words are order 0
+SAMPLE_ROWS, LEAST_ROWS = 10_000, 500  # about so many labelled rows are learnt from; of each language so many, if it has them
 ORDERS = (4, 3, 2, 1)
-REMEMBERED = 60_000  # unseen words that a worker remembers
+REMEMBERED = 100_000  # words that a worker remembers
+HELD = 300_000  # counts that a training task holds before it passes them on
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+
+
+def _grams(word: str, n: int) -> list[str]:
+    marked = f"_{word}_" if n > 1 else word
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+
 @dataclass
 class Model:
-    """``rows[order]`` gives a word's or n-gram's row of ``logs[order]``, a column a language."""
+    """``hashes[order]`` (words are order 0) are those of ``logs[order]``'s rows, a column a language; ``common`` is the column of the most rows."""
 
     langs: list[str]
-    rows: dict[int, dict[str, int]]
+    hashes: dict[int, np.ndarray]
     logs: dict[int, np.ndarray]
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray | None:
-        at = self.rows[0].get(word)
-        if at is not None:
-            return self.logs[0][at]
-        if word in self.seen:
-            return self.seen[word]
-        out, marked = None, f"_{word}_"
-        for n in ORDERS:
-            known = [r for i in range(len(marked) - n + 1) if (r := self.rows[n].get(marked[i : i + n])) is not None]
-            if known:
-                out = self.logs[n][known].mean(axis=0)
-                break
+    common: int = 0
+    seen: dict[str, int] = field(default_factory=dict)
+    held: np.ndarray | None = None
+
+    def _known(self, order: int, texts: list[str]) -> np.ndarray:
+        own = self.hashes[order]
+        h = np.array([_hash(t) for t in texts], np.uint64)
+        at = np.minimum(np.searchsorted(own, h), max(0, len(own) - 1))
+        return self.logs[order][at[own[at] == h]] if len(own) else self.logs[order][:0]
+
+    def evidence(self, word: str) -> np.ndarray | None:
+        """The logs of each language for ``word``; none if none of its parts is known."""
+        for n in (0, *ORDERS):
+            known = self._known(n, _grams(word, n) if n else [word])
+            if len(known):
+                return known.mean(axis=0)
+        return None
+
+    def row(self, word: str) -> int:
+        """The place of a word's logs in ``held``, -1 without evidence; words beyond what is remembered take turns in the last place."""
+        if self.held is None:
+            self.held = np.zeros((REMEMBERED + 1, len(self.langs)), np.float32)
+        got = self.evidence(word)
+        at = -1 if got is None else len(self.seen)
+        if at >= 0:
+            self.held[at] = got
         if len(self.seen) < REMEMBERED:
-            self.seen[word] = out
-        return out
+            self.seen[word] = at
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share (0 to 1) of the languages' likelihoods a word; ``und`` without letters or evidence."""
+        """The language and its share (0 to 1) of the languages' likelihoods a word; ``und`` without letters."""
         counts = Counter(_WORD.findall((text or "").lower()))
-        rows, times, known = [], [], self.rows[0]
-        total, n = np.zeros(len(self.langs)), 0
+        if not counts or not self.langs:
+            return UNKNOWN, 0.0
+        rows, times, total, n = [], [], np.zeros(len(self.langs)), 0
         for word, c in counts.items():
-            at = known.get(word)
-            if at is not None:
+            at = self.seen.get(word)
+            if at is None:
+                at = self.row(word)
+                if at == REMEMBERED:
+                    total += c * self.held[at]
+                    n += c
+                    continue
+            if at >= 0:
                 rows.append(at)
                 times.append(c)
-            elif (v := self.word(word)) is not None:
-                total += c * v
-                n += c
         if rows:
-            total = total + np.asarray(times, float) @ self.logs[0][rows]
+            total = total + np.asarray(times, float) @ self.held[rows]
             n += sum(times)
-        if not n or not self.langs:
-            return UNKNOWN, 0.0
+        if not n:
+            return self.langs[self.common], 1.0 / len(self.langs)
         share = np.exp((total - total.max()) / n)
         best = int(total.argmax())
         return self.langs[best], float(share[best] / share.sum())
 
 
-def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the rows where ``usable``, lang and text are not null; about ``sample_rows`` of them, chosen by a hash of doc_id.
+def sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """About ``sample_rows`` of ``rows`` (lang, text, id), and about ``least_rows`` of each language that has so many, by a hash of the id."""
+    each = rows.groupBy("lang").count()
+    total, langs = each.agg(F.sum("count"), F.count(F.lit(1))).first()
+    if (total or 0) <= sample_rows:
+        return rows
+    rate = F.greatest(F.lit(sample_rows / total), F.lit(float(least_rows)) / F.col("count"))
+    part = each.select("lang", (rate * (1 << 30)).cast("long").alias("part"))
+    met = rows.join(F.broadcast(part) if langs <= 100_000 else part, "lang")
+    return met.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) < F.col("part")).drop("part")
+
+
+def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> Model:
+    """A model of a bounded :func:`sample` of the rows where ``usable``, lang and text are not null.
 
-    Texts are read whole. The model has at most ``MAX_GRAMS`` entries an order, so its
-    size has a bound whatever the corpus. An empty sample gives a model without languages.
+    Texts are read whole and all that they hold is learnt, so the model's size has the
+    sample's bound whatever the corpus. Rows that repeat count each. An empty sample
+    gives a model without languages.
     """
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id"))
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
+    rows = sample(rows, sample_rows, least_rows)
 
     def count(parts):
-        grams: Counter[tuple[str, int, str]] = Counter()
+        grams: Counter[tuple[str, int, int]] = Counter()
 
         def out():
-            keys = list(grams)
-            table = pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([grams[k] for k in keys], pa.int64())], names=["lang", "n", "gram", "c"])
+            lang, n, gram = zip(*grams, strict=True) if grams else ([], [], [])
+            table = pa.record_batch([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(np.array(gram, np.uint64).view(np.int64)), pa.array(list(grams.values()), pa.int64())], names=["lang", "n", "gram", "c"])
             grams.clear()
             return table
 
         for batch in batches(parts):
             by_lang: dict[str, Counter[str]] = {}
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(language, Counter()).update(_WORD.findall(t.lower()))
+                words = by_lang.setdefault(language, Counter())
+                words.update(_WORD.findall(t.lower()))
+                grams[language, -1, 0] += 1  # rows
             for language, words in by_lang.items():
+                each: Counter[tuple[int, str]] = Counter()
                 for word, c in words.items():
-                    grams[language, 0, word] += c
-                    marked = f"_{word}_"
+                    grams[language, 0, _hash(word)] += c
                     for k in ORDERS:
-                        for i in range(len(marked) - k + 1):
-                            grams[language, k, marked[i : i + k]] += c
-            if len(grams) > 300_000:
+                        for g in _grams(word, k):
+                            each[k, g] += c
+                for (k, g), c in each.items():
+                    grams[language, k, _hash(g)] += c
+            if len(grams) > HELD:
                 yield out()
         yield out()
 
-    counted = rows.select("lang", "text").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    each = counted.groupBy("n", "gram").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
-    each = stored(each.where(F.col("c") > 1), "grams")
-    kept = {k: each.where(F.col("n") == k).orderBy(F.desc("c"), "gram").limit(MAX_GRAMS).select("gram", "by").toArrow() for k in (0, *ORDERS)}
-    langs = sorted({lang for t in kept.values() for by in t["by"].to_pylist() for lang, _ in by})
-    column = {lang: i for i, lang in enumerate(langs)}
-    index, logs = {}, {}
-    for k, t in kept.items():
-        table = np.zeros((t.num_rows, len(langs)), np.float64)
-        for r, by in enumerate(t["by"].to_pylist()):
-            for language, c in by:
-                table[r, column[language]] = c
+    counted = rows.select("lang", "text").mapInArrow(count, "lang string, n int, gram long, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
+    got = counted.toArrow()
+    names = got["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    column = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if langs else np.zeros(0, np.int64)
+    order, gram, c = got["n"].to_numpy(), got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy()
+    learnt = np.bincount(column[order == -1], c[order == -1], len(langs))
+    hashes, logs = {}, {}
+    for k in (0, *ORDERS):
+        mine = order == k
+        hashes[k], at = np.unique(gram[mine], return_inverse=True)
+        table = np.zeros((len(hashes[k]), len(langs)))
+        np.add.at(table, (at, column[mine]), c[mine])
         total = table.sum(axis=0) + 0.5 * len(table)
-        index[k] = {g: i for i, g in enumerate(t["gram"].to_pylist())}
         logs[k] = np.log((table + 0.5) / np.maximum(total, 1)).astype(np.float32)
-    return Model(langs, index, logs)
+    return Model(langs, hashes, logs, int(learnt.argmax()) if langs else 0)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score. A null text, or one without a letter, is ``und`` with score 0.
 
-    New columns that clash with one of ``docs`` get an underscore at the end.
+    Rows that repeat get the same answer each; a text of any length is read whole. New
+    columns that clash with one of ``docs`` get an underscore at the end.
     """
     lang_name, score_name = column_free(docs, lang_name), column_free(docs, score_name)
     held = docs.sparkSession.sparkContext.broadcast(model)
