@@ -116,7 +116,7 @@ def split_directions(points: DataFrame, t: dict = CLUSTER, by: str = "cluster_id
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid")
         n = pdf[["nx", "ny", "nz"]].to_numpy(float)
-        part = fits.split_by_direction(pdf[["x", "y", "z"]].to_numpy(float), np.nan_to_num(n), t["direction_degrees"], t["direction_points"], t["direction_share"], t["directions"], t["sphericity"], t["eps"])
+        part = fits.split_by_direction(pdf[["x", "y", "z"]].to_numpy(float), n, t["direction_degrees"], t["direction_points"], t["direction_share"], t["directions"], t["sphericity"], t["eps"])
         return pd.DataFrame({"pid": pdf["pid"].to_numpy(), by: pdf[by].to_numpy(), "part": part})
 
     return points.select("pid", by, "x", "y", "z", "nx", "ny", "nz").groupBy(by).applyInPandas(run, f"pid long, {by} long, part int")

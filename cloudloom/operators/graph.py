@@ -50,12 +50,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     clean = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("a"), F.col(dst).alias("b"))
     once = stored(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    if once.count() <= small:
-        labels = _at_once(once)
-        free(once)
-        return labels
+    left = once.where("a <> b")
+    if left.count() <= small:
+        labels, alone = _at_once(left), once.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+        return labels.unionByName(alone.join(labels.select("node"), "node", "left_anti"))
     nodes = once.select("a").union(once.select("b")).distinct().select(F.col("a").alias("node"))
-    left, labels, old = once.where("a <> b"), None, []
+    labels, old = None, []
     for _ in range(max_rounds):
         both = left.union(left.select("b", "a"))
         point = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to"))

@@ -20,10 +20,11 @@ def _named(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in columns))
 
 
-def grid_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", keep: tuple[list[str], list[str]] | None = None) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", keep: tuple[list[str], list[str]] | None = None, bands: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (a_*, b_*) of ``left`` and ``right`` at most ``radius`` apart, with ``d2``. Rows with a null coordinate pair with none.
 
-    ``keep`` names the columns of each side that are wanted; all by default.
+    ``keep`` names the columns of each side that are wanted; all by default. ``bands`` are
+    columns of whole numbers in which the two may differ by one at most.
     """
     lc, rc = keep or (left.columns, right.columns)
     a = _named(left, "a_", list(dict.fromkeys([*lc, *axes])))
@@ -35,7 +36,11 @@ def grid_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz
     a = a.withColumn("o_", F.explode(offsets))
     for c in axes:
         a = a.withColumn(f"cell_{c}", F.floor(F.col(f"a_{c}") / size) + F.col(f"o_.{c}"))
-    pairs = a.drop("o_").join(b, [f"cell_{c}" for c in axes]).drop(*(f"cell_{c}" for c in axes))
+    for c in bands:
+        a = a.withColumn(f"cell_{c}", F.explode(F.array(*(F.col(f"a_{c}") + k for k in (-1, 0, 1)))))
+        b = b.withColumn(f"cell_{c}", F.col(f"b_{c}"))
+    cells = [f"cell_{c}" for c in (*axes, *bands)]
+    pairs = a.drop("o_").join(b, cells).drop(*cells)
     pairs = pairs.withColumn("d2", squared_distance("a_", "b_", axes)).where(F.col("d2") <= F.lit(float(radius) * float(radius)))
     return pairs
 

@@ -99,6 +99,14 @@ def test_direction_split():
     a, na = tube(0.15, 3.0, 2000, axis=0)
     b, nb = tube(0.15, 3.0, 2000, axis=1, offset=(0, 0, 0.35), seed=1)
     part = fits.split_by_direction(np.concatenate([a, b]), np.concatenate([na, nb]), sphericity=None)
+    for k in np.argsort(-np.bincount(part))[:2]:  # the two largest parts are of one tube each
+        share = (np.flatnonzero(part == k) < 2000).mean()
+        assert share >= 0.9 or share <= 0.1
+    blind = nb.copy()
+    blind[::2] = np.nan  # points without a normal follow their neighbours
+    part = fits.split_by_direction(np.concatenate([a, b]), np.concatenate([na, blind]), sphericity=None, scraps="nearest")
+    assert len(np.unique(part)) == 2 and (part[:2000] == np.bincount(part[:2000]).argmax()).mean() >= 0.9 and (part[2000:] == np.bincount(part[2000:]).argmax()).mean() >= 0.9
+    part = fits.split_by_direction(np.concatenate([a, b]), np.concatenate([na, nb]), sphericity=None, scraps="nearest")
     first, second = np.bincount(part[:2000]).argmax(), np.bincount(part[2000:]).argmax()
     assert first != second and (part[:2000] == first).mean() >= 0.9 and (part[2000:] == second).mean() >= 0.9
     assert fits.split_by_direction(a, na).max() == 0
@@ -111,6 +119,25 @@ def test_direction_split():
     assert fits.split_by_direction(blob, nn).max() == 0 < fits.split_by_direction(blob, nn, sphericity=None).max()
 
 
+def test_nearest_and_components_by_cells():
+    draw = np.random.default_rng(9)
+    known, asked = draw.random((300, 3)) * 3, draw.random((200, 3)) * 9 - 3
+    d = ((asked[:, None] - known[None]) ** 2).sum(axis=2)
+    assert (fits.nearest_of(asked, known, 0.1) == d.argmin(axis=1)).all() and len(fits.nearest_of(asked[:0], known, 0.1)) == 0
+    close = ((known[:, None] - known[None]) ** 2).sum(axis=2) <= 0.25**2
+    label, want = fits.components_within(known, 0.25), np.arange(300)
+    for _ in range(300):
+        want = np.where(close, want[None], 300).min(axis=1)
+    assert len(np.unique(label)) == len(np.unique(want)) == len(set(zip(label.tolist(), want.tolist(), strict=True)))
+
+
+def test_circles_through_triples():
+    centre, radius = np.array([[2.0, -1.0]]), 0.5
+    at = np.array([[[np.cos(a), np.sin(a)] for a in (0.1, 2.0, 4.0)]]) * radius + centre[:, None]
+    got, r = fits.circles_through(np.concatenate([at, [[[0, 0], [1, 1], [2, 2]]]]))
+    assert np.allclose(got, centre) and np.allclose(r, radius)
+
+
 def test_erosion_split():
     draw = np.random.default_rng(0)
     a, b = draw.random((3000, 3)) * (4, 4, 1), draw.random((3000, 3)) * (4, 4, 1) + (6, 0, 0)
