@@ -7,7 +7,6 @@ candidate planes and the table of accepted ones.
 
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -150,30 +149,37 @@ def accept_components(parts: DataFrame, planes: list[dict], bottom: float, top:
     return sums.where(F.col("n") >= least).withColumn("kind", kind).where("kind is not null")
 
 
+def in_boxes(points: DataFrame, boxes: DataFrame, keep: list[str], cell: float = 4.0) -> DataFrame:
+    """(keep of ``points``, columns of ``boxes`` after ``w_``): each point with each xyz box (x0 to z1) that holds it, by the cells of the plan."""
+    from .spatial import boxes_overlap
+
+    dots = points.select(*dict.fromkeys([*keep, "z"]), *(F.col(c).alias(f"{c}{e}") for c in "xy" for e in (0, 1)))
+    met = boxes_overlap(dots, boxes, cell).where(F.col("a_z").between(F.col("b_z0"), F.col("b_z1")))
+    names = {"x": "x0", "y": "y0"}
+    return met.select(*(F.col(f"a_{names.get(c, c)}").alias(c) for c in dict.fromkeys([*keep, "x", "y", "z"])), *(F.col(f"b_{c}").alias(f"w_{c}") for c in boxes.columns))
+
+
+def _widened(boxes: DataFrame, margin) -> DataFrame:
+    return boxes.withColumns({f"{c}{e}": F.col(f"{c}{e}") + (margin if e else -margin) for c in "xyz" for e in (0, 1)})
+
+
 def wall_completion(points: DataFrame, walls: DataFrame, t: dict = STRUCTURE, margin: float = 3.0) -> DataFrame:
     """(pid): points on a wall's plane, within its box and a margin, whose normal is along it. ``walls`` has plane_id, a, b, c, d and an xyz box."""
-    w = walls.select(*(F.col(c).alias(f"w_{c}") for c in walls.columns))
-    box = reduce(lambda u, v: u & v, (F.col(c).between(F.col(f"w_{c}0") - margin, F.col(f"w_{c}1") + margin) for c in "xyz"))
+    met = in_boxes(points, _widened(walls, F.lit(float(margin))), ["pid", "nx", "ny", "nz"])
     on = F.abs(F.col("w_a") * F.col("x") + F.col("w_b") * F.col("y") + F.col("w_c") * F.col("z") + F.col("w_d")) <= t["residual_distance"]
     along = F.abs(F.col("w_a") * F.col("nx") + F.col("w_b") * F.col("ny") + F.col("w_c") * F.col("nz")) >= t["wall_align"]
-    if walls.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 walls: complete them in parts")
-    return points.join(F.broadcast(w), box & on & along, "left_semi").select("pid")
+    return met.where(on & along).select("pid").distinct()
 
 
 def structural_residual(points: DataFrame, planes: DataFrame, thickness: DataFrame, by: str = "cluster_id", t: dict = STRUCTURE) -> DataFrame:
     """(by, code): thin clusters most of whose points lie within reach of one plane and in its widened box; the first plane decides. ``planes`` has ord, code, a, b, c, d, margin and an xyz box."""
-    if planes.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 planes: give them in parts")
     thin = points.join(thickness.where(F.col("thickness") <= t["residual_thickness"]).select(by), by, "left_semi").select(by, "x", "y", "z")
-    p = F.broadcast(planes.select(*(F.col(c).alias(f"p_{c}") for c in planes.columns)))
-    inside = reduce(lambda u, v: u & v, (F.col(c).between(F.col(f"p_{c}0") - F.col("p_margin"), F.col(f"p_{c}1") + F.col("p_margin")) for c in "xyz"))
-    close = F.abs(F.col("p_a") * F.col("x") + F.col("p_b") * F.col("y") + F.col("p_c") * F.col("z") + F.col("p_d")) <= t["residual_distance"]
-    # planes are few and known in number: each point meets each plane once, and only sums are kept
-    met = thin.join(p, F.col("p_ord") >= 0)
-    share = met.groupBy(by, "p_ord", "p_code").agg(F.avg(inside.cast("double")).alias("in_"), F.avg(close.cast("double")).alias("on_"))
-    good = share.where((F.col("in_") >= t["residual_share"]) & (F.col("on_") >= t["residual_share"]))
-    return good.groupBy(by).agg(F.min_by("p_code", "p_ord").alias("code"))
+    sizes = thin.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
+    held = in_boxes(thin, _widened(planes, F.col("margin")), [by]).groupBy(by, *(f"w_{c}" for c in ("ord", "code", "a", "b", "c", "d"))).agg(F.count(F.lit(1)).alias("in_"))
+    likely = held.join(sizes, by).where(F.col("in_") >= t["residual_share"] * F.col("n_")).drop("in_")
+    close = F.abs(F.col("w_a") * F.col("x") + F.col("w_b") * F.col("y") + F.col("w_c") * F.col("z") + F.col("w_d")) <= t["residual_distance"]
+    share = thin.join(likely, by).groupBy(by, "w_ord", "w_code").agg(F.avg(close.cast("double")).alias("on_"))
+    return share.where(F.col("on_") >= t["residual_share"]).groupBy(by).agg(F.min_by("w_code", "w_ord").alias("code"))
 
 
 def floor_map(points: DataFrame, cell: float = 0.5, gap: float = 0.5, least: int = 30) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import context, dataset, features, fits, graph, ordered, raster, review, rules, spatial, voxel
-from .model import CODE, class_table
+from .model import CODE, CONTEXT, class_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -257,12 +257,11 @@ def density_clusters(spark, sf):
 
 # --- rasters ----------------------------------------------------------------------
 
-_CELLS_SQL = "cells as (select distinct (l_partkey % 90)::bigint as i, (l_suppkey % 60)::bigint as j from lineitem where (l_partkey * 31 + l_suppkey * 17) % 5 < 4)"
+_CELLS_SQL = "cells as (select distinct l_partkey as i, l_suppkey as j from lineitem)"
 
 
 def _cells(spark, sf):
-    t = table(spark, sf, "lineitem").where((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % 5 < 4)
-    return t.select((F.col("l_partkey") % 90).alias("i"), (F.col("l_suppkey") % 60).alias("j")).distinct()
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).distinct()
 
 
 @query(f"with {_CELLS_SQL} select distinct i + a as i, j + b as j from cells, (values (-1), (0), (1)) x(a), (values (-1), (0), (1)) y(b)")
@@ -285,16 +284,8 @@ def raster_max_filter(spark, sf):
     return raster.max_filter(voxel.cells(lattice(spark, sf), 2.0), "max_z", 2)
 
 
-_ISLES_SQL = "cells as (select distinct (l_partkey % 41)::bigint as i, (l_suppkey % 37)::bigint as j from lineitem where (l_partkey * l_partkey + l_suppkey * 13) % 11 < 2 and l_partkey % 4 > 1)"
-
-
-def _isles(spark, sf):
-    t = table(spark, sf, "lineitem").where(((F.col("l_partkey") * F.col("l_partkey") + F.col("l_suppkey") * 13) % 11 < 2) & (F.col("l_partkey") % 4 > 1))
-    return t.select((F.col("l_partkey") % 41).alias("i"), (F.col("l_suppkey") % 37).alias("j")).distinct()
-
-
-_ISLES_WALK = f"""with recursive {_ISLES_SQL}, n as (select i, j, (i + 1073741824) * 2147483648 + j + 1073741824 as pid from cells),
-edges as (select a.pid as s, b.pid as d from n a join n b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1),
+_ISLES_WALK = f"""with recursive {_CELLS_SQL}, n as (select i, j, (i + 1073741824) * 2147483648 + j + 1073741824 as pid from cells),
+edges as (select a.pid as s, b.pid as d from (select pid, i + x as i, j + y as j from n, (values (-1), (0), (1)) p(x), (values (-1), (0), (1)) q(y)) a join n b using (i, j)),
 walk as (select s as node, s as seen from edges union select w.node, e.d from walk w join edges e on w.seen = e.s),
 comp as (select node, min(seen) as component from walk group by node),
 lab as (select n.i, n.j, c.component from n join comp c on c.node = n.pid)"""
@@ -303,7 +294,7 @@ lab as (select n.i, n.j, c.component from n join comp c on c.node = n.pid)"""
 @query(f"{_ISLES_WALK} select i, j, component from lab")
 def raster_components(spark, sf):
     """G6."""
-    return raster.grid_components(_isles(spark, sf))
+    return raster.grid_components(_cells(spark, sf))
 
 
 @query(f"""{_ISLES_WALK}, b as (select component, count(*) as n, min(i) as i0, max(i) as i1, min(j) as j0, max(j) as j1 from lab group by component),
@@ -311,23 +302,29 @@ s as (select *, greatest((i1 - i0 + 1) * 0.15::double, (j1 - j0 + 1) * 0.15::dou
 select * from s where short between 0.1 and 9.0 and long >= 0.15 and long >= 1.01 * short""")
 def raster_strips(spark, sf):
     """M2: components of a beam's shape."""
-    return raster.strips(raster.component_boxes(raster.grid_components(_isles(spark, sf)), 0.15), 0.1, 9.0, 0.15, 1.01)
+    return raster.strips(raster.component_boxes(raster.grid_components(_cells(spark, sf)), 0.15), 0.1, 9.0, 0.15, 1.01)
 
 
-@query(f"""with {_ISLES_SQL}, k as (select i, j, (i * 3 + j * 5) % 17 as v from cells), w as (select distinct i + 1 as i, j + 1 as j from cells),
-m as (select w.i, w.j, arg_min(k.v, ((w.i - k.i) * (w.i - k.i) + (w.j - k.j) * (w.j - k.j), (k.i + 1073741824) * 2147483648 + k.j + 1073741824)) as v, min((w.i - k.i) * (w.i - k.i) + (w.j - k.j) * (w.j - k.j)) as d from w, k group by w.i, w.j)
-select i, j, v from m where d <= 9""")
+@query(f"""with {_CELLS_SQL}, k as (select i, j, (i * 3 + j * 5) % 17 as v from cells), w as (select distinct i + 1 as i, j + 1 as j from cells),
+m as (select w.i, w.j, arg_min(k.v, (x * x + y * y, (k.i + 1073741824) * 2147483648 + k.j + 1073741824)) as v from w, range(-3, 4) p(x), range(-3, 4) q(y), k where x * x + y * y <= 9 and k.i = w.i + x and k.j = w.j + y group by w.i, w.j)
+select i, j, v from m""")
 def raster_fill(spark, sf):
     """M6: the nearest cell's value, within a radius."""
-    cells = _isles(spark, sf)
+    cells = _cells(spark, sf)
     known = cells.withColumn("v", (F.col("i") * 3 + F.col("j") * 5) % 17)
     return raster.fill_from_nearest(known, cells.select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")), "v", 1.0, 3.0)
 
 
-@query()
+@query(f"""with recursive {_CELLS_SQL}, box as (select min(i) - 2 as i0, max(i) + 2 as i1, min(j) - 2 as j0, max(j) + 2 as j1 from cells),
+grid as (select i, unnest(range(j0, j1 + 1)) as j, i0, i1, j0, j1 from (select *, unnest(range(i0, i1 + 1)) as i from box)),
+wide as (select distinct i + x as i, j + y as j from cells, (values (-1), (0), (1)) p(x), (values (-1), (0), (1)) q(y)),
+closed as (select i, j from (select i + x as i, j + y as j from wide, (values (-1), (0), (1)) p(x), (values (-1), (0), (1)) q(y)) group by i, j having count(*) = 9),
+open_ as (select * from grid anti join closed using (i, j)),
+outside as (select i, j from open_ where i in (i0, i1) or j in (j0, j1) union select o.i, o.j from outside join (values (0, 1), (0, -1), (1, 0), (-1, 0)) s(x, y) on true join open_ o on o.i = outside.i + x and o.j = outside.j + y)
+select 0::int as level, i, j from grid anti join outside using (i, j) anti join cells using (i, j)""")
 def raster_holes(spark, sf):
-    """M1: enclosed empty cells, a level each; tested against a brute force."""
-    return raster.holes(_isles(spark, sf).withColumn("level", F.lit(0)), "level")
+    """M1: enclosed empty cells, a level each."""
+    return raster.holes(_cells(spark, sf).withColumn("level", F.lit(0)), "level")
 
 
 # --- features ---------------------------------------------------------------------
@@ -687,8 +684,8 @@ def run_stability(spark, sf):
 @query("select * from (select o_orderpriority as label_before, o_custkey % 5 as label_after, count(*) as n, row_number() over (partition by o_orderpriority order by count(*) desc, o_custkey % 5)::int as rank from orders where o_orderkey % 2 = 0 group by 1, 2) where rank <= 3")
 def top_transitions(spark, sf):
     """The three most frequent changes of each class."""
-    o = table(spark, sf, "orders").where("o_orderkey % 2 = 0")
-    return review.top_transitions(o.select(F.col("o_orderpriority").alias("label_before"), (F.col("o_custkey") % 5).alias("label_after"), F.lit("changed").alias("outcome")))
+    o, outcome = table(spark, sf, "orders"), F.when(F.col("o_orderkey") % 2 == 0, "changed").otherwise("stable")
+    return review.top_transitions(o.select(F.col("o_orderpriority").alias("label_before"), (F.col("o_custkey") % 5).alias("label_after"), outcome.alias("outcome")))
 
 
 @query("select c_name as name, c_acctbal as value from customer where c_custkey % 3 > 0 and c_name not in (select c_name from customer where c_custkey % 4 = 0) union all select c_name, -1.0 from customer where c_custkey % 4 = 0")
@@ -743,9 +740,11 @@ def parallel_pairs(spark, sf):
     return context.parallel_pairs(context.light_like(rods(spark, sf)))
 
 
-@query()
+@query(f"""with recursive {_ROD_SQL}, {_LIGHTS}, walk as (select distinct s as node, s as seen from e union select w.node, e.d from walk w join e on w.seen = e.s),
+c as (select node, min(seen) as comp from walk group by node), lit as (select node from c where comp in (select comp from c group by comp having count(*) >= {CONTEXT["repeats"]}))
+select instance_id, (case when instance_id in (select node from lit) then 5 else label end)::smallint as label from rod""")
 def serial_lights(spark, sf):
-    """Lights in series; the components are tested by brute force."""
+    """Lights in series."""
     return context.serial_lights(rods(spark, sf)).select("instance_id", "label")
 
 
@@ -952,15 +951,15 @@ def giant_split(spark, sf):
 
 # --- patches, planes and reports --------------------------------------------------
 
-_EDGE_SQL = """edge as (select distinct l_partkey as src, l_partkey + l_suppkey as dst, l_suppkey % 3 = 0 as concave from lineitem where l_linenumber = 1), vote as (
-select least(src % 40, dst % 40) as p, greatest(src % 40, dst % 40) as q, count(*) as contacts, count(*) filter (concave) as concave from edge where src % 40 <> dst % 40 group by all)"""
+_EDGE_SQL = """edge as (select distinct l_partkey as src, l_partkey + l_suppkey as dst, l_suppkey % 3 = 0 as concave from lineitem), vote as (
+select src // 50 as p, dst // 50 as q, count(*) as contacts, count(*) filter (concave) as concave from edge where src // 50 <> dst // 50 group by all)"""
 
 
 def _votes(spark, sf):
     from ..operators import cluster
 
-    e = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") + F.col("l_suppkey")).alias("dst"), (F.col("l_suppkey") % 3 == 0).alias("concave")).distinct()
-    nodes = e.select(F.col("src").alias("pid")).union(e.select("dst")).distinct().withColumn("patch", F.col("pid") % 40)
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") + F.col("l_suppkey")).alias("dst"), (F.col("l_suppkey") % 3 == 0).alias("concave")).distinct()
+    nodes = e.select(F.col("src").alias("pid")).union(e.select("dst")).distinct().withColumn("patch", F.floor(F.col("pid") / 50))
     return cluster.contact_votes(e, nodes, 0.6)
 
 
@@ -976,10 +975,12 @@ def strongest_contact(spark, sf):
     """A small patch's strongest neighbour."""
     from ..operators import cluster
 
-    return cluster.strongest_contact(_votes(spark, sf), spark.range(40).select(F.col("id").alias("patch")).where("patch % 5 = 0"))
+    votes = _votes(spark, sf)
+    patches = votes.select(F.col("p").alias("patch")).union(votes.select("q")).distinct()
+    return cluster.strongest_contact(votes, patches.where("patch % 5 = 0"))
 
 
-@query(f"""with {_EDGE_SQL}, patch as (select range as patch, case range % 4 when 0 then 'cylindrical' when 1 then 'irregular' when 2 then 'horizontal' else 'vertical' end as family, (range % 9) / 3.0::double as area from range(40)),
+@query(f"""with {_EDGE_SQL}, patch as (select id as patch, case id % 4 when 0 then 'cylindrical' when 1 then 'irregular' when 2 then 'horizontal' else 'vertical' end as family, (id % 9) / 3.0::double as area from (select p as id from vote union select q from vote)),
 m as (select v.*, a.family as pf, a.area as pa, b.family as qf, b.area as qa from vote v join patch a on a.patch = p join patch b on b.patch = q)
 select p, q from m where not ((pf = 'cylindrical' and ((qf in ('horizontal', 'vertical') and qa >= 1.5) or (qf = 'irregular' and qa >= 0.375))) or (pf = 'irregular' and qf in ('horizontal', 'vertical') and qa >= 1.5)
 or (qf = 'cylindrical' and ((pf in ('horizontal', 'vertical') and pa >= 1.5) or (pf = 'irregular' and pa >= 0.375))) or (qf = 'irregular' and pf in ('horizontal', 'vertical') and pa >= 1.5))""")
@@ -987,19 +988,19 @@ def semantic_veto(spark, sf):
     """Pairs of patches that may be one thing."""
     from ..operators import cluster
 
-    n = F.col("id")
+    n, votes = F.col("id"), _votes(spark, sf)
     family = F.element_at(F.array(*map(F.lit, ("cylindrical", "irregular", "horizontal", "vertical"))), (n % 4 + 1).cast("int"))
-    patches = spark.range(40).select(n.alias("patch"), family.alias("family"), ((n % 9).cast("double") / 3.0).alias("area"))
-    return cluster.semantic_veto(_votes(spark, sf), patches).select("p", "q")
+    patches = votes.select(F.col("p").alias("id")).union(votes.select("q")).distinct().select(n.alias("patch"), family.alias("family"), ((n % 9).cast("double") / 3.0).alias("area"))
+    return cluster.semantic_veto(votes, patches).select("p", "q")
 
 
-_PLANES_SQL = "plane as (select s_suppkey as plane_id, (s_suppkey % 7) / 10.0::double - 0.3 as z, (s_suppkey % 5) / 4.0::double - 0.8 as x0, (s_suppkey % 5) / 4.0::double + 0.2 as x1, (s_suppkey % 4) / 4.0::double - 0.8 as y0, (s_suppkey % 4) / 4.0::double + 0.2 as y1 from supplier where s_suppkey <= 40)"
+_PLANES_SQL = "plane as (select s_suppkey as plane_id, (s_suppkey % 7) / 10.0::double - 0.3 as z, (s_suppkey % 5) / 4.0::double - 0.8 as x0, (s_suppkey % 5) / 4.0::double + 0.2 as x1, (s_suppkey % 4) / 4.0::double - 0.8 as y0, (s_suppkey % 4) / 4.0::double + 0.2 as y1 from supplier)"
 
 
 def _flats(spark, sf):
     k = F.col("s_suppkey")
     d = lambda n, m: (k % n).cast("double") / float(m)
-    return table(spark, sf, "supplier").where(k <= 40).select(k.alias("plane_id"), (d(7, 10) - 0.3).alias("z"), (d(5, 4) - 0.8).alias("x0"), (d(5, 4) + 0.2).alias("x1"), (d(4, 4) - 0.8).alias("y0"), (d(4, 4) + 0.2).alias("y1"))
+    return table(spark, sf, "supplier").select(k.alias("plane_id"), (d(7, 10) - 0.3).alias("z"), (d(5, 4) - 0.8).alias("x0"), (d(5, 4) + 0.2).alias("x1"), (d(4, 4) - 0.8).alias("y0"), (d(4, 4) + 0.2).alias("y1"))
 
 
 @query(f"""with {CLOUD_SQL}, {_PLANES_SQL}, n as (select plane_id, any_value(p.z) as z, count(*) filter (c.z - p.z between 0.08 and 0.20) as above, count(*) filter (p.z - c.z between 0.08 and 0.20) as below
@@ -1012,7 +1013,7 @@ def plane_typing(spark, sf):
     return structure.horizontal_kind(cloud(spark, sf), _flats(spark, sf), least=2)
 
 
-_WALLS_SQL = "wall as (select s_suppkey as plane_id, 0.6::double as a, 0.8::double as b, 0.0::double as c, (s_suppkey % 11) / 10.0::double - 0.5 as d, -1.0::double as x0, 0.5::double as x1, -1.0::double as y0, 0.5::double as y1, -0.5::double as z0, 0.5::double as z1 from supplier where s_suppkey <= 12)"
+_WALLS_SQL = "wall as (select s_suppkey as plane_id, 0.6::double as a, 0.8::double as b, 0.0::double as c, (s_suppkey % 11) / 10.0::double - 0.5 as d, -1.0::double as x0, 0.5::double as x1, -1.0::double as y0, 0.5::double as y1, -0.5::double as z0, 0.5::double as z1 from supplier)"
 
 
 @query(f"""with {CLOUD_SQL}, {_WALLS_SQL} select pid from cloud where exists (select 1 from wall w where x between w.x0 - 0.1 and w.x1 + 0.1 and y between w.y0 - 0.1 and w.y1 + 0.1 and z between w.z0 - 0.1 and w.z1 + 0.1
@@ -1022,7 +1023,7 @@ def wall_completion(spark, sf):
     from ..operators import structure
 
     k = F.col("s_suppkey")
-    walls = table(spark, sf, "supplier").where(k <= 12).select(k.alias("plane_id"), F.lit(0.6).alias("a"), F.lit(0.8).alias("b"), F.lit(0.0).alias("c"), ((k % 11).cast("double") / 10.0 - 0.5).alias("d"), *(F.lit(v).alias(f"{c}{e}") for c, lo, hi in (("x", -1.0, 0.5), ("y", -1.0, 0.5), ("z", -0.5, 0.5)) for e, v in ((0, lo), (1, hi))))
+    walls = table(spark, sf, "supplier").select(k.alias("plane_id"), F.lit(0.6).alias("a"), F.lit(0.8).alias("b"), F.lit(0.0).alias("c"), ((k % 11).cast("double") / 10.0 - 0.5).alias("d"), *(F.lit(v).alias(f"{c}{e}") for c, lo, hi in (("x", -1.0, 0.5), ("y", -1.0, 0.5), ("z", -0.5, 0.5)) for e, v in ((0, lo), (1, hi))))
     points = cloud(spark, sf).withColumns({"nx": F.col("y"), "ny": F.col("z"), "nz": F.col("x")})
     return structure.wall_completion(points, walls, structure.STRUCTURE | {"wall_align": 0.2}, 0.1)
 
@@ -1034,7 +1035,7 @@ def structural_residual(spark, sf):
     from ..operators import structure
 
     k = F.col("s_suppkey")
-    planes = table(spark, sf, "supplier").where(k <= 12).select(k.alias("ord"), (k % 3).cast("int").alias("code"), F.lit(0.6).alias("a"), F.lit(0.8).alias("b"), F.lit(0.0).alias("c"), ((k % 11).cast("double") / 10.0 - 0.5).alias("d"), F.lit(0.3).alias("margin"), *(F.lit(v).alias(f"{c}{e}") for c, lo, hi in (("x", -1.0, 0.5), ("y", -1.0, 0.5), ("z", -0.5, 0.5)) for e, v in ((0, lo), (1, hi))))
+    planes = table(spark, sf, "supplier").select(k.alias("ord"), (k % 3).cast("int").alias("code"), F.lit(0.6).alias("a"), F.lit(0.8).alias("b"), F.lit(0.0).alias("c"), ((k % 11).cast("double") / 10.0 - 0.5).alias("d"), F.lit(0.3).alias("margin"), *(F.lit(v).alias(f"{c}{e}") for c, lo, hi in (("x", -1.0, 0.5), ("y", -1.0, 0.5), ("z", -0.5, 0.5)) for e, v in ((0, lo), (1, hi))))
     points = cloud(spark, sf).withColumnRenamed("label", "cluster_id")
     thick = points.select("cluster_id").distinct().withColumn("thickness", F.when(F.col("cluster_id") > 1, 0.1).otherwise(0.5))
     return structure.structural_residual(points, planes, thick, t=structure.STRUCTURE | {"residual_share": 0.05})
