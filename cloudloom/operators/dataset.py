@@ -23,7 +23,9 @@ def class_weights(rows: DataFrame, classes: DataFrame, label: str = "label", con
     return every.withColumn("inv_", inverse).withColumn("weight", F.coalesce(F.col("inv_") / F.avg("inv_").over(all_), F.lit(0.0))).select("code", "n", "weight")
 
 
-def confusion(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+def confusion(rows: DataFrame, truth: str = "truth", predicted: str = "predicted", confidence: str | None = None) -> DataFrame:
+    """(truth, predicted, n); with ``confidence`` only rows where that column is 1 or more."""
+    rows = rows if confidence is None else rows.where(F.col(confidence) >= 1)
     return rows.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -35,6 +37,11 @@ def intersection_over_union(matrix: DataFrame, truth: str = "truth", predicted:
     return met.select("code", "hit", "n_truth", "n_predicted", (F.col("hit") / (F.col("n_truth") + F.col("n_predicted") - F.col("hit"))).alias("iou"))
 
 
+def mean_iou(matrix: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """One row, ``mean_iou``: over the classes that occur in the truth; null without any."""
+    return intersection_over_union(matrix, truth, predicted).agg(F.avg("iou").alias("mean_iou"))
+
+
 def split_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == 2).alias("n_confirmed"))
 

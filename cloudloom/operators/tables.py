@@ -26,6 +26,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system: the session's default one where it names none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = str(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString())
+    return "file:///" + whole.removeprefix("file:").lstrip("/") if whole.startswith("file:") else whole
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -74,6 +74,9 @@ CONTEXT = {
 }
 SIMILAR = {"relative": 0.4, "absolute": 0.08, "height": 0.6, "near_ceiling": 1.5, "near_floor": 0.3, "pin_centre": 0.3, "pin_relative": 0.20, "pin_absolute": 0.05}
 
+# Classes that an environment cannot have.
+PRESETS = {"terziario": (), "data_center": ("sprinkler",), "centrale_termica": ("terminale_aria",), "industriale": (), "personalizzato": ()}
+
 
 @dataclass(frozen=True)
 class Config:

@@ -19,6 +19,7 @@ from ..functions.expr import longest_prefix
 from ..operators.tables import stored
 from ..plans.model import CODE, POINT_SCHEMA
 from . import formats
+from .documents import DECISIONS_SCHEMA, exists
 
 TEXT, BINARY, NEEDS_CODEC = ("xyz", "txt", "asc"), ("ply", "pcd", "las"), ("laz", "e57")
 BATCH = 1_000_000
@@ -45,15 +46,16 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """x y z [r g b | intensity]: six columns or more are colours (scaled if none exceeds 1), exactly four an intensity. Fewer than three are an error."""
+    """x y z [r g b | intensity]: six columns or more are colours (scaled in files where none exceeds 1), exactly four an intensity. Fewer than three are an error."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"))
     cut = lines.where(F.length(F.trim("value")) > 0).where(~F.col("value").startswith("#")).select("source", F.split(F.trim("value"), r"[\s,;]+").alias("v"))
     v = lambda k: F.get("v", F.lit(k)).try_cast("double")
     rows = cut.select(*(v(k).alias(c) for k, c in enumerate("xyz")), F.size("v").alias("n"), v(3).alias("c3"), v(4).alias("c4"), v(5).alias("c5"), "source")
-    about = rows.agg(F.min("n").alias("few"), F.max(F.when(F.col("n") >= 6, F.greatest("c3", "c4", "c5"))).alias("top")).first()
-    if about.few is not None and about.few < 3:
+    about = stored(rows.groupBy("source").agg(F.min("n").alias("few"), F.max(F.when(F.col("n") >= 6, F.greatest("c3", "c4", "c5"))).alias("top")), "files")
+    if not about.where("few < 3").isEmpty():
         raise ValueError("a line has fewer than three columns")
-    factor = 255.0 if about.top is not None and about.top <= 1.0 else 1.0
+    rows = rows.join(about, "source")  # a row a file
+    factor = F.when(F.col("top") <= 1.0, 255.0).otherwise(1.0)
     colour = lambda c: F.when(F.col("n") >= 6, F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.bround(F.col(c) * factor)))).cast("smallint")
     out = rows.select(
         F.monotonically_increasing_id().alias("pid"), "x", "y", "z", colour("c3").alias("r"), colour("c4").alias("g"), colour("c5").alias("b"),
@@ -97,18 +99,19 @@ def read_classified(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_points(spark: SparkSession, path: str) -> int:
-    """Points by the headers alone: at most 4 KB of each file is looked at."""
-
-    def run(parts):
-        for batch in parts:
-            n = 0
-            for name, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kind = extension(name)
-                n += formats.las_header(head)["n"] if kind == "las" else (formats.ply_layout(head) if kind == "ply" else formats.pcd_layout(head)).n
-            yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 4096).alias("head"))
-    return files.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    """Points by the headers alone: 4 KB of each file are read, through the file system of its path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = 0
+    for found in files.globStatus(at) or []:
+        name, stream = str(found.getPath()), files.open(found.getPath())
+        try:
+            head = bytes(stream.readNBytes(4096))
+        finally:
+            stream.close()
+        kind = extension(name)
+        n += formats.las_header(head)["n"] if kind == "las" else (formats.ply_layout(head) if kind == "ply" else formats.pcd_layout(head)).n
+    return n
 
 
 def union_scans(scans: list[DataFrame]) -> DataFrame:
@@ -170,11 +173,7 @@ def first_of_voxels(points: DataFrame, size: float, by: list[str]) -> DataFrame:
 
 def read_confirmations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(confirmations, rejections) of a decisions file; a missing file has neither."""
-    sign = "dimensioni array<double>, estensione_z double, dist_soffitto double, dist_pavimento double, verticalita double, centro array<double>"
-    schema = f"versione int, nuvola string, conferme array<struct<firma: struct<{_colons(sign)}>, classe: string, nome: string, origine: string, quando: string, classe_precedente: string>>, rifiuti array<struct<firma: struct<{_colons(sign)}>, classe_rifiutata: string, quando: string>>"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    doc = spark.read.schema(schema).json(path, multiLine=True) if there else spark.createDataFrame([], schema)
+    doc = spark.read.schema(DECISIONS_SCHEMA).json(path, multiLine=True) if exists(spark, path) else spark.createDataFrame([], DECISIONS_SCHEMA)
     flat = lambda c: doc.select(F.posexplode(c).alias("decision", "v")).select(
         F.col("decision").cast("long").alias("decision"), *(F.element_at("v.firma.dimensioni", k).alias(f"d{k}") for k in (1, 2, 3)),
         F.col("v.firma.estensione_z").alias("z_extent"), F.col("v.firma.dist_soffitto").alias("to_ceiling"), F.col("v.firma.dist_pavimento").alias("to_floor"),
@@ -185,10 +184,7 @@ def read_confirmations(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return yes, flat("rifiuti").drop("v")
 
 
-def _colons(ddl: str) -> str:
-    return ", ".join(": ".join(x.strip().split(" ", 1)) for x in ddl.split(", "))
-
-
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """The instances of a report, one row each."""
-    return spark.read.json(path, multiLine=True).select(F.explode("istanze").alias("i")).select("i.*")
+    """The instances of a report (a document, or the folder that ``write_report`` wrote), one row each."""
+    at = f"{path.rstrip('/')}/report"
+    return spark.read.json(at if exists(spark, at) else path, multiLine=True).select(F.explode("istanze").alias("i")).select("i.*")

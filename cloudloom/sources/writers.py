@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dataset import class_counts
+from ..operators.tables import qualified
 from ..plans.model import GROUPS, class_table
 from . import formats
 
@@ -22,6 +23,9 @@ REPORT_COLUMNS = (
 )
 
 
+FILE_ROWS = 4_000_000  # of one written file, about: what a task holds
+
+
 def with_class_colours(points: DataFrame) -> DataFrame:
     """``points`` with the colour of their class as r, g, b."""
     look = class_table(points.sparkSession).select(F.col("code").cast("smallint").alias("label"), "r", "g", "b")
@@ -29,27 +33,36 @@ def with_class_colours(points: DataFrame) -> DataFrame:
 
 
 def write_classified(points: DataFrame, folder: str, kind: str = "ply") -> DataFrame:
-    """One PLY or LAS file a partition in ``folder``; (path, n) of each. ``points`` has x, y, z and label."""
-    from pyarrow import fs
-
+    """One PLY or LAS file a block of at most ``FILE_ROWS`` rows of a partition in ``folder``; (path, n) of each. ``points`` has x, y, z and label."""
+    folder = qualified(points.sparkSession, folder)
     rows = with_class_colours(points).select("x", "y", "z", "r", "g", "b", "label")
 
     def run(parts):
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        task = TaskContext.get()
-        batches = list(parts)
-        if not sum(b.num_rows for b in batches):
-            return
-        cols = [pa.chunked_array([b.column(i) for b in batches]).to_numpy() for i in range(7)]
-        data = (formats.classified_ply if kind == "ply" else formats.las_file)(*cols)
-        files, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
-        files.create_dir(base, recursive=True)
-        name, mine = f"{base}/part-{task.partitionId():05d}.{kind}", f"{base}/.try-{task.taskAttemptId()}"
-        with files.open_output_stream(mine) as out:
-            out.write(data)
-        files.move(mine, name)
-        yield pa.record_batch([pa.array([posixpath.join(folder, posixpath.basename(name))]), pa.array([len(cols[0])], pa.int64())], names=["path", "n"])
+        task, held, n, block = TaskContext.get(), [], 0, 0
+        files, base = fs.FileSystem.from_uri(folder)
+
+        def flush():
+            nonlocal held, n, block
+            cols = [pa.chunked_array([b.column(i) for b in held]).to_numpy() for i in range(7)]
+            data = (formats.classified_ply if kind == "ply" else formats.las_file)(*cols)
+            files.create_dir(base, recursive=True)
+            name, mine = f"{base}/part-{task.partitionId():05d}-{block:04d}.{kind}", f"{base}/.try-{task.taskAttemptId()}-{block}"
+            with files.open_output_stream(mine) as out:
+                out.write(data)
+            files.move(mine, name)
+            held, n, block = [], 0, block + 1
+            return pa.record_batch([pa.array([posixpath.join(folder, posixpath.basename(name))]), pa.array([len(cols[0])], pa.int64())], names=["path", "n"])
+
+        for batch in parts:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= FILE_ROWS:
+                yield flush()
+        if n:
+            yield flush()
 
     listed = rows.mapInArrow(run, "path string, n long").toPandas()  # a row a file
     return points.sparkSession.createDataFrame([tuple(r) for r in listed.itertuples(index=False)], "path string, n long")
@@ -60,16 +73,24 @@ def with_group(points: DataFrame) -> DataFrame:
     return points.join(F.broadcast(look), "label")
 
 
-def write_grouped(points: DataFrame, folder: str) -> list[str]:
-    """Parquet by macro group, in one pass; the groups that have points. Empty groups leave no folder."""
+def write_grouped(points: DataFrame, folder: str, kind: str = "parquet") -> dict[str, str]:
+    """Points by macro group, the groups in order that have any: {group: folder}. Empty groups leave none.
+
+    Parquet goes in one pass; ``kind`` ply or las gives classified files in a folder each.
+    """
     grouped = with_group(points)
-    grouped.write.mode("overwrite").partitionBy("macro_group").parquet(folder)
-    got = {r[0] for r in points.sparkSession.read.parquet(folder).select("macro_group").distinct().collect()}  # three at most
-    return [g for g in GROUPS if g in got]
+    if kind == "parquet":
+        grouped.write.mode("overwrite").partitionBy("macro_group").parquet(folder)
+        got = {r[0] for r in points.sparkSession.read.parquet(folder).select("macro_group").distinct().collect()}  # three at most
+        return {g: f"{folder}/macro_group={g}" for g in GROUPS if g in got}
+    got = {r[0] for r in grouped.select("macro_group").distinct().collect()}
+    for g in got:
+        write_classified(grouped.where(F.col("macro_group") == g).drop("macro_group"), f"{folder}/{g}", kind)
+    return {g: f"{folder}/{g}" for g in GROUPS if g in got}
 
 
 def instance_rows(instances: DataFrame) -> DataFrame:
-    """The report's columns: three decimals, four for a radius; cylinder columns only for pipes and round ducts with a fit."""
+    """The report's columns: three decimals, four for a radius and an axis; cylinder columns only for pipes and round ducts with a fit; ``colore_rgb`` where instances have a colour."""
     look = class_table(instances.sparkSession).select(F.col("code").cast("smallint").alias("label"), F.col("name").alias("classe"))
     r3 = lambda c: F.bround(c, 3)
     fit = F.col("cylinder.valid") & F.col("label").isin(1, 3)
@@ -80,21 +101,32 @@ def instance_rows(instances: DataFrame) -> DataFrame:
         r3(F.col("top")).alias("quota_top"), r3(F.col("bottom")).alias("quota_bottom"), r3(F.col("robust_z")).alias("estensione_z"), r3(F.col("to_ceiling")).alias("dist_soffitto"),
         r3(F.col("to_floor")).alias("dist_pavimento"), r3(F.col("verticality")).alias("verticalita"), F.when(fit, F.bround("cylinder.radius", 4)).alias("raggio_stimato"),
         F.when(fit, F.bround(2 * F.col("cylinder.radius"), 4)).alias("diametro_stimato"), F.when(fit, r3(F.col("cylinder.length"))).alias("lunghezza_stimata"),
-        *(F.when(fit, r3(F.element_at("cylinder.axis", k))).alias(f"asse_{c}") for k, c in zip((1, 2, 3), "xyz", strict=True)),
+        *(F.when(fit, F.bround(F.element_at("cylinder.axis", k), 4)).alias(f"asse_{c}") for k, c in zip((1, 2, 3), "xyz", strict=True)),
+        *([F.col("colour").alias("colore_rgb")] if "colour" in instances.columns else []),
         (F.bround("uniformity", 3) if "uniformity" in instances.columns else F.lit(None).cast("double")).alias("uniformita_colore"),
     )
-    return out.select(*REPORT_COLUMNS)
+    return out.select(*REPORT_COLUMNS, *(["colore_rgb"] if "colour" in instances.columns else []))
+
 
+def write_report(points: DataFrame, instances: DataFrame, folder: str, planes: DataFrame | None = None, ceiling: float | None = None, floor: float | None = None) -> dict:
+    """The report as a JSON document (totals, counts of all classes, planes, instances), instances as CSV and Parquet, points of instances as Parquet. Returns the counts.
 
-def write_report(points: DataFrame, instances: DataFrame, folder: str, source: str = "") -> dict:
-    """Counts a class as JSON, instances as CSV and Parquet, points of instances as Parquet. Returns the counts."""
+    ``planes`` is a table of a row a plane, in the document as it is.
+    """
     rows = instance_rows(instances)
-    rows.write.mode("overwrite").csv(f"{folder}/instances_csv", header=True)
+    rows.drop("colore_rgb").write.mode("overwrite").csv(f"{folder}/instances_csv", header=True)
     rows.write.mode("overwrite").parquet(f"{folder}/instances")
+    rows = points.sparkSession.read.parquet(f"{folder}/instances")
     points.where(F.col("instance_id") > 0).select(*(F.col(c).cast("float").alias(c) for c in "xyz"), F.col("instance_id").cast("int").alias("id_istanza")).write.mode("overwrite").parquet(f"{folder}/instance_points")
-    counts = class_counts(points, class_table(points.sparkSession)).orderBy("code").collect()  # 17 rows
-    doc = {"nuvola": source, "punti_totali": sum(r.n for r in counts), "conteggi": {r.key: r.n for r in counts}}
-    points.sparkSession.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
+    spark = points.sparkSession
+    counts = class_counts(points, class_table(spark)).join(class_table(spark).select("code", "name"), "code").orderBy("code").collect()  # 17 rows
+    doc = {"punti_totali": sum(r.n for r in counts), "quota_soffitto": ceiling and round(ceiling, 3), "quota_pavimento": floor and round(floor, 3), "punti_per_classe": {r.name: r.n for r in counts}}
+    head = spark.createDataFrame([(json.dumps({k: v for k, v in doc.items() if v is not None}, ensure_ascii=False),)], "head string")
+    lists = rows.orderBy("id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("istanze"), F.count(F.lit(1)).alias("n"))
+    flat = planes.agg(F.to_json(F.collect_list(F.struct(*planes.columns))).alias("piani")) if planes is not None else spark.createDataFrame([("[]",)], "piani string")
+    whole = head.crossJoin(lists).crossJoin(flat)  # one row each
+    text = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(', "piani_strutturali": '), "piani", F.lit(', "n_istanze_mep": '), F.col("n").cast("string"), F.lit(', "istanze": '), "istanze", F.lit("}"))
+    whole.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/report")
     return doc
 
 

@@ -5,9 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.operators import voxel
+from cloudloom.operators import dataset, voxel
 from cloudloom.plans.model import POINT_SCHEMA
-from cloudloom.sources import formats, readers, writers
+from cloudloom.sources import documents, formats, readers, writers
 from cloudloom.streaming import accumulator
 
 COUNTS = {13: 50, 12: 30, 1: 40, 5: 20, 16: 15, 10: 10}
@@ -34,10 +34,10 @@ def test_classified_files_round_trip(spark, mixed, tmp_path, kind):
 
 
 def test_groups_are_routed(spark, mixed, tmp_path):
-    assert writers.write_grouped(mixed, f"file://{tmp_path}/g") == ["strutturale", "mep", "scarto"]
+    assert list(writers.write_grouped(mixed, f"file://{tmp_path}/g")) == ["strutturale", "mep", "scarto"]
     got = {r[0]: r[1] for r in spark.read.parquet(f"file://{tmp_path}/g").groupBy("macro_group").count().collect()}
     assert got == {"strutturale": 80, "mep": 60, "scarto": 25}
-    assert writers.write_grouped(mixed.where("label = 1"), f"file://{tmp_path}/one") == ["mep"]
+    assert list(writers.write_grouped(mixed.where("label = 1"), f"file://{tmp_path}/one")) == ["mep"]
 
 
 def test_text_and_errors(spark, tmp_path):
@@ -93,6 +93,92 @@ def test_decisions_file(spark, tmp_path):
     assert readers.read_confirmations(spark, f"file://{tmp_path}/none.json")[0].count() == 0
 
 
+def signs_of(spark):
+    rows = [(1, 3, 1.0, 0.5, 0.1, 0.1, 0.2, 2.0, 0.1, 1.0, 2.0, 3.0, 9), (2, 5, 2.0, 0.4, 0.2, 0.3, 0.1, 2.5, 0.9, 4.0, 5.0, 6.0, None)]
+    return spark.createDataFrame(rows, "instance_id long, label smallint, d1 double, d2 double, d3 double, z_extent double, to_ceiling double, to_floor double, verticality double, cx double, cy double, cz double, label_before smallint")
+
+
+def test_decisions_round_trip(spark, tmp_path):
+    s, path = signs_of(spark), f"file://{tmp_path}/decisions"
+    documents.write_decisions(documents.confirmations(s), documents.rejections(s.where("instance_id = 2")), path, "cloud a")
+    yes, no = readers.read_confirmations(spark, path)
+    assert sorted((r.label, r.d1, r.cz) for r in yes.collect()) == [(3, 1.0, 3.0), (5, 2.0, 6.0)] and no.first().verticality == 0.9
+    doc = spark.read.json(path).first()
+    assert doc.nuvola == "cloud a" and doc.conferme[0].classe_precedente == "mep_generico" and doc.rifiuti[0].classe_rifiutata == "luce" and len(doc.conferme[0].quando) == 19
+
+
+def test_models_are_replaced_by_name(spark, tmp_path):
+    s, path = signs_of(spark), f"file://{tmp_path}/models"
+    assert documents.read_models(spark, path).count() == 0
+    documents.save_models(spark, documents.extract_models(s, ["1:pump", "2: lamp :luce"], "a.las"), path)
+    documents.save_models(spark, documents.extract_models(s, ["2:pump:Tubazione"], "b.las"), path)
+    got = {r.name: (r.label, r.d1, r.origin.file, r.origin.istanza) for r in documents.read_models(spark, path).collect()}
+    assert got == {"lamp": (5, 2.0, "a.las", 2), "pump": (3, 2.0, "b.las", 2)}
+    for wrong in ("x:y", "1", "1:", "1:a:muro", "1:a:luce:b"):
+        with pytest.raises(ValueError):
+            documents.model_request(wrong)
+
+
+def test_report_reads_back(spark, tmp_path):
+    points = spark.createDataFrame([(0.0, 0.0, 0.0, 3, 7), (1.0, 0.0, 0.0, 9, 0)], "x double, y double, z double, label smallint, instance_id long")
+    vector = lambda *v: F.array(*map(F.lit, v))
+    instances = points.where("instance_id > 0").select("instance_id", "label").withColumns({
+        "n": F.lit(1), "centre": vector(1.23456, 0.0, 0.0), "dims": vector(1.0, 0.5, 0.1), "top": F.lit(1.0), "bottom": F.lit(0.0), "robust_z": F.lit(1.0), "to_ceiling": F.lit(0.5), "to_floor": F.lit(1.0),
+        "verticality": F.lit(0.0), "cylinder": F.struct(F.lit(True).alias("valid"), F.lit(0.05).alias("radius"), F.lit(1.0).alias("length"), vector(0.12346, 0.0, 1.0).alias("axis")), "colour": F.array(F.lit(1), F.lit(2), F.lit(3)), "uniformity": F.lit(0.9),
+    })
+    planes = spark.createDataFrame([(0, "horizontal")], "plane_id int, kind string")
+    doc = writers.write_report(points, instances, f"file://{tmp_path}/r", planes, 3.0, 0.0)
+    assert doc["punti_totali"] == 2 and len(doc["punti_per_classe"]) == 17 and doc["quota_soffitto"] == 3.0
+    got = readers.read_report(spark, f"file://{tmp_path}/r").first()
+    assert (got.id, got.centro_x, got.asse_x, got.raggio_stimato, list(got.colore_rgb)) == (7, 1.235, 0.1235, 0.05, [1, 2, 3])
+    whole = spark.read.json(f"file://{tmp_path}/r/report").first()
+    assert whole.piani_strutturali[0].kind == "horizontal" and whole.n_istanze_mep == 1
+    writers.write_report(points, instances.limit(0), f"file://{tmp_path}/none")
+    assert spark.read.json(f"file://{tmp_path}/none/report").first().n_istanze_mep == 0
+
+
+def test_groups_as_las_files(spark, tmp_path):
+    points = spark.createDataFrame([(float(i), 0.0, 0.0, (1, 9, 16)[i % 3]) for i in range(30)], "x double, y double, z double, label smallint")
+    got = writers.write_grouped(points, f"file://{tmp_path}/g", "las")
+    assert sum(readers.count_points(spark, f"{folder}/*.las") for folder in got.values()) == 30
+    back = readers.read_classified(spark, f"{got['mep']}/*.las")
+    assert {r.label for r in back.select("label").distinct().collect()} == {1, 9}
+
+
+def test_each_file_has_its_own_colour_scale(spark, tmp_path):
+    (tmp_path / "a.xyz").write_text("0 0 0 1 0.5 0\n")
+    (tmp_path / "b.xyz").write_text("1 0 0 255 128 0\n")
+    got = sorted((r.x, r.r, r.g) for r in readers.read_text(spark, f"file://{tmp_path}/*.xyz").collect())
+    assert got == [(0.0, 255, 128), (1.0, 255, 128)]
+
+
+def test_dataset_status_and_meta(spark, tmp_path):
+    folder = f"file://{tmp_path}/set"
+    assert documents.dataset_status(spark, folder).count() == 0
+    rows = spark.createDataFrame([(0.0, 0.0, 0.0, 3, 2, "train", "a"), (1.0, 0.0, 0.0, 3, 1, "val", "a")], "x double, y double, z double, label int, confidence int, split string, cloud string")
+    writers.write_training(rows, folder)
+    assert [tuple(r) for r in documents.dataset_status(spark, folder).collect()] == [("a", "train", 1, 1), ("a", "val", 1, 0)]
+    for _ in range(2):
+        entry = documents.write_dataset_meta(spark, folder, "a", "a.ply", 4)
+    assert entry["punti"] == 2 and entry["punti_confermati"] == 1 and spark.read.text(f"{folder}/_meta").count() == 1
+    assert documents.dataset_status(spark, folder).count() == 2
+
+
+def test_command_line_rejects_what_it_cannot_do(capsys):
+    from cloudloom.__main__ import main, parser
+
+    for wrong in (["a.ply", "o", "--save-model", "1:x"], ["a.ply", "o", "--models", "m", "--save-model", "x"], ["a.ply", "o", "--preset", "moon"], ["a.ply", "o", "--exclude", "muro"], ["a.ply"]):
+        with pytest.raises(SystemExit):
+            main(wrong)
+    capsys.readouterr()
+    assert parser().parse_args(["a.ply", "o", "--preset", "data_center"]).preset == "data_center"
+
+
+def test_mean_iou_over_confident_rows(spark):
+    rows = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (2, 2, 1), (3, 1, 0)], "truth int, predicted int, confidence int")
+    assert dataset.mean_iou(dataset.confusion(rows, confidence="confidence")).first()[0] == pytest.approx(0.5)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     draw = np.random.default_rng(1)
     rows = spark.createDataFrame(pd.DataFrame({"pid": range(300), **{c: draw.random(300) for c in "xyz"}}))
