@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by cosine, over robust-pruned directed graphs.
 
-Equal vectors are one node. Nodes are dealt to shards by a hash, so that a shard has
-about ``shard_rows`` of them whatever their number; each shard's graph is built by one
-task and written to the shared folder. Building inserts nodes in batches: a greedy
+Equal vectors are one node. Nodes are dealt to shards by a hash; a shard is as large as
+one task's memory for it (``SHARD_BYTES`` of vectors and edges), so there are as few as
+may be, and each shard's graph is built by one task and written to the shared folder. Building inserts nodes in batches: a greedy
 search from the shard's middle node proposes neighbours, and pruning keeps the nearest
 one and drops what lies closer to it (by the factor ``alpha``, above 1 so that some
 longer edges stay) than to the node, again and again. Reverse edges are pruned likewise.
-Queries search every shard by beam search, in blocks, and the best of all shards stay.
+Queries search every shard by beam search, and the best of all shards stay. They come in
+blocks as large as a shard, and each block meets each shard once: what moves is the
+product of both tables over the memory of a task, the least that all-shards search can.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHARD_ROWS, QUERY_BLOCK = 4096, 2048
+SHARD_BYTES = 12 << 20  # of a shard's vectors and edges; a task holds a few times this
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, INSERTED = 32, 64, 96, 1.2, 256
 
 
@@ -135,19 +137,29 @@ def clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite).where(F.exists("v", lambda x: x != 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1, so that squares neither overflow nor vanish; exact."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def rows_of_shard(dim: int, shard_bytes: int = SHARD_BYTES) -> int:
+    return max(1024, shard_bytes // (8 * dim + 4 * (DEGREE + DEGREE // 2) + 64))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int | None = None, beam: int = SEARCH_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries``, but not its own vec_id.
 
     Score is the cosine of the original vectors in double precision, ties go to the
     smaller vec_id. Vectors that are null, empty, zero or hold a null or a component that
     is not finite take no part, nor do null ids; vectors of other lengths are never
-    compared; a vec_id that repeats is a candidate once for each different vector and a
-    query once for each. Fewer candidates than ``k`` give all of them.
+    compared; a vec_id that repeats is a candidate once for each different vector, and a
+    query once for each, with ranks of its own. Fewer candidates than ``k`` give all of
+    them. ``shard_rows`` sets the size of a shard; by default it follows from its memory.
     """
     spark = vectors.sparkSession
     rows = clean(vectors, vec_id, embedding).distinct()
@@ -156,7 +168,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
     members = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
     nodes = members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = stored(nodes.withColumns({"node": F.element_at("ids", 1), "dim": F.size("v")}), "nodes")
-    shards = {r.dim: -(-r["count"] // shard_rows) for r in nodes.groupBy("dim").count().collect()}  # a row a vector length
+    size = lambda dim: shard_rows or rows_of_shard(dim)
+    shards = {r.dim: -(-r["count"] // size(r.dim)) for r in nodes.groupBy("dim").count().collect()}  # a row a vector length
     of_dim = F.lit(1)
     for dim, s in shards.items():
         of_dim = F.when(F.col("dim") == dim, s).otherwise(of_dim)
@@ -171,21 +184,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
     graph = stored(graph, "graph")
     asked = clean(queries, vec_id, embedding).distinct().select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("dim"))
     asked = stored(asked, "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    blocks = max([1] + [-(-r["count"] // max(1024, size(r.dim))) for r in asked.groupBy("dim").count().collect()])  # a row a vector length
+    asked = asked.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "turn": F.xxhash64("q")})
     shard_list = spark.createDataFrame([(d, s) for d, n in shards.items() for s in range(n)], "dim int, shard int")
     placed_q = asked.join(shard_list, "dim")  # each query goes to every shard: the method's own fan-out
     placed_g = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<int>")))
 
     def ask(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
+        columns = ["query_id", "turn", "vec_id", "score"]
         if not len(g) or not len(q):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
         g = g.sort_values("row", ignore_index=True)
         v, w = np.stack(g["v"].to_numpy()), np.stack(q["q"].to_numpy())
         points, asked_at, edges = _unit(v), _unit(w), np.stack(g["edges"].to_numpy()).astype(np.int64)
         ids, least, out = g["ids"].to_numpy(), g["node"].to_numpy(), []
-        norms, asked_ids = np.sqrt((v * v).sum(axis=1)), q["query_id"].to_numpy()
+        v, w = scaled(v), scaled(w)
+        norms, asked_ids, turns = np.sqrt((v * v).sum(axis=1)), q["query_id"].to_numpy(), q["turn"].to_numpy()
         for at in range(0, len(w), 256):
             found, _ = beam_search(points, edges, int(g["start"][0]), asked_at[at : at + 256], min(beam, len(g)))
             for i, near in enumerate(found, at):
@@ -193,9 +207,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
                 own = np.sqrt((w[i] * w[i]).sum())
                 score = (v[near] * w[i]).sum(axis=1) / (norms[near] * own)
                 best = np.lexsort((least[near], -score))[: k + 2]
-                out += [(asked_ids[i], x, s) for j, s in zip(near[best].tolist(), score[best].tolist(), strict=True) for x in ids[j].tolist() if x != asked_ids[i]]
-        return pd.DataFrame(out, columns=columns).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                out += [(asked_ids[i], turns[i], x, s) for j, s in zip(near[best].tolist(), score[best].tolist(), strict=True) for x in ids[j].tolist() if x != asked_ids[i]]
+        return pd.DataFrame(out, columns=columns).astype({c: "float64" if c == "score" else "int64" for c in columns})
 
-    found = placed_g.groupBy("dim", "shard", "block").cogroup(placed_q.groupBy("dim", "shard", "block")).applyInPandas(ask, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = placed_g.groupBy("dim", "shard", "block").cogroup(placed_q.groupBy("dim", "shard", "block")).applyInPandas(ask, "query_id long, turn long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -195,6 +195,28 @@ def test_neighbours_against_brute_force(spark):
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_recall_over_many_shards_and_extreme_vectors(spark):
+    """Twelve shards, vectors whose squares overflow or vanish, and a query id with two vectors."""
+    draw = np.random.default_rng(15)
+    v = draw.normal(size=(2400, 12))
+    v[::7] *= 1e200
+    v[3::7] *= 1e-200
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[1].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id % 100 = 0"), shard_rows=200).toPandas()
+    assert np.isfinite(got.score).all() and (got.groupby("query_id").size() == 5).drop(0).all() and (got.query_id == 0).sum() == 10
+    unit = v / np.abs(v).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = 0
+    for q in range(100, 2400, 100):
+        s = unit @ unit[q]
+        s[q] = -9
+        mine = got[got.query_id == q].sort_values("rank")
+        hit += len(set(np.argsort(-s, kind="stable")[:5]) & set(mine.vec_id))
+        assert np.allclose(mine.score, s[mine.vec_id], atol=1e-12)
+    assert hit / (23 * 5) >= 0.95
+
+
 def test_language_model(spark):
     from pyspark.sql import functions as F
 
