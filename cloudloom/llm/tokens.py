@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import qualified
 from .common import scratch_path
 
 CACHE = 300_000  # pieces, and pre-tokens, that a worker remembers
@@ -184,7 +185,7 @@ class _buffer:
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+    return fs.FileSystem.from_uri(path)
 
 
 def _local(path: str) -> str:
@@ -237,6 +238,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text"
     first; rows that share an id keep their order by text. An empty table writes no file. A task that
     runs again replaces its own files.
     """
+    folder = qualified(docs.sparkSession, folder)  # the session's file system, whatever a machine's own is
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
