@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHARD_BYTES = 12 << 20  # of a shard's vectors and edges; a task holds a few times this
+SHARD_BYTES = 6 << 20  # of a shard's vectors and edges; raise it where queries are many: building takes longer, searching less
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, INSERTED = 32, 64, 96, 1.2, 256
 
 
