@@ -175,11 +175,19 @@ def structural_residual(points: DataFrame, planes: DataFrame, thickness: DataFra
     """(by, code): thin clusters most of whose points lie within reach of one plane and in its widened box; the first plane decides. ``planes`` has ord, code, a, b, c, d, margin and an xyz box."""
     thin = points.join(thickness.where(F.col("thickness") <= t["residual_thickness"]).select(by), by, "left_semi").select(by, "x", "y", "z")
     sizes = thin.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
-    held = in_boxes(thin, _widened(planes, F.col("margin")), [by]).groupBy(by, *(f"w_{c}" for c in ("ord", "code", "a", "b", "c", "d"))).agg(F.count(F.lit(1)).alias("in_"))
-    likely = held.join(sizes, by).where(F.col("in_") >= t["residual_share"] * F.col("n_")).drop("in_")
     close = F.abs(F.col("w_a") * F.col("x") + F.col("w_b") * F.col("y") + F.col("w_c") * F.col("z") + F.col("w_d")) <= t["residual_distance"]
-    share = thin.join(likely, by).groupBy(by, "w_ord", "w_code").agg(F.avg(close.cast("double")).alias("on_"))
-    return share.where(F.col("on_") >= t["residual_share"]).groupBy(by).agg(F.min_by("w_code", "w_ord").alias("code"))
+    held = in_boxes(thin, _widened(planes, F.col("margin")), [by]).where(close).groupBy(by, "w_ord", "w_code").agg(F.count(F.lit(1)).alias("on_"))
+    good = held.join(sizes, by).where(F.col("on_") >= t["residual_share"] * F.col("n_"))
+    return good.groupBy(by).agg(F.min_by("w_code", "w_ord").alias("code"))
+
+
+def residual_planes(accepted: DataFrame) -> DataFrame:
+    """The planes of :func:`extract_structure` that take up residues: walls with a wide margin, floors with a narrow one; ceilings do not, since what was freed from them lies in them."""
+    wall, floor = F.col("kind") == "wall", F.col("sort") == "floor"
+    return accepted.where(wall | floor).select(
+        F.struct((-F.col("n")).alias("n"), "plane_id", "part").alias("ord"), F.when(wall, CODE["PARETE"]).otherwise(CODE["PAVIMENTO"]).cast("smallint").alias("code"),
+        "a", "b", "c", "d", F.when(wall, 2.0).otherwise(0.3).alias("margin"), "x0", "x1", "y0", "y1", "z0", "z1",
+    )
 
 
 def floor_map(points: DataFrame, cell: float = 0.5, gap: float = 0.5, least: int = 30) -> DataFrame:
@@ -275,8 +283,10 @@ def extract_structure(points: DataFrame, t: dict = STRUCTURE, seed: int = 0) ->
     flats = ok.where("kind = 'horizontal'").select((F.col("plane_id") * F.lit(1 << 32) + F.pmod(F.xxhash64("part"), F.lit(1 << 31))).alias("plane_id"), "z", "x0", "x1", "y0", "y1", F.col("plane_id").alias("of"), "part")
     kinds = horizontal_kind(points, flats.drop("of", "part"), middle=(span.a + span.b) / 2)
     typed = stored(flats.join(kinds, "plane_id").select(F.col("of").alias("plane_id"), "part", F.col("kind").alias("sort"), "z"), "typed")
+    of_plane = points.sparkSession.createDataFrame([(p["plane_id"], *map(float, p["plane"])) for p in planes], "plane_id int, a double, b double, c double, d double")
+    ok = stored(ok.join(F.broadcast(of_plane), "plane_id").join(typed.select("plane_id", "part", "sort"), ["plane_id", "part"], "left"), "planes")
     code = F.when(F.col("kind") == "wall", CODE["PARETE"]).when(F.col("sort") == "floor", CODE["PAVIMENTO"]).otherwise(CODE["SOFFITTO"])
-    found = parts.join(ok.select("plane_id", "part", "kind"), ["plane_id", "part"]).join(typed.drop("z"), ["plane_id", "part"], "left").select("pid", code.alias("new_"))
+    found = parts.join(ok.select("plane_id", "part", "kind", "sort"), ["plane_id", "part"]).select("pid", code.alias("new_"))
     found = stored(found.groupBy("pid").agg(F.min("new_").alias("new_")), "found")
     ends = typed.agg(F.max(F.when(F.col("sort") == "ceiling", F.col("z"))).alias("c"), F.min(F.when(F.col("sort") == "floor", F.col("z"))).alias("f")).first()
     floor, ceiling = float(ends.f if ends.f is not None else span.a), float(ends.c if ends.c is not None else span.b)

@@ -117,11 +117,22 @@ def segment(points: DataFrame, config: Config | None = None, models: DataFrame |
     thin = (F.col("label") == GENERIC) & F.col("solid_").isNull()
     cloud = stored(cloud.join(solid, "pid", "left").withColumn("label", F.when(thin, CODE["WASTE"]).otherwise(F.col("label")).cast("smallint")).drop("solid_"), "evidence")
     pool = cloud.where(F.col("label") == GENERIC)
+    if planes is not None:  # what stands in an accepted wall's plane is wall
+        rest = structure.wall_completion(pool, planes.where("kind = 'wall'"), t).withColumn("wall_", F.lit(True))
+        cloud = cloud.join(rest, "pid", "left").withColumn("label", F.when(F.col("wall_"), CODE["PARETE"]).otherwise(F.col("label")).cast("smallint")).drop("wall_")
+        cloud = stored(cloud, "walls")
+        pool = cloud.where(F.col("label") == GENERIC)
     grown = cluster.grow(pool.drop("label"), size, config.cluster)
     held = stored(pool.drop("label").join(grown.where("cluster_id is not null"), "pid"), "grown")
     parts = split_clusters(held, ceiling, [r.low for r in levels] or [floor], config)
     held = stored(held.drop("cluster_id").join(parts.where("cluster_id is not null"), "pid"), "held")
     feats = stored(local_heights(features.build_features(held, size), planes, floor, ceiling), "features")
+    if planes is not None:  # thin clusters in an accepted plane are the rest of it
+        thin = feats.select("cluster_id", F.element_at("dims", 3).alias("thickness"))
+        rest = stored(structure.structural_residual(held, structure.residual_planes(planes), thin, t=t), "residues")
+        of = held.select("pid", "cluster_id").join(rest, "cluster_id").select("pid", "code")
+        cloud = stored(cloud.join(of, "pid", "left").withColumn("label", F.coalesce("code", "label").cast("smallint")).drop("code"), "residual")
+        held, feats = (stored(df.join(rest.select("cluster_id"), "cluster_id", "left_anti"), "kept") for df in (held, feats))
     found = stored(rules.classify(feats, config.rules, config.excluded, config.cluster["instance"]), "classified")
     off = stored(detach_appendices(held, found, config, size), "appendices")
     if not off.isEmpty():

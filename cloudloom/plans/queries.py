@@ -1028,8 +1028,8 @@ def wall_completion(spark, sf):
     return structure.wall_completion(points, walls, structure.STRUCTURE | {"wall_align": 0.2}, 0.1)
 
 
-@query(f"""with {CLOUD_SQL}, {_WALLS_SQL}, s as (select label, plane_id, avg((x between x0 - 0.3 and x1 + 0.3 and y between y0 - 0.3 and y1 + 0.3 and z between z0 - 0.3 and z1 + 0.3)::int) as inside, avg((abs(a * x + b * y + c * z + d) <= 0.05)::int) as close
- from cloud, wall where label > 1 group by all) select label as cluster_id, arg_min((plane_id % 3)::int, plane_id) as code from s where inside >= 0.05 and close >= 0.05 group by label""")
+@query(f"""with {CLOUD_SQL}, {_WALLS_SQL}, s as (select label, plane_id, avg((x between x0 - 0.3 and x1 + 0.3 and y between y0 - 0.3 and y1 + 0.3 and z between z0 - 0.3 and z1 + 0.3 and abs(a * x + b * y + c * z + d) <= 0.05)::int) as share
+ from cloud, wall where label > 1 group by all) select label as cluster_id, arg_min((plane_id % 3)::int, plane_id) as code from s where share >= 0.05 group by label""")
 def structural_residual(spark, sf):
     """Clusters that are the rest of a plane."""
     from ..operators import structure
