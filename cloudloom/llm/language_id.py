@@ -57,57 +57,62 @@ class Model:
     seen: dict[str, int] = field(default_factory=dict)
     held: np.ndarray | None = None
 
-    def _known(self, order: int, texts: list[str]) -> np.ndarray:
+    def _find(self, order: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``logs[order]``, whether known) of each text."""
         own = self.hashes[order]
-        h = np.array([_hash(t) for t in texts], np.uint64)
+        h = np.fromiter(map(_hash, texts), np.uint64, len(texts))
         at = np.minimum(np.searchsorted(own, h), max(0, len(own) - 1))
-        return self.logs[order][at[own[at] == h]] if len(own) else self.logs[order][:0]
+        return at, own[at] == h if len(own) else np.zeros(len(h), bool)
 
-    def evidence(self, word: str) -> np.ndarray | None:
-        """The logs of each language for ``word``; none if none of its parts is known."""
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """(words, languages + 1): the logs of each language and 1, or zeros for a word of which nothing is known."""
+        out, open_ = np.zeros((len(words), len(self.langs) + 1), np.float32), np.arange(len(words))
         for n in (0, *ORDERS):
-            known = self._known(n, _grams(word, n) if n else [word])
-            if len(known):
-                return known.mean(axis=0)
-        return None
-
-    def row(self, word: str) -> int:
-        """The place of a word's logs in ``held``, -1 without evidence; words beyond what is remembered take turns in the last place."""
+            parts = [_grams(words[i], n) if n else [words[i]] for i in open_.tolist()]
+            owner = np.repeat(np.arange(len(open_)), [len(p) for p in parts])
+            at, known = self._find(n, [g for p in parts for g in p])
+            times = np.bincount(owner[known], minlength=len(open_))
+            got = np.flatnonzero(times)
+            for k in range(len(self.langs)):
+                sums = np.bincount(owner[known], self.logs[n][at[known], k], minlength=len(open_))
+                out[open_[got], k] = sums[got] / times[got]
+            out[open_[got], -1] = 1
+            open_ = open_[times == 0]
+            if not len(open_):
+                break
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text and its share (0 to 1) of the languages' likelihoods a word; ``und`` without letters. The words of all texts are looked up together."""
+        counts = [Counter(_WORD.findall((t or "").lower())) for t in texts]
+        words = list(dict.fromkeys(w for c in counts for w in c))
         if self.held is None:
-            self.held = np.zeros((REMEMBERED + 1, len(self.langs)), np.float32)
-        got = self.evidence(word)
-        at = -1 if got is None else len(self.seen)
-        if at >= 0:
-            self.held[at] = got
-        if len(self.seen) < REMEMBERED:
-            self.seen[word] = at
-        return at
+            self.held = np.zeros((REMEMBERED, len(self.langs) + 1), np.float32)
+        rows = np.zeros((len(words), len(self.langs) + 1), np.float32)
+        at = np.array([self.seen.get(w, -1) for w in words], np.int64)
+        rows[at >= 0] = self.held[at[at >= 0]]
+        new = np.flatnonzero(at < 0)
+        rows[new] = self.evidence([words[i] for i in new.tolist()])
+        keep = new[: REMEMBERED - len(self.seen)]
+        first = len(self.seen)
+        self.held[first : first + len(keep)] = rows[keep]
+        self.seen.update({words[i]: first + k for k, i in enumerate(keep.tolist())})
+        code, out = {w: i for i, w in enumerate(words)}, []
+        for c in counts:
+            if not c or not self.langs:
+                out.append((UNKNOWN, 0.0))
+                continue
+            sums = np.fromiter(c.values(), float, len(c)) @ rows[[code[w] for w in c]].astype(float)
+            total, n = sums[:-1], sums[-1]
+            if not n:
+                out.append((self.langs[self.common], 1.0 / len(self.langs)))
+                continue
+            share, best = np.exp((total - total.max()) / n), int(total.argmax())
+            out.append((self.langs[best], float(share[best] / share.sum())))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share (0 to 1) of the languages' likelihoods a word; ``und`` without letters."""
-        counts = Counter(_WORD.findall((text or "").lower()))
-        if not counts or not self.langs:
-            return UNKNOWN, 0.0
-        rows, times, total, n = [], [], np.zeros(len(self.langs)), 0
-        for word, c in counts.items():
-            at = self.seen.get(word)
-            if at is None:
-                at = self.row(word)
-                if at == REMEMBERED:
-                    total += c * self.held[at]
-                    n += c
-                    continue
-            if at >= 0:
-                rows.append(at)
-                times.append(c)
-        if rows:
-            total = total + np.asarray(times, float) @ self.held[rows]
-            n += sum(times)
-        if not n:
-            return self.langs[self.common], 1.0 / len(self.langs)
-        share = np.exp((total - total.max()) / n)
-        best = int(total.argmax())
-        return self.langs[best], float(share[best] / share.sum())
+        return self.predict_all([text])[0]
 
 
 def sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -192,7 +197,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_name: str =
         release()
         known = held.value
         for batch in batches(parts, text):
-            got = [known.predict(t) for t in batch.column(at).to_pylist()]
+            got = known.predict_all(batch.column(at).to_pylist())
             yield pa.record_batch([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*batch.schema.names, lang_name, score_name])
 
     schema = docs.select("*", F.lit("").alias(lang_name), F.lit(0.0).alias(score_name)).schema
