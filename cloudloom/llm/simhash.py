@@ -187,8 +187,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
 # that many documents have last, by their counts, which keeps buckets small; any order
 # gives the same pairs. What meets is compared by the shingles themselves.
 
-COMMON, OFTEN = 50_000, 3  # so many shingles stand last at most; counted where a block of texts has one so often
-BLOCK = 1 << 22  # shingles counted at once
+COMMON, OFTEN = 200_000, 2  # so many shingles stand last at most; counted where a block of texts has one so often
+BLOCK, BLOCK_ROWS = 6_000_000, 16_000  # shingles counted at once, and about so many texts
 KNOWN_WORDS = 200_000  # words whose hash a worker remembers
 
 
@@ -238,7 +238,8 @@ def common_shingles(rows: DataFrame, words: int = 5) -> tuple[np.ndarray, np.nda
                     held, n = [], 0
         yield out()
 
-    counted = rows.mapInArrow(count, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
+    blocks = -(-rows.count() // BLOCK_ROWS)  # many small partitions would each see too little of what is common
+    counted = rows.coalesce(max(1, blocks)).mapInArrow(count, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
     top = counted.orderBy(F.desc("c"), "shingle").limit(COMMON).toArrow()
     shingle, c = top["shingle"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
     order = np.argsort(shingle)
@@ -328,12 +329,8 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     meet = side("a").withColumn("at_band", F.explode(F.array(*(F.col("band_a") + k for k in (-1, 0, 1))))).join(side("b").withColumn("at_band", F.col("band_b")), ["key", "at_band"]).where("part_a < part_b").drop("at_band")
     member = lambda p: split.select("key", F.col("part").alias(f"part_{p}"), F.col("band").alias(f"band_{p}"), *of(p))
     joint = meet.join(member("a"), ["key", "part_a", "band_a"]).join(member("b"), ["key", "part_b", "band_b"])
-    joint = joint.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6))
-    # all common keys of a pair are here; of the document whose keys end first, only what follows its keys can be common too
-    counted = joint.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.min("ata").alias("ata"), F.min("atb").alias("atb"))
-    after = F.ceil(F.greatest("na", "nb") * F.lit(similarity) - 1e-9) - 1
-    most = F.col("c") + after >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
-    every = counted.where(fit & most).select(*ordered).distinct()
+    # at a pair's first common key, what follows it must suffice on both sides: most keys that merely happen to be common come too late
+    every = joint.where((F.col("a") != F.col("b")) & fit).select(*ordered).distinct()
     every = stored(every.join(first.unionByName(rest), ["a", "b"], "left_anti"), "every")
     free(low, rest, parts)
     gc.collect()  # Spark removes the shuffle files of the steps before when the driver's garbage goes
