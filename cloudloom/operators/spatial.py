@@ -140,7 +140,7 @@ def crop(points: DataFrame, box: tuple[float, ...], margin: float = 0.0) -> Data
     return points.where(keep)
 
 
-def boxes_overlap(left: DataFrame, right: DataFrame, cell: float, margin: float = 0.0, rows_at_most: int = 100_000) -> DataFrame:
+def boxes_overlap(left: DataFrame, right: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
     """Pairs (a_*, b_*) whose xy boxes (x0, y0, x1, y1) meet once ``right``'s are widened by ``margin``.
 
     Boxes are dealt to the cells they cover, so the join is on cells; a pair is taken in

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,39 @@ def _candidates(sample: np.ndarray, draw, n: int) -> np.ndarray:
     return np.column_stack([normal, -(normal * pick[good, 0]).sum(axis=1)])
 
 
-def best_plane(points: DataFrame, distance: float, sample_rows: int = 20_000, tries: int = 400, finals: int = 12, seed: int = 0, n: int | None = None) -> tuple[tuple[float, ...], int] | None:
+def _over_all(points: DataFrame, planes: np.ndarray, distance: float, width: int, sums) -> np.ndarray:
+    """(planes, width): for each of ``planes`` the sums that ``sums(points, offsets near it)`` gives, over all points, in one pass."""
+
+    def run(parts):
+        out = np.zeros((len(planes), width))
+        for batch in parts:
+            xyz = np.column_stack([c.to_numpy() for c in batch.columns])
+            for at in range(0, len(xyz), 2000):
+                some = xyz[at : at + 2000]
+                out += sums(some, np.abs(some @ planes[:, :3].T + planes[:, 3]) <= distance)
+        yield pa.record_batch([pa.array(np.arange(len(planes))), *(pa.array(c) for c in out.T)], names=["k", *(f"s{i}" for i in range(width))])
+
+    kinds = ", ".join(f"s{i} double" for i in range(width))
+    added = points.select("x", "y", "z").mapInArrow(run, f"k long, {kinds}").groupBy("k").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(width)))
+    got = added.toPandas().sort_values("k")  # a row a plane
+    return got[[f"s{i}" for i in range(width)]].to_numpy()
+
+
+def _counts(xyz: np.ndarray, near_: np.ndarray) -> np.ndarray:
+    return near_.sum(axis=0)[:, None].astype(float)
+
+
+def _moments(xyz: np.ndarray, near_: np.ndarray) -> np.ndarray:
+    x, y, z = xyz.T
+    return near_.T.astype(float) @ np.column_stack([np.ones(len(x)), x, y, z, x * x, x * y, x * z, y * y, y * z, z * z])
+
+
+def best_plane(points: DataFrame, distance: float, sample_rows: int = 20_000, tries: int = 1000, finals: int = 12, seed: int = 0, n: int | None = None) -> tuple[tuple[float, ...], int] | None:
     """(plane, inliers): the plane with the most points within ``distance``.
 
-    Candidates come from a bounded sample (``sample_rows`` by a hash of pid) and are
-    ranked on it; the best few are counted over all points in one pass.
+    Candidates go through random triples, drawn from ``sample_rows`` rows that a hash of
+    pid takes out of all. Each candidate is counted over all points; the best few are laid
+    through the middle of all points that they hold, and counted over all points again.
     """
     n = points.count() if n is None else n
     if n < 3:
@@ -48,19 +77,30 @@ def best_plane(points: DataFrame, distance: float, sample_rows: int = 20_000, tr
     planes = _candidates(sample, np.random.default_rng(seed), tries)
     if not len(planes):
         return None
-    hits = np.array([(np.abs(sample @ p[:3] + p[3]) <= distance).sum() for p in planes])
+    whole = n <= sample_rows  # the sample is the table, and what follows needs no job
+    mid = sample.mean(axis=0)  # moments are taken about it
+
+    def over_all(p: np.ndarray, width: int, sums) -> np.ndarray:
+        about = lambda xyz, near_: sums(xyz - mid, near_)
+        if not whole:
+            return _over_all(points, p, distance, width, about)
+        out = np.zeros((len(p), width))
+        for at in range(0, len(sample), 2000):
+            part = sample[at : at + 2000]
+            out += about(part, np.abs(part @ p[:, :3].T + p[:, 3]) <= distance)
+        return out
+
+    hits = over_all(planes, 1, _counts)[:, 0]
     refined = []
-    for p in planes[np.argsort(-hits, kind="stable")[:finals]]:  # through the middle of what each holds
-        held = sample[np.abs(sample @ p[:3] + p[3]) <= distance]
-        if len(held) >= 3:
-            _, vectors = np.linalg.eigh(np.cov(held.T))
-            refined.append((*vectors[:, 0].tolist(), -float(vectors[:, 0] @ held.mean(axis=0))))
+    for m in over_all(planes[np.argsort(-hits, kind="stable")[:finals]], 10, _moments):
+        if m[0] >= 3:
+            centre = m[1:4] / m[0]
+            second = m[[4, 5, 6, 5, 7, 8, 6, 8, 9]].reshape(3, 3) / m[0] - np.outer(centre, centre)
+            normal = np.linalg.eigh(second)[1][:, 0]
+            refined.append((*normal.tolist(), -float(normal @ (centre + mid))))
     if not refined:
         return None
-    if n <= sample_rows:  # the sample is the table
-        counts = [int((np.abs(sample @ np.array(p[:3]) + p[3]) <= distance).sum()) for p in refined]
-    else:
-        counts = points.agg(*(F.count_if(F.abs(_offset(p)) <= distance).alias(f"c{i}") for i, p in enumerate(refined))).first()
+    counts = over_all(np.array(refined), 1, _counts)[:, 0].astype(int).tolist()
     best = max(range(len(refined)), key=lambda i: (counts[i], -i))
     plane = np.array(refined[best]) * (1 if max(refined[best][:3], key=abs) > 0 else -1)
     return tuple(plane.tolist()), int(counts[best])

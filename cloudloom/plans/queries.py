@@ -879,7 +879,7 @@ def voxel_keys(spark, sf):
 @query()
 def plane_peel(spark, sf):
     """Planes peeled off; rows only (random candidates)."""
-    planes, _ = __import__("cloudloom.operators.structure", fromlist=["x"]).peel_planes(lattice(spark, sf).withColumn("pid", F.monotonically_increasing_id()).select(F.xxhash64("x", "y", "z", "line").alias("pid"), "x", "y", "z"), 0.25, 3000, 4)
+    planes, _ = __import__("cloudloom.operators.structure", fromlist=["x"]).peel_planes(lattice(spark, sf).withColumn("pid", F.monotonically_increasing_id()).select(F.xxhash64("x", "y", "z", "line").alias("pid"), "x", "y", "z"), 0.25, 3000)
     return spark.createDataFrame([(p["plane_id"], list(p["plane"]), p["n"]) for p in planes] or [(None, None, None)], "plane_id int, plane array<double>, n long").where("plane_id is not null")
 
 
