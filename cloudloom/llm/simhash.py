@@ -324,11 +324,15 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     free(shared)
     several = split.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
     split = split.join(several, "key", "left_semi")
-    parts = stored(split.select("key", "part", "band").distinct(), "parts")
-    side = lambda p: parts.select("key", F.col("part").alias(f"part_{p}"), F.col("band").alias(f"band_{p}"))
-    meet = side("a").withColumn("at_band", F.explode(F.array(*(F.col("band_a") + k for k in (-1, 0, 1))))).join(side("b").withColumn("at_band", F.col("band_b")), ["key", "at_band"]).where("part_a < part_b").drop("at_band")
+    # what a pair needs in common grows with its sizes, so a part's least size and its most that follows the key bound what its members can reach
+    parts = stored(split.groupBy("key", "part", "band").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("at")).alias("room")), "parts")
+    need = lambda x, y: (F.col(x) + F.col(y)) * (similarity / (1 + similarity)) - 1e-6
+    side = lambda p: parts.select("key", *(F.col(c).alias(f"{c}_{p}") for c in ("part", "band", "least", "room")))
+    meet = side("a").withColumn("at_band", F.explode(F.array(*(F.col("band_a") + k for k in (-1, 0, 1))))).join(side("b").withColumn("at_band", F.col("band_b")), ["key", "at_band"])
+    meet = meet.where((F.col("part_a") < F.col("part_b")) & (F.least("room_a", "room_b") >= need("least_a", "least_b"))).drop("at_band", "least_a", "room_a")
     member = lambda p: split.select("key", F.col("part").alias(f"part_{p}"), F.col("band").alias(f"band_{p}"), *of(p))
-    joint = meet.join(member("a"), ["key", "part_a", "band_a"]).join(member("b"), ["key", "part_b", "band_b"])
+    reached = meet.join(member("a"), ["key", "part_a", "band_a"]).where(F.least(F.col("na") - F.col("ata"), F.col("room_b")) >= need("na", "least_b"))
+    joint = reached.join(member("b"), ["key", "part_b", "band_b"])
     # at a pair's first common key, what follows it must suffice on both sides: most keys that merely happen to be common come too late
     every = joint.where((F.col("a") != F.col("b")) & fit).select(*ordered).distinct()
     every = stored(every.join(first.unionByName(rest), ["a", "b"], "left_anti"), "every")
