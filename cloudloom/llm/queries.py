@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash, tokens
+from . import ann, clustering, exact_dedup, hard_negatives, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash, tokens, url_filter
 from .common import held_out, scratch_path, table
 
 
@@ -86,7 +86,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_secret_scan, op6_token_files, op7_exact_dedup, op8_mixing, op9_quality, op10_line_dedup)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# The rules of the URL filter.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, url_filter.learn(pages, URL_RULES)).drop("url")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_secret_scan, op6_token_files, op7_exact_dedup, op8_mixing, op9_quality, op10_line_dedup, op11_centroid_clustering, op12_url_filter, op13_hard_negatives)}
 
 _ASSIGN, _ACCESS, _HEX = (r.pattern.replace("'", "''") for r in secret_scan.RULES)
 
@@ -138,7 +156,43 @@ t as (select *, epochs + (upto <= rest)::bigint as times from c)
 select doc_id, unnest(range(times))::int as epoch, d as domain, lang, source, n::bigint as tokens from t where times > 0"""
 
 
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Each round joins all vectors with all centroids, a row a component."""
+    steps = [f"c0 as (select nth as cluster, pos, x from (select rid, row_number() over (order by sha256('1:' || vec_id), rid) - 1 as nth from r) join v using (rid) where nth < {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} as (select rid, cluster, sum((v.x - c.x) * (v.x - c.x))::bigint as distance from v join c{i} c using (pos) group by all),
+a{i} as (select rid, arg_min(cluster, (distance, cluster)) as cluster, min(distance) as distance from d{i} group by rid)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} as (select a.cluster, v.pos, (floor_div(sum(v.x)::bigint, count(*))) as x from a{i} a join v using (rid) group by all),
+c{i + 1} as (select c.cluster, c.pos, coalesce(m.x, c.x) as x from c{i} c left join m{i} m using (cluster, pos))""")
+    return f"""
+with r as (select row_number() over (order by vec_id) as rid, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+v as (select rid, unnest(range(1, 65)) as pos, floor(64 * unnest(embedding)::double)::bigint as x from r),
+{",".join(steps)},
+s as (select cluster, sha256(string_agg(x::bigint::varchar, ',' order by pos)) as centroid_sha256 from c{rounds} group by cluster)
+select r.vec_id, a.cluster::int as cluster, a.distance, sum(a.distance) over (partition by a.cluster)::bigint as cluster_inertia,
+       sum(a.distance) over ()::bigint as inertia, s.centroid_sha256
+from a{rounds} a join r using (rid) join s using (cluster)""".replace("floor_div(sum(v.x)::bigint, count(*))", "(sum(v.x)::bigint - (((sum(v.x)::bigint % count(*)) + count(*)) % count(*))) // count(*)")
+
+
+_HARD_NEGATIVES_SQL = """
+with e as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+a as (select * from e where vec_id % 50 = 0),
+s as (select a.vec_id as anchor_id, e.vec_id, a.label = e.label as same, list_inner_product(a.v, e.v)::bigint as score
+  from a join e on len(a.v) = len(e.v) and (a.vec_id <> e.vec_id or a.label <> e.label)),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
+
 SQL = {
+    "op11_centroid_clustering": _clustering_sql(),
+    "op13_hard_negatives": _HARD_NEGATIVES_SQL,
     "op5_secret_scan": f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 spans as ({" union all ".join((_sql_spans("assign", 0, _ASSIGN, 2, 12), _sql_spans("access", 1, _ACCESS, 0, 18), _sql_spans("hex", 2, _HEX, 0, 16)))}),
