@@ -1,26 +1,26 @@
 """Approximate nearest neighbours by cosine, over robust-pruned directed graphs.
 
 Equal vectors are one node. Nodes are dealt to shards by a hash; a shard is as large as
-one task's memory for it (``SHARD_BYTES`` of vectors and edges), so there are as few as
-may be, and each shard's graph is built by one task and written to the shared folder. Building inserts nodes in batches: a greedy
+a task's memory allows (:mod:`shards`), so there are as few as may be, and each shard's
+graph is built by one task and written to the shared folder. Building inserts nodes in batches: a greedy
 search from the shard's middle node proposes neighbours, and pruning keeps the nearest
 one and drops what lies closer to it (by the factor ``alpha``, above 1 so that some
 longer edges stay) than to the node, again and again. Reverse edges are pruned likewise.
-Queries search every shard by beam search, and the best of all shards stay. They come in
-blocks as large as a shard, and each block meets each shard once: what moves is the
-product of both tables over the memory of a task, the least that all-shards search can.
+Queries search every shard by beam search, and the best of all shards stay. A shard moves
+once and the queries stream past it in batches; what moves is the queries times shards.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .shards import lists, meet, shards_of
 
-SHARD_BYTES = 6 << 20  # of a shard's vectors and edges; raise it where queries are many: building takes longer, searching less
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, INSERTED = 32, 64, 96, 1.2, 256
 
 
@@ -147,8 +147,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def rows_of_shard(dim: int, shard_bytes: int = SHARD_BYTES) -> int:
-    return max(1024, shard_bytes // (8 * dim + 4 * (DEGREE + DEGREE // 2) + 64))
+def row_bytes(dim: int) -> int:
+    """Of a node while its shard is built: the vector three times in doubles, edges, and who has met it."""
+    return 24 * dim + 8 * (DEGREE + DEGREE // 2) + INSERTED + 128
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int | None = None, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -159,7 +160,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
     is not finite take no part, nor do null ids; vectors of other lengths are never
     compared; a vec_id that repeats is a candidate once for each different vector, and a
     query once for each, with ranks of its own. Fewer candidates than ``k`` give all of
-    them. ``shard_rows`` sets the size of a shard; by default it follows from its memory.
+    them. ``shard_rows`` sets the size of a shard; by default it follows from a task's memory.
     """
     spark = vectors.sparkSession
     rows = clean(vectors, vec_id, embedding).distinct()
@@ -168,48 +169,47 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
     members = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
     nodes = members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = stored(nodes.withColumns({"node": F.element_at("ids", 1), "dim": F.size("v")}), "nodes")
-    size = lambda dim: shard_rows or rows_of_shard(dim)
-    shards = {r.dim: -(-r["count"] // size(r.dim)) for r in nodes.groupBy("dim").count().collect()}  # a row a vector length
-    of_dim = F.lit(1)
-    for dim, s in shards.items():
-        of_dim = F.when(F.col("dim") == dim, s).otherwise(of_dim)
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), of_dim.cast("long")).cast("int"))
+    first, count, shards = F.lit(0), F.lit(1), 0
+    for r in nodes.groupBy("dim").count().orderBy("dim").collect():  # a row a vector length
+        here, mine = shards_of(spark, r["count"], row_bytes(r.dim), shard_rows), F.col("dim") == r.dim
+        first, count, shards = F.when(mine, shards).otherwise(first), F.when(mine, here).otherwise(count), shards + here
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dealt = nodes.withColumn("shard", (first + F.pmod(F.xxhash64("v"), count.cast("long"))).cast("int"))
 
     def build(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("node", ignore_index=True)
         edges, start = build_graph(_unit(np.stack(table["v"].to_numpy())))
         return table.assign(row=np.arange(len(table), dtype=np.int32), start=np.int32(start), edges=list(edges.astype(np.int32)))
 
-    graph = dealt.groupBy("dim", "shard").applyInPandas(build, "v array<double>, ids array<long>, node long, dim int, shard int, row int, start int, edges array<int>")
+    graph = dealt.groupBy("shard").applyInPandas(build, "v array<double>, ids array<long>, node long, dim int, shard int, row int, start int, edges array<int>")
     graph = stored(graph, "graph")
     asked = clean(queries, vec_id, embedding).distinct().select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("dim"))
-    asked = stored(asked, "queries")
-    blocks = max([1] + [-(-r["count"] // max(1024, size(r.dim))) for r in asked.groupBy("dim").count().collect()])  # a row a vector length
-    asked = asked.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "turn": F.xxhash64("q")})
-    shard_list = spark.createDataFrame([(d, s) for d, n in shards.items() for s in range(n)], "dim int, shard int")
-    placed_q = asked.join(shard_list, "dim")  # each query goes to every shard: the method's own fan-out
-    placed_g = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<int>")))
-
-    def ask(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "turn", "vec_id", "score"]
-        if not len(g) or not len(q):
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
-        g = g.sort_values("row", ignore_index=True)
-        v, w = np.stack(g["v"].to_numpy()), np.stack(q["q"].to_numpy())
-        points, asked_at, edges = _unit(v), _unit(w), np.stack(g["edges"].to_numpy()).astype(np.int64)
-        ids, least, out = g["ids"].to_numpy(), g["node"].to_numpy(), []
-        v, w = scaled(v), scaled(w)
-        norms, asked_ids, turns = np.sqrt((v * v).sum(axis=1)), q["query_id"].to_numpy(), q["turn"].to_numpy()
+    asked = asked.withColumn("turn", F.xxhash64("q")).select(F.explode(F.sequence(first, first + count - 1)).alias("shard"), "query_id", "turn", "q")
+
+    def prepare(g: pa.Table) -> tuple:
+        g = g.sort_by("row")
+        v = lists(g["v"], "float64")
+        points, edges, exact = _unit(v), lists(g["edges"], "int64"), scaled(v)
+        return points, edges, g["start"][0].as_py(), g["ids"].to_pylist(), g["node"].to_numpy(), exact, np.sqrt((exact * exact).sum(axis=1))
+
+    def ask(shard: tuple, q: pa.Table) -> pa.RecordBatch:
+        points, edges, start, ids, least, v, norms = shard
+        w, out = lists(q["q"], "float64"), []
+        asked_at, w = _unit(w), scaled(w)
+        asked_ids, turns = q["query_id"].to_pylist(), q["turn"].to_pylist()
         for at in range(0, len(w), 256):
-            found, _ = beam_search(points, edges, int(g["start"][0]), asked_at[at : at + 256], min(beam, len(g)))
+            found, _ = beam_search(points, edges, start, asked_at[at : at + 256], min(beam, len(v)))
             for i, near in enumerate(found, at):
                 near = near[near >= 0]
                 own = np.sqrt((w[i] * w[i]).sum())
                 score = (v[near] * w[i]).sum(axis=1) / (norms[near] * own)
                 best = np.lexsort((least[near], -score))[: k + 2]
-                out += [(asked_ids[i], turns[i], x, s) for j, s in zip(near[best].tolist(), score[best].tolist(), strict=True) for x in ids[j].tolist() if x != asked_ids[i]]
-        return pd.DataFrame(out, columns=columns).astype({c: "float64" if c == "score" else "int64" for c in columns})
+                out += [(asked_ids[i], turns[i], x, s) for j, s in zip(near[best].tolist(), score[best].tolist(), strict=True) for x in ids[j] if x != asked_ids[i]]
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "turn", "vec_id", "score"])
 
-    found = placed_g.groupBy("dim", "shard", "block").cogroup(placed_q.groupBy("dim", "shard", "block")).applyInPandas(ask, "query_id long, turn long, vec_id long, score double")
+    held = graph.select("shard", "v", "ids", "node", "row", "start", "edges")
+    found = meet(held, asked, shards, prepare, ask, "query_id long, turn long, vec_id long, score double")
     best = Window.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

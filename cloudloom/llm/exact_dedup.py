@@ -104,7 +104,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buc
     Of rows whose texts are equal without white space, the one with the most code
     points in its own text stays, then the smallest doc_id. A null text is empty; a
     null doc_id comes after all others, and of rows repeated with one doc_id a single
-    one is kept. An empty table gives no rows. ``key`` is the hash of the index: texts
+    one is kept. A text of any length is compared whole. An empty table gives no rows. ``key`` is the hash of the index: texts
     whose hashes are equal are told apart by their bytes.
     """
     keyed = keyed_rows(docs, text, doc_id, key)

@@ -9,8 +9,10 @@ n-grams that are known. A text's language has the highest sum over its words, re
 included; of equal sums the first by name. A text with letters of which nothing is known
 gets the language of the most learnt rows, with the score of a guess.
 
-The model is arrays of 64-bit hashes in ascending order with a row of logs each, so a
-worker holds a few tens of bytes an entry.
+The model is sparse: 64-bit hashes in ascending order, and for each the languages that
+have it with their logs; what a language has not seen has one log a language and order. So
+a worker holds a few tens of bytes for each pair of an n-gram and a language that the
+sample has, however many languages there are, and the sample is bounded in rows and bytes.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_free
+from .common import column_free, stored
 from .tokens import batches, release
 
 SAMPLE_ROWS, LEAST_ROWS = 10_000, 500  # about so many labelled rows are learnt from; of each language so many, if it has them
+SAMPLE_BYTES = 64 << 20  # of text, about, in the sample at most: all languages' rows thin out alike beyond
 ORDERS = (4, 3, 2, 1)
-REMEMBERED = 100_000  # words that a worker remembers
+REMEMBERED = 20_000_000  # numbers, a word's language each, that a worker remembers at most, of 100,000 words at most
 HELD = 300_000  # counts that a training task holds before it passes them on
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,36 +49,60 @@ def _grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass
+class Table:
+    """One order's n-grams: the entries of ``hashes[i]`` are ``begin[i]`` to ``begin[i + 1]`` of ``langs`` and ``logs``; ``unseen`` is each language's log of what it has not seen."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    langs: np.ndarray
+    logs: np.ndarray
+    unseen: np.ndarray
+
+    @classmethod
+    def of(cls, grams: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int) -> Table:
+        """From the entries (n-gram, language, count), in any order."""
+        order = np.lexsort((langs, grams))
+        grams, langs, counts = grams[order], langs[order], counts[order]
+        hashes, begin = np.unique(grams, return_index=True)
+        total = np.maximum(np.bincount(langs, counts, n_langs) + 0.5 * len(hashes), 1)
+        logs, unseen = np.log((counts + 0.5) / total[langs]), np.log(0.5 / total)
+        return cls(hashes, np.append(begin, len(grams)), langs.astype(np.int32), logs.astype(np.float32), unseen.astype(np.float32))
+
+    def sums(self, texts: list[str], owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(how many of each owner's ``texts`` are known, the sums of their logs by language)."""
+        width = len(self.unseen)
+        h = np.fromiter(map(_hash, texts), np.uint64, len(texts))
+        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        at, owner = at[known], owner[known]
+        times = np.bincount(owner, minlength=n)
+        size = self.begin[at + 1] - self.begin[at]
+        entry = np.repeat(self.begin[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        lang = self.langs[entry]
+        more = np.bincount(np.repeat(owner, size) * width + lang, self.logs[entry] - self.unseen[lang], n * width)
+        return times, times[:, None] * self.unseen + more.reshape(n, width)
+
+
 @dataclass
 class Model:
-    """``hashes[order]`` (words are order 0) are those of ``logs[order]``'s rows, a column a language; ``common`` is the column of the most rows."""
+    """``tables[order]`` has the n-grams of an order (words are order 0); ``common`` is the language of the most rows."""
 
     langs: list[str]
-    hashes: dict[int, np.ndarray]
-    logs: dict[int, np.ndarray]
+    tables: dict[int, Table]
     common: int = 0
     seen: dict[str, int] = field(default_factory=dict)
     held: np.ndarray | None = None
 
-    def _find(self, order: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(row of ``logs[order]``, whether known) of each text."""
-        own = self.hashes[order]
-        h = np.fromiter(map(_hash, texts), np.uint64, len(texts))
-        at = np.minimum(np.searchsorted(own, h), max(0, len(own) - 1))
-        return at, own[at] == h if len(own) else np.zeros(len(h), bool)
-
     def evidence(self, words: list[str]) -> np.ndarray:
         """(words, languages + 1): the logs of each language and 1, or zeros for a word of which nothing is known."""
         out, open_ = np.zeros((len(words), len(self.langs) + 1), np.float32), np.arange(len(words))
         for n in (0, *ORDERS):
             parts = [_grams(words[i], n) if n else [words[i]] for i in open_.tolist()]
             owner = np.repeat(np.arange(len(open_)), [len(p) for p in parts])
-            at, known = self._find(n, [g for p in parts for g in p])
-            times = np.bincount(owner[known], minlength=len(open_))
+            times, sums = self.tables[n].sums([g for p in parts for g in p], owner, len(open_))
             got = np.flatnonzero(times)
-            for k in range(len(self.langs)):
-                sums = np.bincount(owner[known], self.logs[n][at[known], k], minlength=len(open_))
-                out[open_[got], k] = sums[got] / times[got]
+            out[open_[got], :-1] = sums[got] / times[got, None]
             out[open_[got], -1] = 1
             open_ = open_[times == 0]
             if not len(open_):
@@ -87,13 +114,13 @@ class Model:
         counts = [Counter(_WORD.findall((t or "").lower())) for t in texts]
         words = list(dict.fromkeys(w for c in counts for w in c))
         if self.held is None:
-            self.held = np.zeros((REMEMBERED, len(self.langs) + 1), np.float32)
+            self.held = np.zeros((min(100_000, REMEMBERED // (len(self.langs) + 1)), len(self.langs) + 1), np.float32)
         rows = np.zeros((len(words), len(self.langs) + 1), np.float32)
         at = np.array([self.seen.get(w, -1) for w in words], np.int64)
         rows[at >= 0] = self.held[at[at >= 0]]
         new = np.flatnonzero(at < 0)
         rows[new] = self.evidence([words[i] for i in new.tolist()])
-        keep = new[: REMEMBERED - len(self.seen)]
+        keep = new[: len(self.held) - len(self.seen)]
         first = len(self.seen)
         self.held[first : first + len(keep)] = rows[keep]
         self.seen.update({words[i]: first + k for k, i in enumerate(keep.tolist())})
@@ -115,8 +142,15 @@ class Model:
         return self.predict_all([text])[0]
 
 
-def sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """About ``sample_rows`` of ``rows`` (lang, text, id), and about ``least_rows`` of each language that has so many, by a hash of the id."""
+def sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """About ``sample_rows`` of ``rows`` (lang, text, id), and about ``least_rows`` of each language that has so many, by a hash of the id; if those have more than ``sample_bytes``, that part of them."""
+    place = lambda k: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1 << 30))
+    some = stored(_some(rows, sample_rows, least_rows, place(1)), "sample")
+    size = some.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return some if size <= sample_bytes else some.where(place(2) < int((1 << 30) * sample_bytes / size))
+
+
+def _some(rows: DataFrame, sample_rows: int, least_rows: int, place: Column) -> DataFrame:
     each = rows.groupBy("lang").count()
     total, langs = each.agg(F.sum("count"), F.count(F.lit(1))).first()
     if (total or 0) <= sample_rows:
@@ -124,10 +158,10 @@ def sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least_rows: int = LE
     rate = F.greatest(F.lit(sample_rows / total), F.lit(float(least_rows)) / F.col("count"))
     part = each.select("lang", (rate * (1 << 30)).cast("long").alias("part"))
     met = rows.join(F.broadcast(part) if langs <= 100_000 else part, "lang")
-    return met.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) < F.col("part")).drop("part")
+    return met.where(place < F.col("part")).drop("part")
 
 
-def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> Model:
+def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of a bounded :func:`sample` of the rows where ``usable``, lang and text are not null.
 
     Texts are read whole and all that they hold is learnt, so the model's size has the
@@ -135,7 +169,7 @@ def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     gives a model without languages.
     """
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id"))
-    rows = sample(rows, sample_rows, least_rows)
+    rows = sample(rows, sample_rows, least_rows, sample_bytes)
 
     def count(parts):
         grams: Counter[tuple[str, int, int]] = Counter()
@@ -169,18 +203,15 @@ def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     got = counted.toArrow()
     names = got["lang"].combine_chunks().dictionary_encode()
     langs = sorted(names.dictionary.to_pylist())
-    column = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if langs else np.zeros(0, np.int64)
+    number = {x: i for i, x in enumerate(langs)}
+    column = np.array([number[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if langs else np.zeros(0, np.int64)
     order, gram, c = got["n"].to_numpy(), got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy()
     learnt = np.bincount(column[order == -1], c[order == -1], len(langs))
-    hashes, logs = {}, {}
+    tables = {}
     for k in (0, *ORDERS):
         mine = order == k
-        hashes[k], at = np.unique(gram[mine], return_inverse=True)
-        table = np.zeros((len(hashes[k]), len(langs)))
-        np.add.at(table, (at, column[mine]), c[mine])
-        total = table.sum(axis=0) + 0.5 * len(table)
-        logs[k] = np.log((table + 0.5) / np.maximum(total, 1)).astype(np.float32)
-    return Model(langs, hashes, logs, int(learnt.argmax()) if langs else 0)
+        tables[k] = Table.of(gram[mine], column[mine], c[mine].astype(float), len(langs))
+    return Model(langs, tables, int(learnt.argmax()) if langs else 0)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:

@@ -33,7 +33,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     Keys of at least ``min_length`` code points in at least ``min_docs`` documents lose
     their lines except in the largest doc_id that holds them. A null text is one empty
     line. Rows that share a doc_id count as one document; a null doc_id is one document
-    below all others. An empty table gives no rows.
+    below all others. A text of any length is read whole, in time linear in its lines. An
+    empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("of", F.coalesce("doc_id", F.lit(NO_ID)))
@@ -48,7 +49,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     rest = lines.join(F.broadcast(heavy.select("h1", "h2")), ["h1", "h2"], "left_anti")
     places = lines.join(of_heavy, ["h1", "h2"]).unionByName(rest.join(usual, ["h1", "h2"]))
     gone = places.where("of <> stays").groupBy("of", "body").agg(F.collect_set("pos").alias("gone"))
-    met = rows.withColumn("body", F.xxhash64("text")).join(stored(gone, "gone"), ["of", "body"], "left")
-    split = F.split("text", "\n", -1)
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    return met.select("doc_id", left.alias("text"), F.size(split).cast("long").alias("n_lines"), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    cut = rows.select("doc_id", "of", F.xxhash64("text").alias("body"), F.split("text", "\n", -1).alias("lines"))  # below the join, so that it is split once
+    met = cut.join(stored(gone, "gone"), ["of", "body"], "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by a hash set: a text's work is linear in its lines
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
+    return met.select("doc_id", F.array_join(left, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import column_free, stored
 from .tokens import batches, crc_of, encoder
 
 CAPACITY = 2048
@@ -228,17 +228,20 @@ def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: in
     ``rows`` must be a stored table: it is read for the histogram, for the buckets' counts
     and for the result, and must say the same each time. Lengths are from 1 to
     ``capacity``. Rows that agree in all of ``order`` change places freely. An empty table
-    gives no rows.
+    gives no rows. New columns that clash with one of ``rows`` get underscores at the end.
     """
+    bucket, place_, in_bucket = (column_free(rows, c) for c in ("bucket_", "rank_", "b_"))
+    names = [column_free(rows, c) for c in ("sequence_id", "offset")]
     histogram = {r[0]: r[1] for r in rows.groupBy(length).count().collect()}
     table = slots(plan(histogram, capacity))
     n = max(1, -(-max(histogram.values(), default=0) // bucket_rows))
-    dealt = rows.withColumn("bucket_", F.pmod(F.xxhash64(*order), F.lit(n)))
-    running = Window.partitionBy(length).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    before = dealt.groupBy(length, "bucket_").count().select(F.col(length).alias("length_"), F.col("bucket_").alias("b_"), F.coalesce(F.sum("count").over(running.partitionBy(length)), F.lit(0)).alias("before_"))
-    within = F.row_number().over(Window.partitionBy(length, "bucket_").orderBy(*order)) - 1
-    ranked = dealt.withColumn("rank_", within).join(before, (F.col(length) == F.col("length_")) & (F.col("bucket_") == F.col("b_")))
-    ranked = ranked.withColumn("rank_", F.col("rank_") + F.col("before_")).select(*rows.columns, "rank_")
+    dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n)))
+    running = Window.partitionBy(length).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy(length, bucket).count().withColumn("before", F.coalesce(F.sum("count").over(running), F.lit(0)))
+    before = before.select(F.col(length).alias(f"{in_bucket}length"), F.col(bucket).alias(in_bucket), F.col("before").alias(f"{in_bucket}before"))
+    within = F.row_number().over(Window.partitionBy(length, bucket).orderBy(*order)) - 1
+    ranked = dealt.withColumn(place_, within).join(before, (F.col(length) == F.col(f"{in_bucket}length")) & (F.col(bucket) == F.col(in_bucket)))
+    ranked = ranked.select(*rows.columns, (F.col(place_) + F.col(f"{in_bucket}before")).alias(place_))
     base = 1 << 40
     keys = table[:, 0] * base + table[:, 1]
 
@@ -249,16 +252,17 @@ def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: in
             at = np.searchsorted(keys, size * base + rank, side="right") - 1
             q = rank - table[at, 1]
             arrays = [*batch.columns[:-1], pa.array(table[at, 2] + q // table[at, 3]), pa.array(table[at, 4] + q % table[at, 3] * size)]
-            yield pa.record_batch(arrays, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.record_batch(arrays, names=[*batch.schema.names[:-1], *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{names[0]}` long, `{names[1]}` long"
     return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Every piece of every row of ``docs`` with its place: a null or empty text is the end id alone.
 
-    Rows that share a doc_id are packed each on its own; a null doc_id is kept.
+    Rows that share a doc_id are packed each on its own; a null doc_id is kept. A text of
+    any length is cut whole. An empty table gives no rows.
     """
     rows = stored(pieces(docs, tokenizer, text, doc_id, end_id, capacity, with_ids, added), "pieces")
     return pack(rows, ["doc_id", "piece", "start", "ids_crc32"], "length", capacity)

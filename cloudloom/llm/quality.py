@@ -183,7 +183,11 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text"
 
 
 def score(docs: DataFrame, model: RuleModel, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` without ``text`` and with the score, 0 to 1; empty and null texts too."""
+    """``docs`` without ``text`` and with the score, 0 to 1; empty and null texts too.
+
+    A text of any length is read whole, rows that repeat get the same score each, and an
+    empty table gives no rows. A clashing name gets underscores at its end.
+    """
     name = column_free(docs, name)
     rows = with_statistics(docs, text)
     names = rows.columns[-len(STATISTICS) :]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..operators.tables import free
-from .common import stored
+from .common import column_free, stored
 from .tokens import batches, release
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width of each
@@ -165,7 +165,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     that can be reached; rows that repeat an id or a text are rows like any other. Texts
     without words (null too) have the fingerprint zero and link like any other. A null
     doc_id keeps its row and is nobody's component_id, unless no other id is reached.
-    n_links counts the fingerprints linked to the row's own. An empty table gives no rows.
+    n_links counts the fingerprints linked to the row's own. A text of any length is read
+    whole. An empty table gives no rows.
     """
     rows = stored(fingerprints(docs, text, doc_id, words), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -371,7 +372,8 @@ def keep_dissimilar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Rows are in the order of doc_id, null ids last, and of rows with one id those with
     smaller text hashes first; each row stands for itself, so of two unlike texts with
     one id only a near copy goes. Rows that repeat id and text are copies: one stays.
-    Null texts and texts without words are alike. An empty table gives no rows.
+    Null texts and texts without words are alike. Texts of any length are compared whole.
+    Columns of any name pass through. An empty table gives no rows.
     """
     # a number for each row in that order, without one task sorting all: ids themselves, unless some repeat or are null
     own = F.col(doc_id).cast("long")
@@ -379,10 +381,10 @@ def keep_dissimilar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if counts.isEmpty():
         rows, at = docs, doc_id
     else:
-        at = "row_number__"
+        at = column_free(docs, "row_number__")
         order = (own.asc_nulls_last(), F.xxhash64(text))
         ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
         rows = stored(ranged.withColumn(at, F.monotonically_increasing_id()), "numbered")
     reach = connected_components(similar_pairs(rows, text, at, words, similarity), "a", "b", small=0)
-    gone = reach.where("node > component").select(F.col("node").alias("gone_id"))
-    return rows.join(gone, rows[at] == F.col("gone_id"), "left_anti").select(*docs.columns)
+    gone = reach.where("node > component").select(F.col("node").alias(column_free(rows, "gone_id")))
+    return rows.join(gone, rows[at] == gone[gone.columns[0]], "left_anti").select(*docs.columns)

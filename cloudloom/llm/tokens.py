@@ -33,6 +33,7 @@ from .common import scratch_path
 
 CACHE = 300_000  # pieces, and pre-tokens, that a worker remembers
 SEQUENCE, BATCH = 2048, 64
+FILE_BYTES = 128 << 20  # of text a file
 
 # Fixed value: the byte-level pre-tokenizer's published pattern.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -236,11 +237,14 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text"
 
     Rows: part, path, n_docs, n_tokens. A null text gives the end id alone; null ids come
     first; rows that share an id keep their order by text. An empty table writes no file. A task that
-    runs again replaces its own files.
+    runs again replaces its own files. A text of any length is one document. Files are of
+    about ``FILE_BYTES`` of text, at least as many as tasks run at once.
     """
     folder = qualified(docs.sparkSession, folder)  # the session's file system, whatever a machine's own is
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = docs.select(F.sum(F.octet_length(F.col(text)) + 8).alias("n")).first().n or 0
+    parts_ = max(-(-size // FILE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))), 1)
+    rows = rows.repartitionByRange(parts_, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(parts):
         from pyspark import TaskContext

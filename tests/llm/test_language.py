@@ -75,14 +75,14 @@ class Plain:
         return self.langs[total.index(max(total))], max(e) / sum(e)
 
 
-@pytest.mark.parametrize("remembered", [100_000, 5])
+@pytest.mark.parametrize("remembered", [20_000_000, 20])
 def test_scores_equal_a_plain_scorer(spark, monkeypatch, remembered):
     monkeypatch.setattr(language_id, "REMEMBERED", remembered)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model, plain = language_id.learn(docs, F.col("doc_id") < 60), Plain([r for r in rows if r[0] is not None and r[0] < 60])
     assert model.langs == plain.langs
-    if remembered < 10:
+    if remembered < 100:
         got = [(t, *model.predict(t)) for _, t, _ in rows]
     else:
         got = [(r.text, r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()]
@@ -105,3 +105,17 @@ def test_unknown_letters_get_the_commonest_language(spark):
     docs = spark.createDataFrame([(1, "aa bb", "en"), (2, "aa", "en"), (3, "cc", "de")], "doc_id long, text string, lang string")
     model = language_id.learn(docs, F.lit(True))
     assert model.predict("ζζζ") == ("en", 0.5) and model.predict("--- 12") == ("und", 0.0)
+
+
+def test_many_languages_stay_sparse(spark):
+    """Entries are those of the sample, whatever the number of languages; the sample is bounded in bytes too."""
+    word = lambda k: "abcdefghijkl"[k // 10] + "mnopqrstuv"[k % 10]
+    rows = [(i, f"{word(i % 120)} x{word(i % 120)}", f"l{i % 120:03d}") for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, F.lit(True))
+    assert len(model.langs) == 120 and len(model.tables[0].logs) == 240 and model.tables[0].unseen.shape == (120,)
+    assert [model.predict(t)[0] for _, t, _ in rows[:120]] == [x for _, _, x in rows[:120]]
+    every = sum(len(t) for _, t, _ in rows)
+    some = language_id.sample(docs.withColumnRenamed("doc_id", "id"), sample_bytes=every // 4)
+    got = sum(len(r.text) for r in some.collect())
+    assert every // 10 < got < every // 2

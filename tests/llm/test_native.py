@@ -197,3 +197,11 @@ def test_a_line_in_all_documents_and_a_very_long_text(spark):
     out = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
     assert len(out) == 1501 and out[2000].n_dropped == 0 and out[2000].text == rows[-1][1]
     assert all(out[i].n_dropped == 1 and out[i].text == f"own line number {i} of the table" for i in range(1500))
+
+
+def test_a_very_long_text_that_loses_all_its_lines(spark):
+    lines = [f"shared line number {k} of two texts" for k in range(120_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[::-1])), (3, "\n".join(lines))]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert [(out[i].n_lines, out[i].n_dropped, out[i].text) for i in (1, 2)] == [(120_000, 120_000, "")] * 2
+    assert out[3].text == rows[2][1] and out[3].n_dropped == 0
