@@ -117,19 +117,16 @@ def las_header(data: bytes) -> dict:
     return {"start": start, "format": fmt, "length": length, "n": n, "scale": scale, "offset": offset}
 
 
-def las_points(data: bytes) -> dict[str, np.ndarray]:
-    """x, y, z in units, intensity and, where the format has it, colour; 16-bit colour comes down to bytes."""
-    h = las_header(data)
-    raw = np.frombuffer(data, np.uint8, h["n"] * h["length"], h["start"]).reshape(h["n"], h["length"])
+def las_records(data: bytes, h: dict) -> dict[str, np.ndarray]:
+    """x, y, z in units, intensity, classe and, where the format has it, colour as it stands, of ``h["n"]`` records."""
+    raw = np.frombuffer(data, np.uint8, h["n"] * h["length"]).reshape(h["n"], h["length"])
     at = lambda a, b, t: np.ascontiguousarray(raw[:, a:b]).view(t).reshape(h["n"], -1)
     xyz = at(0, 12, "<i4") * np.array(h["scale"]) + np.array(h["offset"])
     out = {c: xyz[:, k] for k, c in enumerate("xyz")} | {"intensity": at(12, 14, "<u2")[:, 0].astype(np.float32)}
     out["classe"] = (raw[:, 16] if h["format"] >= 6 else raw[:, 15] & 31).astype(np.int16)
     if h["format"] in _BEFORE_COLOUR:
         k = _BEFORE_COLOUR[h["format"]]
-        rgb = at(k, k + 6, "<u2").astype(np.int64)
-        rgb = rgb // 257 if len(rgb) and rgb.max() > 255 else rgb
-        out |= {c: rgb[:, i].astype(np.int16) for i, c in enumerate("rgb")}
+        out |= {c: at(k + 2 * i, k + 2 * i + 2, "<u2")[:, 0] for i, c in enumerate("rgb")}
     return out
 
 

@@ -1,29 +1,24 @@
 """Sources: a folder, file or glob of any format becomes the one point schema.
 
 Text goes through Spark's own reader and is stored once with its ids. Binary formats come
-as whole files; each is parsed where it lies and split into Arrow batches, so one task
-reads one file, and ids are the file's place and the row's.
+through the source of :mod:`blocks`, a range of a file's records a task.
 """
 
 from __future__ import annotations
 
+import json
 import posixpath
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import longest_prefix
-from ..operators.tables import stored
-from ..plans.model import CODE, POINT_SCHEMA
-from . import formats
+from ..operators.tables import qualified, stored
+from ..plans.model import CODE
+from . import blocks
 from .documents import DECISIONS_SCHEMA, exists
 
-TEXT, BINARY, NEEDS_CODEC = ("xyz", "txt", "asc"), ("ply", "pcd", "las"), ("laz", "e57")
-BATCH = 1_000_000
-_ARROW = pa.schema([("pid", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64()), ("r", pa.int16()), ("g", pa.int16()), ("b", pa.int16()), ("intensity", pa.float32()), ("source", pa.string()), ("classe", pa.int16())])
+TEXT, BINARY, NEEDS_CODEC = ("xyz", "txt", "asc"), ("ply", "pcd", "las", "e57"), ("laz",)
 
 
 def extension(path: str) -> str:
@@ -42,7 +37,7 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(path)
     if kind in NEEDS_CODEC:
         raise NotImplementedError(f"{kind} needs a codec that is not installed")
-    return read_text(spark, path) if kind in TEXT else read_binary(spark, path).drop("classe")
+    return read_text(spark, path) if kind in TEXT else read_binary(spark, path, blocks.COLUMNS[:-1])
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -64,54 +59,48 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return stored(out, "points")  # parsed once, and the ids stay what they are
 
 
-def _parse(path: str, data: bytes) -> dict[str, np.ndarray]:
-    kind = extension(path)
-    if kind == "las":
-        return formats.las_points(data)
-    layout = formats.ply_layout(data) if kind == "ply" else formats.pcd_layout(data)
-    return formats.as_points(formats.records(data, layout))
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The URIs of the files that a path or glob names, in order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(qualified(spark, str(f.getPath().toString())) for f in found or [] if f.isFile())
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """The point schema and ``classe`` (of classified files) from PLY, PCD or LAS files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.xxhash64("path").alias("key"))
+def read_binary(spark: SparkSession, path: str, columns: tuple[str, ...] = blocks.COLUMNS, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """The point schema and ``classe`` (of classified files) from PLY, PCD, LAS or E57 files; only ``columns`` are read.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for name, data, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = _parse(name, data)
-                n = len(got["x"])
-                if not n:
-                    raise ValueError(f"{name} holds no points")
-                for at in range(0, n, BATCH):
-                    size = min(BATCH, n - at)
-                    column = lambda c, t, at=at, size=size, got=got: pa.array(got[c][at : at + size], t) if c in got else pa.nulls(size, t)
-                    pid = pa.array((np.arange(at, at + size, dtype=np.int64)) + ((key & 0x7FFFFF) << 40))
-                    cols = [pid, *(column(c, _ARROW.field(c).type) for c in ("x", "y", "z", "r", "g", "b", "intensity")), pa.array([name] * size), column("classe", pa.int16())]
-                    yield pa.record_batch(cols, schema=_ARROW)
+    E57 scans are turned to their pose and lose invalid points; colours and intensity stay
+    where every scan of a file has them. Colours of 16 bits (of a LAS or E57 file in which
+    one exceeds 255) come down to bytes by 257.
+    """
+    paths = files_of(spark, path)
+    if not paths:
+        raise FileNotFoundError(path)
+    spark.dataSource.register(blocks.PointBlocks)
+
+    def scan(names) -> DataFrame:
+        return spark.read.format("pointblocks").option("paths", json.dumps(paths)).option("columns", ",".join(names)).option("blockRows", block_rows).load()
 
-    return files.mapInArrow(run, POINT_SCHEMA + ", classe smallint")
+    own = [c for c in blocks.COLUMNS if c in columns]
+    colours = [c for c in own if c in "rgb"]
+    wide = colours and any(extension(p) in ("las", "e57") for p in paths)
+    out = scan([*own, *(["source"] if wide and "source" not in own else [])])
+    if wide:  # whether colours have 16 bits is the file's, not a block's
+        top = scan(["r", "g", "b", "source"]).groupBy("source").agg(F.max(F.greatest("r", "g", "b")).alias("top_"))
+        known = stored(top.where("top_ > 255"), "colours")  # a row a file
+        out = out.join(F.broadcast(known), "source", "left")
+        out = out.withColumns({c: F.when(F.col("top_") > 255, F.bround(F.col(c) / 257)).otherwise(F.col(c)) for c in colours})
+    return out.select(*(F.col(c).cast("smallint").alias(c) if c in colours else c for c in own))
 
 
 def read_classified(spark: SparkSession, path: str) -> DataFrame:
     """(pid, x, y, z, r, g, b, label) of classified PLY or LAS files."""
-    return read_binary(spark, path).select("pid", "x", "y", "z", "r", "g", "b", F.col("classe").alias("label"))
+    return read_binary(spark, path, ("pid", "x", "y", "z", "r", "g", "b", "classe")).select("pid", "x", "y", "z", "r", "g", "b", F.col("classe").alias("label"))
 
 
 def count_points(spark: SparkSession, path: str) -> int:
-    """Points by the headers alone: 4 KB of each file are read, through the file system of its path."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = 0
-    for found in files.globStatus(at) or []:
-        name, stream = str(found.getPath()), files.open(found.getPath())
-        try:
-            head = bytes(stream.readNBytes(4096))
-        finally:
-            stream.close()
-        kind = extension(name)
-        n += formats.las_header(head)["n"] if kind == "las" else (formats.ply_layout(head) if kind == "ply" else formats.pcd_layout(head)).n
-    return n
+    """Points by the headers alone; invalid points of E57 scans count."""
+    return sum(blocks.header(p)[2] for p in files_of(spark, path))
 
 
 def union_scans(scans: list[DataFrame]) -> DataFrame:
