@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import squared_distance
@@ -131,13 +131,18 @@ def propagate_labels(points: DataFrame, reduced: DataFrame, first_radius: float,
     return got.select(pid, F.col(f"near_{label}").alias(label), "d2")
 
 
-def crop(points: DataFrame, box: tuple[float, ...], margin: float = 0.0) -> DataFrame:
-    """Points in the closed box (x0, y0, z0, x1, y1, z1) widened by ``margin``; the comparison reaches the scan."""
+def inside(box: tuple[float, ...], margin: float = 0.0) -> Column:
+    """Whether a point lies in the closed box (x0, y0, z0, x1, y1, z1) widened by ``margin``."""
     x0, y0, z0, x1, y1, z1 = box
     keep = F.lit(True)
     for c, low, high in (("x", x0, x1), ("y", y0, y1), ("z", z0, z1)):
         keep = keep & F.col(c).between(low - margin, high + margin)
-    return points.where(keep)
+    return keep
+
+
+def crop(points: DataFrame, box: tuple[float, ...], margin: float = 0.0) -> DataFrame:
+    """Points :func:`inside` the box; the comparison reaches the scan."""
+    return points.where(inside(box, margin))
 
 
 def boxes_overlap(left: DataFrame, right: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:

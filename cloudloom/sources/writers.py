@@ -6,16 +6,15 @@ A cloud is written as one file a partition, where its points are; nothing is gat
 from __future__ import annotations
 
 import json
-import posixpath
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dataset import class_counts
 from ..operators.tables import qualified
 from ..plans.model import GROUPS, class_table
-from . import formats
+from . import classified
 
 REPORT_COLUMNS = (
     "id", "classe_codice", "classe", "n_punti", "centro_x", "centro_y", "centro_z", "dim_1", "dim_2", "dim_3", "quota_top", "quota_bottom", "estensione_z",
@@ -23,49 +22,21 @@ REPORT_COLUMNS = (
 )
 
 
-FILE_ROWS = 4_000_000  # of one written file, about: what a task holds
-
-
 def with_class_colours(points: DataFrame) -> DataFrame:
     """``points`` with the colour of their class as r, g, b."""
     look = class_table(points.sparkSession).select(F.col("code").cast("smallint").alias("label"), "r", "g", "b")
     return points.drop("r", "g", "b").join(F.broadcast(look), "label")  # 17 rows
 
 
-def write_classified(points: DataFrame, folder: str, kind: str = "ply") -> DataFrame:
-    """One PLY or LAS file a block of at most ``FILE_ROWS`` rows of a partition in ``folder``; (path, n) of each. ``points`` has x, y, z and label."""
-    folder = qualified(points.sparkSession, folder)
-    rows = with_class_colours(points).select("x", "y", "z", "r", "g", "b", "label")
-
-    def run(parts):
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        task, held, n, block = TaskContext.get(), [], 0, 0
-        files, base = fs.FileSystem.from_uri(folder)
-
-        def flush():
-            nonlocal held, n, block
-            cols = [pa.chunked_array([b.column(i) for b in held]).to_numpy() for i in range(7)]
-            data = (formats.classified_ply if kind == "ply" else formats.las_file)(*cols)
-            files.create_dir(base, recursive=True)
-            name, mine = f"{base}/part-{task.partitionId():05d}-{block:04d}.{kind}", f"{base}/.try-{task.taskAttemptId()}-{block}"
-            with files.open_output_stream(mine) as out:
-                out.write(data)
-            files.move(mine, name)
-            held, n, block = [], 0, block + 1
-            return pa.record_batch([pa.array([posixpath.join(folder, posixpath.basename(name))]), pa.array([len(cols[0])], pa.int64())], names=["path", "n"])
+def _dressed(points: DataFrame) -> DataFrame:
+    look = class_table(points.sparkSession).select(F.col("code").cast("smallint").alias("label"), "r", "g", "b", "macro_group")
+    return points.select("x", "y", "z", "label").join(F.broadcast(look), "label").select(*(F.col(c).cast("double").alias(c) for c in "xyz"), *(F.col(c).cast("smallint").alias(c) for c in ("r", "g", "b", "label")), "macro_group")  # 17 rows
 
-        for batch in parts:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= FILE_ROWS:
-                yield flush()
-        if n:
-            yield flush()
 
-    listed = rows.mapInArrow(run, "path string, n long").toPandas()  # a row a file
-    return points.sparkSession.createDataFrame([tuple(r) for r in listed.itertuples(index=False)], "path string, n long")
+def write_classified(points: DataFrame, folder: str, kind: str = "ply", file_rows: int = classified.FILE_ROWS) -> DataFrame:
+    """One PLY or LAS file a block of about ``file_rows`` rows of a partition in ``folder``; (path, n) of each. ``points`` has x, y, z and label."""
+    listed = classified.save(_dressed(points), qualified(points.sparkSession, folder), kind, uuid.uuid4().hex[:12], file_rows=file_rows)
+    return points.sparkSession.createDataFrame([(p, n) for p, _, n in listed], "path string, n long")
 
 
 def with_group(points: DataFrame) -> DataFrame:
@@ -73,20 +44,18 @@ def with_group(points: DataFrame) -> DataFrame:
     return points.join(F.broadcast(look), "label")
 
 
-def write_grouped(points: DataFrame, folder: str, kind: str = "parquet") -> dict[str, str]:
-    """Points by macro group, the groups in order that have any: {group: folder}. Empty groups leave none.
+def write_grouped(points: DataFrame, folder: str, kind: str = "parquet", whole: bool = False) -> dict[str, str]:
+    """Points by macro group, in one pass, the groups in order that have any: {group: folder}. Empty groups leave none.
 
-    Parquet goes in one pass; ``kind`` ply or las gives classified files in a folder each.
+    ``kind`` ply or las gives classified files in a folder each, and with ``whole`` those
+    of all points in ``folder`` too.
     """
-    grouped = with_group(points)
     if kind == "parquet":
-        grouped.write.mode("overwrite").partitionBy("macro_group").parquet(folder)
+        with_group(points).write.mode("overwrite").partitionBy("macro_group").parquet(folder)
         got = {r[0] for r in points.sparkSession.read.parquet(folder).select("macro_group").distinct().collect()}  # three at most
         return {g: f"{folder}/macro_group={g}" for g in GROUPS if g in got}
-    got = {r[0] for r in grouped.select("macro_group").distinct().collect()}
-    for g in got:
-        write_classified(grouped.where(F.col("macro_group") == g).drop("macro_group"), f"{folder}/{g}", kind)
-    return {g: f"{folder}/{g}" for g in GROUPS if g in got}
+    listed = classified.save(_dressed(points), qualified(points.sparkSession, folder), kind, uuid.uuid4().hex[:12], "both" if whole else "groups")
+    return {g: f"{folder}/{g}" for g in GROUPS if g in {x[1] for x in listed}}
 
 
 def instance_rows(instances: DataFrame) -> DataFrame:
