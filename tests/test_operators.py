@@ -217,3 +217,32 @@ def test_ordered_and_dataset(spark):
     assert {r.code: r.iou for r in dataset.intersection_over_union(dataset.confusion(m)).collect()} == {0: 0.5, 1: 0.5}
     text = spark.createDataFrame([("Pump here\nlight",), ("x\nLIGHT",), (None,)], "t string").select(expr.first_keyword(F.col("t"), [("light", "L"), ("pump", "P")], "-").alias("v"))
     assert [r.v for r in text.collect()] == ["P", "L", "-"]
+
+
+def test_chains_of_any_direction_equal_all_pairs(spark):
+    """Random axes, sections and lengths: the keyed join has the pairs of the plain one."""
+    from cloudloom.operators import context
+    from cloudloom.plans.model import CONTEXT as t
+
+    draw = np.random.default_rng(31)
+    n = 500
+    axis = draw.normal(size=(n, 3))
+    axis[: n // 2] = np.array([[0.6, 0.8, 0], [0, 0, 1.0]])[draw.integers(0, 2, n // 2)] + draw.normal(size=(n // 2, 3)) * 0.1
+    axis /= np.linalg.norm(axis, axis=1, keepdims=True)
+    axis[0], axis[1] = (1, 0, 0), (-1, 0, 0)
+    centre, length, section = draw.uniform(0, 6, (n, 3)), draw.uniform(0.3, 4, n), draw.uniform(0.02, 0.8, n)
+    centre[1] = centre[0] + (1.0, 0.1, 0)
+    section[1] = section[0]
+    rows = [(i, centre[i].tolist(), axis[i].tolist(), float(length[i]), float(section[i])) for i in range(n)]
+    got = context.chain_pairs(spark.createDataFrame(rows, "instance_id long, centre array<double>, axis_ array<double>, length_ double, section_ double"))
+    want = set()
+    for a in range(n):
+        for b in range(a + 1, n):
+            d = centre[b] - centre[a]
+            along = d @ axis[a]
+            if np.linalg.norm(d) <= t["chain_reach"] and abs(axis[a] @ axis[b]) >= t["parallel"] and max(section[a], section[b]) <= t["chain_ratio"] * min(section[a], section[b]):
+                if np.linalg.norm(d - along * axis[a]) <= t["chain_offset"] and abs(along) - (length[a] + length[b]) / 2 <= t["chain_gap"]:
+                    want.add((a, b))
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and (0, 1) in want and len(want) > 50
+    assert context.chain_pairs(spark.createDataFrame([], "instance_id long, centre array<double>, axis_ array<double>, length_ double, section_ double")).count() == 0
