@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import quantiles
+
 AXES = "xyz"
 SIX = (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))
 EIGEN = T.StructType([*(T.StructField(f"l{k}", T.DoubleType()) for k in (1, 2, 3)), *(T.StructField(f"e{k}", T.ArrayType(T.DoubleType())) for k in (1, 2, 3))])
@@ -58,7 +60,7 @@ def box_sides(points: DataFrame, eigen: DataFrame, by: list[str]) -> DataFrame:
 
 def heights(points: DataFrame, by: list[str], band: float = 0.15) -> DataFrame:
     """(by..., top, bottom, robust_z, band_share): robust_z is the 95th less the 5th percentile; band_share the larger share of points in a band at the top or the bottom."""
-    ends = points.groupBy(*by).agg(F.max("z").alias("top"), F.min("z").alias("bottom"), F.percentile("z", F.array(F.lit(0.05), F.lit(0.95))).alias("p_"))
+    ends = points.groupBy(*by).agg(F.max("z").alias("top"), F.min("z").alias("bottom")).join(quantiles(points, by, "z", (0.05, 0.95), "p_"), by)
     share = lambda c: F.avg(c.cast("double"))
     bands = points.join(ends, by).groupBy(*by).agg(F.greatest(share(F.col("z") >= F.col("top") - band), share(F.col("z") <= F.col("bottom") + band)).alias("band_share"))
     return ends.join(bands, by).select(*by, "top", "bottom", (F.element_at("p_", 2) - F.element_at("p_", 1)).alias("robust_z"), "band_share")
@@ -71,7 +73,7 @@ def shell_density(n, dims, voxel: float):
 
 
 def dominant_colour(points: DataFrame, by: list[str], distance: float = 40.0) -> DataFrame:
-    """(by..., colour, uniformity): the median of each channel, and the share of points within ``distance`` of it. Points without a colour do not count."""
+    """(by..., colour, uniformity): the median of each channel, and the share of points within ``distance`` of it. Points without a colour do not count. A channel has 256 values at most, which is all that a median holds."""
     seen = points.where(F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull())
     mid = seen.groupBy(*by).agg(*(F.median(c).alias(f"m_{c}") for c in "rgb"))
     d2 = sum(((F.col(c) - F.col(f"m_{c}")) * (F.col(c) - F.col(f"m_{c}")) for c in "rgb"), F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def gap_islands(rows: DataFrame, by: list[str], value: str, gap: float, name: str = "island") -> DataFrame:
     """``rows`` numbered from 0 within ``by``: a new number where ``value`` is more than ``gap`` above the row before it."""
@@ -71,7 +73,8 @@ def segments_by_gaps(points: DataFrame, by: list[str], along: str, bin_size: flo
 
 def split_by_quantile(points: DataFrame, axis: str = "y", held_out: float = 0.3) -> DataFrame:
     """``points`` with ``split``: val above the (1 - held_out) quantile of ``axis``, else train."""
-    cut = points.agg(F.percentile(axis, F.lit(1 - held_out)).alias("cut_")).first().cut_
+    got = quantiles(points, [], axis, (1 - held_out,)).first()
+    cut = got.q[0] if got else None
     return points.withColumn("split", F.when(F.col(axis) > F.lit(cut), "val").otherwise("train"))
 
 

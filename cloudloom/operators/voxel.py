@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import colour_mean, voxel_index, voxel_key
+from .quantiles import quantiles
 
 COLOURS = ("r", "g", "b")
 
@@ -73,8 +74,9 @@ def slice_coverage(points: DataFrame, size: float, slice_height: float = 0.25, l
 def extent(points: DataFrame, percentiles: tuple[float, ...] = (0.02, 0.98), axis: str = "z") -> DataFrame:
     """One row: n, the bounds of each axis and exact interpolated percentiles of ``axis``."""
     bounds = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
-    cuts = [F.percentile(axis, F.lit(p)).alias(f"p{i}") for i, p in enumerate(percentiles)]
-    return points.agg(F.count(F.lit(1)).alias("n"), *bounds, *cuts)
+    cuts = F.broadcast(quantiles(points, [], axis, percentiles, "q_"))  # one row
+    whole = points.agg(F.count(F.lit(1)).alias("n"), *bounds).join(cuts, F.lit(True), "left")
+    return whole.select("n", *(f"{n}_{c}" for c in "xyz" for n in ("min", "max")), *(F.get("q_", F.lit(i)).alias(f"p{i}") for i in range(len(percentiles))))
 
 
 def drop_outliers(points: DataFrame, radius: float, k: int = 16, std: float = 2.5, least: int = 100, pid: str = "pid") -> DataFrame:
