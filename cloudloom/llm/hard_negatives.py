@@ -5,9 +5,9 @@ of all; anchors get a zero there. Inner products then are distances: the higher
 the nearer, and a window of scores is an annulus around the anchor. A tree halves its
 vectors by their distance to a vantage point, down to leaves, and keeps the least and
 greatest distance of each half, so the triangle inequality bounds an anchor's scores with all that
-a node holds. A search goes to the nodes of the highest scores first, leaves out nodes
-outside the annulus, and stops when no node left can hold a better row than the k found.
-What a leaf holds is scored exactly, in integers.
+a node holds. A search goes to the leaves of the highest possible scores first, leaves out
+those outside the annulus, and stops when none left can hold a better row than the k found.
+What a leaf holds is scored exactly, in integers, for all anchors that come to it together.
 
 Rows of all labels are dealt to shards by a hash, each shard is a tree in one task, and
 anchors meet every shard twice: for their positives, then for the negatives of all their
@@ -17,8 +17,6 @@ them. The best of all shards stay.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .shards import lists, meet, shards_of
 
-LEAF = 128
+LEAF = 512  # rows that are scored together
 EXACT = float(1 << 53)
 FAR = 1 << 62  # beyond all scores
 
@@ -72,48 +70,80 @@ class Tree:
             todo += [(a + half, b, me, 1), (a, a + half, me, 0)]
         kind = float if self.exact else np.int64
         self.centres = v[[max(x, 0) for x in self.vantage]].astype(float)
+        self.leaves = np.array([n for n, (x, _) in enumerate(self.child) if x < 0])
+        for node in self.leaves.tolist():  # by id, so that the first of equal scores is the one that wins
+            a, b = self.span[node]
+            order[a:b] = order[a:b][np.argsort(ids[order[a:b]], kind="stable")]
         self.ids, self.labels, self.v = ids[order], labels[order], v[order].astype(kind)
 
-    def search(self, query: np.ndarray, own_id: int, label: int, same: bool, low: np.ndarray, high: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """For each window (``low`` to ``high``, both in) the ``k`` rows of the highest scores, ties by smaller id, as (score, id). Rows are of the anchor's label, without its own id, or of others."""
-        q = query.astype(self.v.dtype)
-        size = float((query.astype(float) ** 2).sum()) + self.most
+    def bounds(self, q: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least, greatest) distance of each query to what each leaf holds, by the triangle inequality from the root down."""
+        to = np.sqrt(np.maximum(size[:, None] - 2 * (q.astype(float) @ self.centres.T), 0))
+        near, far = np.zeros((len(q), len(self.span))), np.full((len(q), len(self.span)), np.inf)
+        for node, (inner, outer) in enumerate(self.child):
+            if inner >= 0:
+                d, (a, b, c, e) = to[:, node], self.near[node]
+                near[:, inner], far[:, inner] = np.maximum(near[:, node], np.maximum(a - d, d - b)), np.minimum(far[:, node], d + b)
+                near[:, outer], far[:, outer] = np.maximum(near[:, node], np.maximum(c - d, d - e)), np.minimum(far[:, node], d + e)
+        return near[:, self.leaves], far[:, self.leaves]
+
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, own_labels: np.ndarray, same: bool, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids), each (queries, windows, k): for each window (``low`` to ``high``, both in; low above high is none) the rows of the highest scores, ties by smaller id; -FAR fills.
+
+        Rows are of the query's label, without its own id, or of others. All queries walk
+        together, each to its next nearest leaf; a leaf scores those that have come to it.
+        """
+        m, windows = low.shape
+        q = queries.astype(self.v.dtype)
+        size = (queries.astype(float) ** 2).sum(axis=1) + self.most
         slack = 1 + 1e-7 * size  # above what roots and differences round
-        to_centre = np.sqrt(np.maximum(size - 2 * (self.centres @ query.astype(float)), 0))
-        found: list[list[tuple[int, int]]] = [[] for _ in low]
+        near, far = self.bounds(queries, size)
+        top, bottom = (size[:, None] - near**2) / 2 + slack[:, None], (size[:, None] - far**2) / 2 - slack[:, None]
+        order = np.argsort(near, axis=1, kind="stable")
         least = np.where(low <= high, low, FAR)  # what a row must score to be of use to a window
-        far = float("inf")
-        heap = [(0.0, 0, far)]  # least distance, node, greatest distance
-        while heap:
-            near, node, most = heapq.heappop(heap)
-            top, bottom = (size - near * near) / 2 + slack, (size - most * most) / 2 - slack
-            kinds = self.kinds[node]
-            if kinds is not None and (label not in kinds if same else kinds == {label}):
-                continue
-            of_use = (least <= top) & (high >= bottom)
-            if not of_use.any():
-                if top < least.min():
-                    break  # all that is left is farther
+        score, ids = np.full((m, windows, k), -FAR, np.int64), np.full((m, windows, k), FAR, np.int64)
+        walking = np.arange(m)
+        for step in range(len(self.leaves)):
+            walking = walking[top[walking, order[walking, step]] >= least[walking].min(axis=1)]  # else all that is left is farther
+            if not len(walking):
+                break
+            at = order[walking, step]
+            of_use = ((least[walking] <= top[walking, at][:, None]) & (high[walking] >= bottom[walking, at][:, None])).any(axis=1)
+            come, at = walking[of_use], at[of_use]
+            by = np.argsort(at, kind="stable")
+            leaf, first = np.unique(at[by], return_index=True)
+            for node, who in zip(self.leaves[leaf].tolist(), np.split(come[by], first[1:]), strict=True):
+                kinds = self.kinds[node]
+                if kinds is not None:
+                    has = np.isin(own_labels[who], list(kinds))
+                    who = who[has] if same else who[~has] if len(kinds) == 1 else who
+                if len(who):
+                    self._score(node, who, q, own_ids, own_labels, same, least, high, score, ids)
+        return score, ids
+
+    def _score(self, node, who, q, own_ids, own_labels, same, least, high, score, ids) -> None:
+        """The rows of a leaf for the queries ``who``: ``score``, ``ids`` and ``least`` take what is better."""
+        a, b = self.span[node]
+        k = score.shape[2]
+        s = (q[who] @ self.v[a:b].T).astype(np.int64)
+        equal = self.labels[a:b] == own_labels[who][:, None]
+        s[~(equal & (self.ids[a:b] != own_ids[who][:, None])) if same else equal] = -FAR
+        for w in range(score.shape[1]):
+            fits = np.where((s >= least[who, w][:, None]) & (s <= high[who, w][:, None]), s, -FAR)
+            hit = np.flatnonzero(fits.max(axis=1) > -FAR)
+            if not len(hit):
                 continue
-            inner, outer = self.child[node]
-            if inner >= 0:
-                d, (a, b, c, e) = to_centre[node], self.near[node]
-                heapq.heappush(heap, (max(near, a - d, d - b), inner, min(most, d + b)))
-                heapq.heappush(heap, (max(near, c - d, d - e), outer, min(most, d + e)))
-                continue
-            a, b = self.span[node]
-            score = self.v[a:b] @ q
-            good = ((self.labels[a:b] == label) & (self.ids[a:b] != own_id)) if same else self.labels[a:b] != label
-            for w in np.flatnonzero(of_use):
-                at = np.flatnonzero(good & (score >= least[w]) & (score <= high[w]))
-                if not len(at):
-                    continue
-                best = found[w] + [(int(score[i]), int(self.ids[a + i])) for i in at.tolist()]
-                best.sort(key=lambda x: (-x[0], x[1]))
-                found[w] = best[:k]
-                if len(best) >= k:
-                    least[w] = found[w][-1][0]
-        return found
+            fits, mine = fits[hit], who[hit]
+            row, new = np.arange(len(hit)), [[], []]
+            for _ in range(min(k, b - a)):
+                best = fits.argmax(axis=1)
+                new[0].append(fits[row, best])
+                new[1].append(np.where(fits[row, best] > -FAR, self.ids[a + best], FAR))
+                fits[row, best] = -FAR
+            both, of = (np.concatenate([old[mine, w], np.stack(x, axis=1)], axis=1) for old, x in zip((score, ids), new, strict=True))
+            best = np.lexsort((of, -both), axis=1)[:, :k]
+            score[mine, w], ids[mine, w] = np.take_along_axis(both, best, axis=1), np.take_along_axis(of, best, axis=1)
+            least[mine, w] = np.maximum(least[mine, w], score[mine, w, -1])
 
 
 def scored_rows(vectors: DataFrame, vec_id: str, embedding: str, label: Column, scale: int) -> DataFrame:
@@ -164,10 +194,11 @@ def mine(
         return Tree(t["vec_id"].to_numpy(), t["label"].to_numpy(), lists(t["v"], "int64"), t["most"][0].as_py())
 
     def ask_same(tree: Tree, q: pa.Table) -> pa.RecordBatch:
-        out, no = [], np.array([-FAR])
-        for key, own, kind, v in zip(q["anchor"].to_pylist(), q["vec_id"].to_pylist(), q["label"].to_pylist(), lists(q["v"], "int64"), strict=True):
-            out += [(key, i, s) for s, i in tree.search(v, own, kind, True, no, -no, positives)[0]]
-        return _batch(out, ("anchor", "positive_id", "score"))
+        m = len(q)
+        whole = np.full((m, 1), FAR)
+        s, ids = tree.search(lists(q["v"], "int64"), q["vec_id"].to_numpy(), q["label"].to_numpy(), True, -whole + 1, whole, positives)
+        which, _, nth = np.nonzero(s > -FAR)
+        return pa.record_batch([pa.array(q["anchor"].to_numpy()[which]), pa.array(ids[which, 0, nth]), pa.array(s[which, 0, nth])], names=["anchor", "positive_id", "score"])
 
     same = meet(points, asked.select(everywhere, "anchor", "vec_id", "label", "v"), shards, prepare, ask_same, "anchor long, positive_id long, score long")
     order = Window.partitionBy("anchor").orderBy(F.desc("score"), "positive_id")
@@ -177,13 +208,15 @@ def mine(
     a, b = window
 
     def ask_others(tree: Tree, q: pa.Table) -> pa.RecordBatch:
-        out = []
-        columns = (q[c].to_pylist() for c in ("anchor", "vec_id", "label", "ids", "scores"))
-        for key, own, kind, ids, scores, v in zip(*columns, lists(q["v"], "int64"), strict=True):
-            low, high = np.array([-(-a * s // 100) for s in scores]), np.array([b * s // 100 for s in scores])
-            found = tree.search(v, own, kind, False, low, high, negatives)
-            out += [(key, own, nth, p, s, i, n) for nth, (p, s, rows_) in enumerate(zip(ids, scores, found, strict=True)) for n, i in rows_]
-        return _batch(out, ("anchor", "anchor_id", "nth", "positive_id", "positive_score", "negative_id", "negative_score"))
+        held = q["scores"].to_pylist()
+        scores = np.array([x + [0] * (positives - len(x)) for x in held], np.int64).reshape(-1, positives)
+        real = np.arange(positives) < np.array([len(x) for x in held])[:, None]
+        low, high = np.where(real, -(-a * scores // 100), FAR), np.where(real, b * scores // 100, -FAR)
+        s, ids = tree.search(lists(q["v"], "int64"), q["vec_id"].to_numpy(), q["label"].to_numpy(), False, low, high, negatives)
+        which, w, nth = np.nonzero(s > -FAR)
+        of = np.array([x + [0] * (positives - len(x)) for x in q["ids"].to_pylist()], np.int64).reshape(-1, positives)
+        columns = (q["anchor"].to_numpy()[which], q["vec_id"].to_numpy()[which], w, of[which, w], scores[which, w], ids[which, w, nth], s[which, w, nth])
+        return pa.record_batch([pa.array(c) for c in columns], names=["anchor", "anchor_id", "nth", "positive_id", "positive_score", "negative_id", "negative_score"])
 
     kinds = "anchor long, anchor_id long, nth long, positive_id long, positive_score long, negative_id long, negative_score long"
     others = meet(points, with_best.select(everywhere, "anchor", "vec_id", "label", "v", "ids", "scores"), shards, prepare, ask_others, kinds)
@@ -191,7 +224,3 @@ def mine(
     ranked = others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
-
-def _batch(rows: list[tuple[int, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=list(names))

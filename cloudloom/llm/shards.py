@@ -37,6 +37,16 @@ def shards_of(spark: SparkSession, rows: int, row_bytes: int, shard_rows: int |
     return max(1, by_memory, min(spark.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS)))
 
 
+def _dealt(rows: DataFrame, shards: int, most: int = 2000) -> DataFrame:
+    """``rows`` with each shard in a partition of its own; beyond ``most`` shards, in one of four times as many partitions by hash."""
+    if shards > most:
+        return rows.repartition(4 * shards, "shard")
+    slot = F.pmod(F.hash("id"), F.lit(shards))  # numbers that Spark deals to each partition
+    found = {r.slot: r.id for r in rows.sparkSession.range(32 * shards).groupBy(slot.alias("slot")).agg(F.min("id").alias("id")).collect()}
+    keys = [found.get(s, s) for s in range(shards)]
+    return rows.withColumn("key", F.element_at(F.array(*(F.lit(k).cast("long") for k in keys)), F.col("shard") + 1)).repartition(shards, "key").drop("key")
+
+
 def meet(points: DataFrame, queries: DataFrame, shards: int, prepare: Callable[[pa.Table], Any], ask: Callable[[Any, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
     """What ``ask(prepare(rows of a shard), some queries)`` gives for each row of ``queries`` and its shard; both tables have ``shard``, 0 to ``shards`` - 1. Queries of a shard without rows give nothing."""
     p, q = (F.struct(*(c for c in df.columns if c != "shard")) for df in (points, queries))
@@ -45,8 +55,7 @@ def meet(points: DataFrame, queries: DataFrame, shards: int, prepare: Callable[[
     both = left.select("shard", F.lit(0).alias("kind"), "p", F.lit(None).cast(kind(right, "q")).alias("q")).unionByName(
         right.select("shard", F.lit(1).alias("kind"), F.lit(None).cast(kind(left, "p")).alias("p"), "q")
     )
-    # more partitions than shards, so that few of them hold two
-    dealt = both.repartition(4 * shards, "shard").sortWithinPartitions("shard", "kind")
+    dealt = _dealt(both, shards).sortWithinPartitions("shard", "kind")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -96,16 +96,20 @@ def test_tree_leaves_out_what_cannot_hold(spark):
     v = middles[draw.integers(0, 40, 20_000)] + draw.integers(-20, 20, (20_000, 6))
     v[:3000] = v[0]
     ids, labels = np.arange(20_000), draw.integers(0, 3, 20_000)
-    tree = hard_negatives.Tree(ids, labels, v, int((v**2).sum(axis=1).max()))
+    tree = hard_negatives.Tree(ids, labels, v, int((v**2).sum(axis=1).max()), leaf=128)
     scored = []
-    own = tree.v
-    tree.v = type("Counted", (), {"dtype": own.dtype, "__getitem__": lambda self, s: scored.append(s.stop - s.start) or own[s]})()
-    s = v @ v[9000]
-    low, high = np.array([s.max() // 2]), np.array([s.max() * 95 // 100])
-    (got,) = tree.search(v[9000], 9000, int(labels[9000]), False, low, high, 3)
-    good = np.flatnonzero((labels != labels[9000]) & (s >= low) & (s <= high))
-    best = good[np.lexsort((good, -s[good]))[:3]]
-    assert got == [(int(s[i]), int(i)) for i in best] and sum(scored) < 10_000
+    whole = tree._score
+    tree._score = lambda node, who, *rest: scored.append(len(who) * (tree.span[node][1] - tree.span[node][0])) or whole(node, who, *rest)
+    asked = np.array([9000, 100, 100])
+    s = v @ v[asked].T
+    low, high = s.max(axis=0)[:, None] // 2, s.max(axis=0)[:, None] * 95 // 100
+    low[2], high[2] = 5, 4
+    got, found = tree.search(v[asked], asked, labels[asked], False, low, high, 3)
+    for i, a in enumerate(asked[:2]):
+        good = np.flatnonzero((labels != labels[a]) & (s[:, i] >= low[i]) & (s[:, i] <= high[i]))
+        best = good[np.lexsort((good, -s[good, i]))[:3]]
+        assert got[i, 0].tolist() == s[best, i].tolist() and found[i, 0].tolist() == best.tolist()
+    assert (got[2] == -hard_negatives.FAR).all() and sum(scored) < 2 * 10_000
 
 
 def test_shards_follow_memory(spark):
@@ -113,6 +117,12 @@ def test_shards_follow_memory(spark):
     assert shards.shards_of(spark, 6000, 100) == 3 and shards.shards_of(spark, 10**5, 100) == spark.sparkContext.defaultParallelism
 
 
+def test_each_shard_has_a_partition(spark):
+    rows = spark.range(70).select((F.col("id") % 7).cast("int").alias("shard"))
+    parts = shards._dealt(rows, 7).select("shard", F.spark_partition_id().alias("p")).distinct()
+    assert parts.count() == 7 == parts.select("p").distinct().count()
+
+
 class PlainMarkov:
     def __init__(self, urls):
         self.seen = defaultdict(Counter)
