@@ -88,8 +88,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def dbscan(points: DataFrame, eps: float, min_points: int, pid: str = "pid") -> DataFrame:
-    """(pid, cluster_id): density clusters, null for noise.
+def dbscan(points: DataFrame, eps: float, min_points: int, pid: str = "pid", within: str | None = None) -> DataFrame:
+    """(pid, cluster_id): density clusters, null for noise; ``within`` names a column whose values keep to themselves.
 
     A core point has at least ``min_points`` within ``eps``, itself with them. Clusters
     are components of core points; a border point joins the least component in reach. A
@@ -98,7 +98,11 @@ def dbscan(points: DataFrame, eps: float, min_points: int, pid: str = "pid") ->
     """
     from .spatial import pairs_within
 
-    pairs = stored(pairs_within(points, eps, pid), "pairs")
+    pairs = pairs_within(points, eps, pid)
+    if within is not None:
+        side = lambda p: points.select(F.col(pid).alias(p), F.col(within).alias(f"{p}_of"))
+        pairs = pairs.join(side("src"), "src").join(side("dst"), "dst").where("src_of = dst_of")
+    pairs = stored(pairs.select("src", "dst"), "pairs")
     both = pairs.select("src", "dst").unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.groupBy("src").agg((F.count(F.lit(1)) + 1).alias("n"))
     core = points.select(F.col(pid).alias("src")).join(degree, "src", "left").where(F.coalesce("n", F.lit(1)) >= min_points).select("src")

@@ -1,14 +1,15 @@
 """Floors, ceilings, walls, columns and beams.
 
 Planes are peeled off one after another. Each round scores all candidate planes in one
-pass over the points (a conditional count each), so the driver only ever holds a few
-candidate planes and the table of accepted ones.
+pass over the points (a conditional count each), so the driver only ever holds some
+hundred candidate planes and the table of accepted ones.
 """
 
 from __future__ import annotations
 
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import voxel_index
 from ..plans.model import CODE, STRUCTURE
 from . import raster, voxel
+from .quantiles import quantiles
 from .spatial import near
 from .tables import stored
 
@@ -25,14 +27,67 @@ def _offset(plane) -> Column:
     return a * F.col("x") + b * F.col("y") + c * F.col("z") + d
 
 
-def _candidates(sample: np.ndarray, draw, n: int) -> np.ndarray:
-    """Planes (a, b, c, d) through random triples of the sample."""
-    pick = sample[draw.integers(0, len(sample), (n, 3))]
-    normal = np.cross(pick[:, 1] - pick[:, 0], pick[:, 2] - pick[:, 0])
-    size = np.linalg.norm(normal, axis=1)
-    good = size > 1e-9
-    normal = normal[good] / size[good, None]
-    return np.column_stack([normal, -(normal * pick[good, 0]).sum(axis=1)])
+LOCAL_CELL, LOCAL_TRIES, LOCAL_PLANES = 1.0, 24, 10  # a cell's side, the triples tried for each of its planes, and so many planes of it at most
+MERGED = 400  # proposals that are counted over all points
+
+
+def local_planes(xyz: np.ndarray, distance: float, tries: int = LOCAL_TRIES, planes: int = LOCAL_PLANES, seed: int = 0) -> np.ndarray:
+    """(k, 5): planes of one cell's points, (a, b, c, d) and the points that each holds; peeled off one after another.
+
+    Planes go through triples of the points that are left and are laid through the middle
+    of what they hold. Triples are drawn by the number of points alone.
+    """
+    out, left = [], xyz
+    draw = np.random.default_rng(seed)
+    while len(out) < planes and len(left) >= max(12, len(xyz) // 20):
+        pick = left[draw.integers(0, len(left), (tries, 3))]
+        normal = np.cross(pick[:, 1] - pick[:, 0], pick[:, 2] - pick[:, 0])
+        size = np.linalg.norm(normal, axis=1)
+        good = size > 1e-9
+        if not good.any():
+            break
+        normal = normal[good] / size[good, None]
+        near_ = np.abs(left @ normal.T - (normal * pick[good, 0]).sum(axis=1)) <= distance
+        mine = near_[:, near_.sum(axis=0).argmax()]
+        mid = left[mine].mean(axis=0)
+        own = np.linalg.eigh(np.cov((left[mine] - mid).T, bias=True))[1][:, 0] if mine.sum() > 3 else normal[near_.sum(axis=0).argmax()]
+        mine = np.abs((left - mid) @ own) <= distance
+        if mine.sum() < 3:
+            break
+        own = own if own[np.abs(own).argmax()] > 0 else -own
+        out.append((*own, -float(own @ mid), float(mine.sum())))
+        left = left[~mine]
+    return np.array(out).reshape(-1, 5)
+
+
+def merged_planes(votes: np.ndarray, distance: float, most: int = MERGED) -> np.ndarray:
+    """(k, 4): cells' planes that are alike, as one: the mean by votes of each bin of direction and offset, those with the most votes first."""
+    if not len(votes):
+        return np.zeros((0, 4))
+    order = np.lexsort(np.round(votes, 9).T)  # the same sums whatever the order that cells come in
+    votes = votes[order]
+    key = np.column_stack([np.round(votes[:, :3] / 0.05), np.round(votes[:, 3] / max(4 * distance, 0.05))]).astype(np.int64)
+    _, of = np.unique(key, axis=0, return_inverse=True)
+    weight = np.bincount(of.ravel(), votes[:, 4])
+    mean = np.stack([np.bincount(of.ravel(), votes[:, 4] * votes[:, k]) for k in range(4)], axis=1) / weight[:, None]
+    mean /= np.linalg.norm(mean[:, :3], axis=1, keepdims=True)
+    return mean[np.argsort(-weight, kind="stable")[:most]]
+
+
+def proposals(points: DataFrame, distance: float, cell: float = LOCAL_CELL, most: int = MERGED) -> np.ndarray:
+    """(k, 4): planes that cells of all points propose, each cell a group of its own; the bins' votes are added up by Spark, and the ``most`` voted come to the driver."""
+    keys = [F.floor(F.col(c) / cell).alias(f"c{c}_") for c in "xyz"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        xyz = pdf.sort_values(["x", "y", "z"])[["x", "y", "z"]].to_numpy(float)
+        return pd.DataFrame(local_planes(xyz, distance), columns=["a", "b", "c", "d", "n"])
+
+    each = points.select("x", "y", "z", *keys).groupBy(*(f"c{c}_" for c in "xyz")).applyInPandas(run, "a double, b double, c double, d double, n double")
+    each = each.withColumns({"u_": F.round(F.col("a") / 0.05), "v_": F.round(F.col("b") / 0.05), "w_": F.round(F.col("c") / 0.05), "o_": F.round(F.col("d") / max(4 * distance, 0.05))})
+    bins = each.groupBy("u_", "v_", "w_", "o_").agg(F.sum("n").alias("n"), *(F.sum(F.col(c) * F.col("n")).alias(c) for c in "abcd"))
+    top = bins.orderBy(F.desc("n"), "u_", "v_", "w_", "o_").limit(most).toPandas()
+    mean = top[["a", "b", "c", "d"]].to_numpy(float) / top[["n"]].to_numpy(float) if len(top) else np.zeros((0, 4))
+    return mean / np.maximum(np.linalg.norm(mean[:, :3], axis=1, keepdims=True), 1e-12)
 
 
 def _over_all(points: DataFrame, planes: np.ndarray, distance: float, width: int, sums) -> np.ndarray:
@@ -62,66 +117,80 @@ def _moments(xyz: np.ndarray, near_: np.ndarray) -> np.ndarray:
     return near_.T.astype(float) @ np.column_stack([np.ones(len(x)), x, y, z, x * x, x * y, x * z, y * y, y * z, z * z])
 
 
-def best_plane(points: DataFrame, distance: float, sample_rows: int = 20_000, tries: int = 1000, finals: int = 12, seed: int = 0, n: int | None = None) -> tuple[tuple[float, ...], int] | None:
-    """(plane, inliers): the plane with the most points within ``distance``.
+class _Cloud:
+    """Passes over a cloud's points: by Spark, or at once where they are few; the same sums either way."""
 
-    Candidates go through random triples, drawn from ``sample_rows`` rows that a hash of
-    pid takes out of all. Each candidate is counted over all points; the best few are laid
-    through the middle of all points that they hold, and counted over all points again.
-    """
-    n = points.count() if n is None else n
-    if n < 3:
-        return None
-    some = points if n <= sample_rows else points.where(F.pmod(F.xxhash64(F.lit(seed), "pid"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
-    sample = some.select("pid", "x", "y", "z").toPandas().sort_values("pid")[["x", "y", "z"]].to_numpy(float)
-    planes = _candidates(sample, np.random.default_rng(seed), tries)
-    if not len(planes):
-        return None
-    whole = n <= sample_rows  # the sample is the table, and what follows needs no job
-    mid = sample.mean(axis=0)  # moments are taken about it
-
-    def over_all(p: np.ndarray, width: int, sums) -> np.ndarray:
+    def __init__(self, points: DataFrame, distance: float, cell: float, small_rows: int, n: int | None = None) -> None:
+        self.points, self.distance, self.cell = points, distance, cell
+        self.n = points.count() if n is None else n
+        self.sample = points.select("x", "y", "z").toPandas().sort_values(["x", "y", "z"]).to_numpy(float) if self.n <= small_rows else None
+        if self.n:  # moments are taken about the middle
+            self.mid = self.sample.mean(axis=0) if self.sample is not None else np.array([float(v) for v in points.agg(*(F.avg(c) for c in "xyz")).first()])
+
+    def proposals(self) -> np.ndarray:
+        if self.sample is None:
+            return proposals(self.points, self.distance, self.cell)
+        cells = np.floor(self.sample / self.cell).astype(np.int64)
+        order = np.lexsort(cells.T)
+        cuts = np.flatnonzero((np.diff(cells[order], axis=0) != 0).any(axis=1)) + 1
+        parts = [local_planes(self.sample[np.sort(part)], self.distance) for part in np.split(order, cuts)]
+        return merged_planes(np.concatenate([np.zeros((0, 5)), *parts]), self.distance)
+
+    def over_all(self, planes: np.ndarray, width: int, sums) -> np.ndarray:
+        mid = self.mid
         about = lambda xyz, near_: sums(xyz - mid, near_)
-        if not whole:
-            return _over_all(points, p, distance, width, about)
-        out = np.zeros((len(p), width))
-        for at in range(0, len(sample), 2000):
-            part = sample[at : at + 2000]
-            out += about(part, np.abs(part @ p[:, :3].T + p[:, 3]) <= distance)
+        if self.sample is None:
+            return _over_all(self.points, planes, self.distance, width, about)
+        out = np.zeros((len(planes), width))
+        for at in range(0, len(self.sample), 2000):
+            part = self.sample[at : at + 2000]
+            out += about(part, np.abs(part @ planes[:, :3].T + planes[:, 3]) <= self.distance)
         return out
 
-    hits = over_all(planes, 1, _counts)[:, 0]
-    refined = []
-    for m in over_all(planes[np.argsort(-hits, kind="stable")[:finals]], 10, _moments):
-        if m[0] >= 3:
-            centre = m[1:4] / m[0]
-            second = m[[4, 5, 6, 5, 7, 8, 6, 8, 9]].reshape(3, 3) / m[0] - np.outer(centre, centre)
-            normal = np.linalg.eigh(second)[1][:, 0]
-            refined.append((*normal.tolist(), -float(normal @ (centre + mid))))
-    if not refined:
-        return None
-    counts = over_all(np.array(refined), 1, _counts)[:, 0].astype(int).tolist()
-    best = max(range(len(refined)), key=lambda i: (counts[i], -i))
-    plane = np.array(refined[best]) * (1 if max(refined[best][:3], key=abs) > 0 else -1)
-    return tuple(plane.tolist()), int(counts[best])
-
-
-def peel_planes(points: DataFrame, distance: float = 0.02, least: int = 1500, most: int = 60, seed: int = 0) -> tuple[list[dict], DataFrame]:
+    def best(self, planes: np.ndarray, finals: int) -> tuple[tuple[float, ...] | None, int, np.ndarray]:
+        """(plane, points, counts of ``planes``): the best few of ``planes`` are laid through the middle of all points that they hold and counted again."""
+        if not len(planes) or self.n < 3:
+            return None, 0, np.zeros(len(planes))
+        hits = self.over_all(planes, 1, _counts)[:, 0]
+        refined = []
+        for m in self.over_all(planes[np.argsort(-hits, kind="stable")[:finals]], 10, _moments):
+            if m[0] >= 3:
+                centre = m[1:4] / m[0]
+                second = m[[4, 5, 6, 5, 7, 8, 6, 8, 9]].reshape(3, 3) / m[0] - np.outer(centre, centre)
+                normal = np.linalg.eigh(second)[1][:, 0]
+                refined.append((*normal.tolist(), -float(normal @ (centre + self.mid))))
+        if not refined:
+            return None, 0, hits
+        counts = self.over_all(np.array(refined), 1, _counts)[:, 0].astype(int).tolist()
+        at = max(range(len(refined)), key=lambda i: (counts[i], -i))
+        plane = np.array(refined[at]) * (1 if max(refined[at][:3], key=abs) > 0 else -1)
+        return tuple(plane.tolist()), int(counts[at]), hits
+
+
+def peel_planes(points: DataFrame, distance: float = 0.02, least: int = 1500, most: int = 60, cell: float = LOCAL_CELL, small_rows: int = 20_000, finals: int = 12) -> tuple[list[dict], DataFrame]:
     """(planes, what is left): the best plane again and again, its points removed, until the best has under ``least`` points.
 
+    Each cell of the cloud proposes planes of its own points, so a plane is proposed
+    whatever part of the cloud it is; like proposals are merged and counted over all points.
+    Proposals serve as long as they give planes, then those of what is left are asked for.
     A plane is {plane_id, plane, n}; membership is by the first plane within ``distance``.
+    A cloud of at most ``small_rows`` is handled at once, the same way.
     """
-    left, planes, n = points, [], points.count()
-    while len(planes) < most:
-        got = best_plane(left, distance, seed=seed + len(planes), n=n)
-        if got is None or got[1] < least:
-            break
-        planes.append({"plane_id": len(planes), "plane": got[0], "n": got[1]})
-        n -= got[1]
-        left = left.where(F.abs(_offset(got[0])) > distance)
-        if len(planes) % 4 == 0:
-            left = stored(left, "left")
-    return planes, left
+    planes, cloud = [], _Cloud(points, distance, cell, small_rows)
+    asked, fresh = (cloud.proposals() if cloud.n else np.zeros((0, 4))), True
+    while len(planes) < most and cloud.n >= max(least, 3):
+        plane, n, hits = cloud.best(asked, finals)
+        if plane is None or n < least:
+            if fresh:
+                break
+            asked, fresh = cloud.proposals(), True
+            continue
+        planes.append({"plane_id": len(planes), "plane": plane, "n": n})
+        left = cloud.points.where(F.abs(_offset(plane)) > distance)
+        left = stored(left, "left") if len(planes) % 4 == 0 else left
+        cloud = _Cloud(left, distance, cell, small_rows, cloud.n - n)
+        asked, fresh = asked[hits >= least / 4], False  # what holds few of all points holds fewer of the rest
+    return planes, cloud.points
 
 
 def plane_of(planes: list[dict], distance: float) -> Column:
@@ -230,25 +299,36 @@ def residual_planes(accepted: DataFrame) -> DataFrame:
     )
 
 
-def floor_map(points: DataFrame, cell: float = 0.5, gap: float = 0.5, least: int = 30) -> DataFrame:
-    """(level, i, j, z): the lowest floor point of each cell, for levels (split at gaps) with enough points."""
+def _levels(points: DataFrame, gap: float) -> DataFrame:
+    """``points`` with ``level``: heights without a gap are one."""
     # a bin of half a gap holds no gap, so levels follow from the bins' bounds and no window sees a point
     width = F.lit(gap / 2)
     bins = points.groupBy(F.floor(F.col("z") / width).alias("bin_")).agg(F.min("z").alias("low_"), F.max("z").alias("high_"))
     order = Window.orderBy("bin_")
     new = F.coalesce(((F.col("low_") - F.lag("high_").over(order)) > gap).cast("int"), F.lit(0))
     level_of = bins.withColumn("new_", new).withColumn("level", F.sum("new_").over(order)).select("bin_", "level")
-    runs = points.withColumn("bin_", F.floor(F.col("z") / width)).join(level_of, "bin_")
+    return points.withColumn("bin_", F.floor(F.col("z") / width)).join(level_of, "bin_")
+
+
+def floor_map(points: DataFrame, cell: float = 0.5, gap: float = 0.5, least: int = 30) -> DataFrame:
+    """(level, i, j, z): the lowest floor point of each cell, for levels (split at gaps) with enough points."""
+    runs = _levels(points, gap)
     big = runs.groupBy("level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("level")
     return runs.join(big, "level", "left_semi").groupBy("level", voxel_index(F.col("x"), cell).alias("i"), voxel_index(F.col("y"), cell).alias("j")).agg(F.min("z").alias("z"))
 
 
-def floor_map_levels(points: DataFrame, bin_size: float = 0.05, gap: float = 0.5) -> DataFrame:
-    """(level, low, high): levels of heights from a histogram, so that no window holds the points."""
-    bins = points.groupBy(F.floor(F.col("z") / bin_size).alias("bin_")).agg(F.min("z").alias("low"), F.max("z").alias("high"), F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("bin_")
-    new = F.coalesce(((F.col("low") - F.lag("high").over(order)) > gap).cast("int"), F.lit(0))
-    return bins.withColumn("new_", new).withColumn("level", F.sum("new_").over(order)).groupBy("level").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+def fill_map(floors: DataFrame, asked: DataFrame, cell: float = 0.5, radius: float = 8.0) -> DataFrame:
+    """(level, i, j, z) of the ``asked`` cells: for each level of a :func:`floor_map` the nearest observed floor within ``radius``."""
+    levels = F.broadcast(floors.select("level").distinct())  # levels of a building
+    wanted = asked.select("i", "j").distinct().join(levels, F.lit(True))
+    return raster.fill_from_nearest(floors, wanted, "z", cell, radius, ["level"])
+
+
+def level_medians(points: DataFrame, gap: float = 0.5, least: int = 30) -> DataFrame:
+    """(level, n, low, z): the levels of a :func:`floor_map` with their points' number, least and median height."""
+    runs = _levels(points, gap)
+    about = runs.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low")).where(F.col("n") >= least)
+    return about.join(quantiles(runs, ["level"], "z", (0.5,)), "level").select("level", "n", "low", F.get("q", F.lit(0)).alias("z"))
 
 
 def floor_at(points: DataFrame, floors: DataFrame, cell: float = 0.5) -> DataFrame:
@@ -305,21 +385,21 @@ def protrusions(ceiling: DataFrame, t: dict = STRUCTURE, cell: float = 0.15) ->
     return out if 0 < n < 0.4 * every else out.limit(0)
 
 
-def extract_structure(points: DataFrame, t: dict = STRUCTURE, seed: int = 0) -> tuple[DataFrame, DataFrame, float, float]:
+def extract_structure(points: DataFrame, t: dict = STRUCTURE, voxel_size: float = 0.03) -> tuple[DataFrame, DataFrame, float, float]:
     """(points with label, accepted components, floor, ceiling): R21 as a composition.
 
     Points (pid, x, y, z, label, ...) of accepted horizontal components become PAVIMENTO
     or SOFFITTO by the evidence above and below, those of walls PARETE, then columns and
-    beams. Protrusions of the ceiling go back to the pool.
+    beams. Protrusions of the ceiling go back to the pool. A plane needs as many points as
+    its least area has voxels, and ``plane_points`` at least, whatever the cloud's size.
     """
-    n = points.count()
-    least = max(t["plane_points"] if n > 40 * t["plane_points"] else max(50, n // 100), 50)
-    planes, _ = peel_planes(points, t["plane_distance"], least, t["planes"], seed)
+    least = max(t["plane_points"], int(t["horizontal_area"] / max(voxel_size, 0.005) ** 2))
+    planes, _ = peel_planes(points, t["plane_distance"], least, t["planes"], t["plane_cell"])
     span = points.agg(F.percentile_approx("z", F.lit(0.005), F.lit(20_000)).alias("a"), F.percentile_approx("z", F.lit(0.995), F.lit(20_000)).alias("b")).first()  # a sketch: no task holds all heights
     if not planes:
         return points, None, float(span.a or 0.0), float(span.b or 0.0)
     parts = stored(plane_components(points, planes, t), "parts")
-    ok = stored(accept_components(parts, planes, span.a, span.b, t, max(20, least // 8)), "accepted")
+    ok = stored(accept_components(parts, planes, span.a, span.b, t, t["part_points"]), "accepted")
     flats = ok.where("kind = 'horizontal'").select((F.col("plane_id") * F.lit(1 << 32) + F.pmod(F.xxhash64("part"), F.lit(1 << 31))).alias("plane_id"), "z", "x0", "x1", "y0", "y1", F.col("plane_id").alias("of"), "part")
     kinds = horizontal_kind(points, flats.drop("of", "part"), middle=(span.a + span.b) / 2)
     typed = stored(flats.join(kinds, "plane_id").select(F.col("of").alias("plane_id"), "part", F.col("kind").alias("sort"), "z"), "typed")

@@ -55,7 +55,7 @@ RULES: dict[str, Any] = {
 # Thresholds of the other stages.
 PREPROCESS = {"voxel": 0.03, "neighbours": 16, "std": 2.5}
 STRUCTURE = {
-    "floor_cell": 0.5, "fill_radius": 8.0, "level_gap": 0.5, "below_floor": 0.20, "plane_distance": 0.02, "plane_points": 1500, "planes": 60,
+    "floor_cell": 0.5, "fill_radius": 8.0, "level_gap": 0.5, "below_floor": 0.20, "plane_distance": 0.02, "plane_points": 1500, "part_points": 200, "planes": 60, "plane_cell": 1.0,
     "horizontal_side": 1.5, "horizontal_area": 2.0, "wall_height": 1.8, "wall_area": 3.0, "wall_share": 0.75, "meet": 0.6,
     "component_cell": 0.30, "column_cell": 0.15, "column_coverage": 0.85, "column_min": 0.2, "column_max": 1.2, "column_elongation": 2.5,
     "beam_cell": 0.15, "beam_min": 0.3, "beam_max": 1.0, "beam_length": 1.2, "beam_elongation": 2.5, "beam_depth": 0.6,

@@ -6,6 +6,7 @@ the embeddings), ``lattice`` (whole numbers out of lineitem) and ``track`` (even
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -315,16 +316,25 @@ def raster_fill(spark, sf):
     return raster.fill_from_nearest(known, cells.select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")), "v", 1.0, 3.0)
 
 
-@query(f"""with recursive {_CELLS_SQL}, box as (select min(i) - 2 as i0, max(i) + 2 as i1, min(j) - 2 as j0, max(j) + 2 as j1 from cells),
-grid as (select i, unnest(range(j0, j1 + 1)) as j, i0, i1, j0, j1 from (select *, unnest(range(i0, i1 + 1)) as i from box)),
-wide as (select distinct i + x as i, j + y as j from cells, (values (-1), (0), (1)) p(x), (values (-1), (0), (1)) q(y)),
-closed as (select i, j from (select i + x as i, j + y as j from wide, (values (-1), (0), (1)) p(x), (values (-1), (0), (1)) q(y)) group by i, j having count(*) = 9),
-open_ as (select * from grid anti join closed using (i, j)),
-outside as (select i, j from open_ where i in (i0, i1) or j in (j0, j1) union select o.i, o.j from outside join (values (0, 1), (0, -1), (1, 0), (-1, 0)) s(x, y) on true join open_ o on o.i = outside.i + x and o.j = outside.j + y)
-select 0::int as level, i, j from grid anti join outside using (i, j) anti join cells using (i, j)""")
+@query(f"""with recursive {_CELLS_SQL}, c as (select i, j, (i + 100000) // 40 as level from cells), box as (select level, min(i) - 2 as i0, max(i) + 2 as i1, min(j) - 2 as j0, max(j) + 2 as j1 from c group by level),
+grid as (select level, i, unnest(range(j0, j1 + 1)) as j, i0, i1, j0, j1 from (select *, unnest(range(i0, i1 + 1)) as i from box)),
+wide as (select distinct level, i + x as i, j + y as j from c, (values (-1), (0), (1)) p(x), (values (-1), (0), (1)) q(y)),
+closed as (select level, i, j from (select level, i + x as i, j + y as j from wide, (values (-1), (0), (1)) p(x), (values (-1), (0), (1)) q(y)) group by all having count(*) = 9),
+open_ as (select * from grid anti join closed using (level, i, j)),
+outside as (select level, i, j from open_ where i in (i0, i1) or j in (j0, j1) union select o.level, o.i, o.j from outside join (values (0, 1), (0, -1), (1, 0), (-1, 0)) s(x, y) on true join open_ o on o.level = outside.level and o.i = outside.i + x and o.j = outside.j + y)
+select level, i, j from grid anti join outside using (level, i, j) anti join c using (level, i, j)""")
 def raster_holes(spark, sf):
-    """M1: enclosed empty cells, a level each."""
-    return raster.holes(_cells(spark, sf).withColumn("level", F.lit(0)), "level")
+    """M1: enclosed empty cells of each level's raster (levels are stretches of the rows)."""
+    return raster.holes(_cells(spark, sf).withColumn("level", F.floor((F.col("i") + 100_000) / 40)), "level")
+
+
+@query(f"""with {_CELLS_SQL}, k as (select l_partkey as i, l_suppkey as j, min(l_linenumber) as v from lineitem where l_quantity >= 49 group by all),
+m as (select w.i, w.j, arg_min(k.v, ((k.i - w.i) ** 2 + (k.j - w.j) ** 2, k.i, k.j)) as v, min((k.i - w.i) ** 2 + (k.j - w.j) ** 2)::bigint as d2 from cells w, k group by w.i, w.j)
+select i, j, v, d2 from m""")
+def raster_distance(spark, sf):
+    """M6: the value and distance of the nearest of the cells that hold a large quantity, however far."""
+    large = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_linenumber").alias("v"))
+    return raster.nearest_cell(large, _cells(spark, sf), "v")
 
 
 # --- features ---------------------------------------------------------------------
@@ -543,7 +553,11 @@ def rule_cascade(spark, sf):
     return rules.classify(feature_rows(spark, sf)).select("id", "label")
 
 
-@query()
+# the first arms of the cascade stay, those of lights and sprinklers go, and small clusters are generic
+_EXCLUDED_SQL = re.sub(r"when n >= \d+ and (?:(?!when ).)*?then [56](?= |\n)", "", SQL["rule_cascade"]).replace("(case when density < 0.05 and volume", "(case when n < 100 then 9 when density < 0.05 and volume")
+
+
+@query(_EXCLUDED_SQL)
 def rule_cascade_excluded(spark, sf):
     """The cascade without some classes."""
     return rules.classify(feature_rows(spark, sf), excluded=["luce", "Sprinkler"], least_points=100).select("id", "label")
@@ -876,11 +890,17 @@ def voxel_keys(spark, sf):
 # --- structure and clusters -------------------------------------------------------
 
 
-@query()
+@query(f"""with {LATTICE_SQL}, p as (select z, count(*) as n from lattice group by z having count(*) >= 1000)
+select (row_number() over (order by n desc, z) - 1)::int as plane_id, n, z from p""")
 def plane_peel(spark, sf):
-    """Planes peeled off; rows only (random candidates)."""
-    planes, _ = __import__("cloudloom.operators.structure", fromlist=["x"]).peel_planes(lattice(spark, sf).withColumn("pid", F.monotonically_increasing_id()).select(F.xxhash64("x", "y", "z", "line").alias("pid"), "x", "y", "z"), 0.25, 3000)
-    return spark.createDataFrame([(p["plane_id"], list(p["plane"]), p["n"]) for p in planes] or [(None, None, None)], "plane_id int, plane array<double>, n long").where("plane_id is not null")
+    """Planes peeled off, largest first, with the points that each takes: here the levels of a lattice."""
+    from ..operators import structure
+
+    points = lattice(spark, sf).select("x", "y", "z")
+    planes, _ = structure.peel_planes(points, 0.25, 1000, cell=8.0)
+    held = points.withColumn("plane_id", structure.plane_of(planes, 0.25)).where("plane_id is not null")
+    return held.groupBy("plane_id").agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("z"))
+
 
 
 @query(f"""with {_TRACK_SQL}, j as (select *, coalesce((z - lag(z) over (order by z) > 0.2)::int, 0) as jump from track), l as (select *, sum(jump) over (order by z range between unbounded preceding and current row) as level from j),
@@ -913,13 +933,15 @@ def column_detection(spark, sf):
     return structure.columns(lattice(spark, sf), t=t)
 
 
-@query()
+@query(f"""with roof as (select l_orderkey * 8 + l_linenumber as pid, floor(l_quantity)::bigint as i, floor(l_extendedprice / 1000)::bigint as j, case when floor(l_extendedprice / 1000) = 2 * l_quantity then 2.5::double else 3.0::double end as z from lineitem),
+c as (select i, j, avg(z) as m from roof group by i, j), low as (select c.i, c.j from c join c d on abs(c.i - d.i) <= 1 and abs(c.j - d.j) <= 1 group by c.i, c.j, c.m having max(d.m) - c.m >= 0.03)
+select pid from roof join low using (i, j)""")
 def ceiling_protrusions(spark, sf):
-    """M9, M4: what hangs below the local height."""
+    """M9, M4: what hangs below the local height: single cells along a diagonal, no two of which touch."""
     from ..operators import structure
 
-    points = lattice(spark, sf).select(F.xxhash64("x", "y", "z", "line", "grp").alias("pid"), "x", "y", (F.col("z") / 10 + F.when(F.col("x") % 7 == 0, -0.5).otherwise(0.0)).alias("z"))
-    return structure.protrusions(points, cell=1.0)
+    at = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pid"), F.col("l_quantity").alias("x"), F.floor(F.col("l_extendedprice") / 1000).cast("double").alias("y"))
+    return structure.protrusions(at.withColumn("z", F.when(F.col("y") == 2 * F.col("x"), 2.5).otherwise(3.0)), cell=1.0)
 
 
 @query()
@@ -1078,14 +1100,12 @@ def event_windows(spark, sf):
     return e.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query()
+@query(f"with {LATTICE_SQL} select (case when z < 5 then 11 else 12 end)::smallint as label, count(*) as n from (select distinct x, y, z from lattice) group by 1")
 def room_structure(spark, sf):
-    """Floor, ceiling and walls of a synthetic room."""
+    """Floors and ceilings of a lattice of levels, typed by the middle height where evidence is even."""
     from ..operators import structure
-    from ..plans.model import STRUCTURE
-    from . import scene
 
-    points = voxel.voxel_downsample(scene.room_points(spark, structure_step=0.12, object_step=0.06), 0.1).withColumnRenamed("rid", "pid")
-    points = points.join(features.local_normals(points, 0.25), "pid").withColumn("label", F.lit(CODE["MEP_GENERICO"]).cast("smallint"))
-    out, _, _, _ = structure.extract_structure(points, STRUCTURE)
+    t = structure.STRUCTURE | {"plane_distance": 0.25, "plane_points": 300, "component_cell": 10.0, "plane_cell": 8.0, "bump_min": 9.0}
+    points = lattice(spark, sf).select("x", "y", "z").distinct().withColumn("pid", ((F.col("x") * 10_000 + F.col("y")) * 100 + F.col("z")).cast("long"))
+    out, _, _, _ = structure.extract_structure(points.withColumn("label", F.lit(CODE["MEP_GENERICO"]).cast("smallint")), t, 1.0)
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -246,3 +246,17 @@ def test_chains_of_any_direction_equal_all_pairs(spark):
     pairs = [tuple(r) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == want and (0, 1) in want and len(want) > 50
     assert context.chain_pairs(spark.createDataFrame([], "instance_id long, centre array<double>, axis_ array<double>, length_ double, section_ double")).count() == 0
+
+
+def test_a_small_plane_of_a_large_cloud_is_found(spark):
+    """A plane with one point in two hundred is proposed by its own cells, by jobs and at once alike."""
+    draw = np.random.default_rng(9)
+    floor = np.column_stack([draw.random((25_000, 2)) * (40, 10), draw.normal(0, 0.002, 25_000)])
+    noise = draw.random((25_000, 3)) * (40, 10, 6) + (0, 0, 0.5)
+    small = np.column_stack([draw.random((300, 2)) * (1.5, 1.0) + (33.2, 4.1), draw.normal(3.0, 0.002, 300)])
+    points = spark.createDataFrame(pd.DataFrame(np.concatenate([floor, noise, small]), columns=list("xyz")))
+    for small_rows in (0, 100_000):
+        planes, left = structure.peel_planes(points, 0.02, 250, 2, small_rows=small_rows)
+        at = [np.abs(np.array([33.95, 4.6, z, 1.0]) @ p["plane"]) for z, p in zip((0.0, 3.0), planes, strict=True)]
+        assert max(at) < 0.02 and planes[1]["n"] >= 300
+        assert left.count() == 50_300 - sum(p["n"] for p in planes)
