@@ -95,6 +95,15 @@ def fuse(points: DataFrame, other: str = "dl_label") -> DataFrame:
     return points.withColumn("label", F.when(generic & F.col(other).isNotNull(), F.col(other)).otherwise(F.col("label")).cast("smallint"))
 
 
+def fuse_labels(points: DataFrame, labels: DataFrame, pid: str = "pid", other: str = "dl_label") -> DataFrame:
+    """:func:`fuse` of two labellings of the same points; a point that only one of them has is an error."""
+    side = labels.select(F.col(pid).alias("pid_"), F.col(other).alias(other), F.lit(True).alias("there_"))
+    met = points.withColumn("here_", F.lit(True)).join(side, F.col(pid) == F.col("pid_"), "full")
+    both = F.col("here_").isNotNull() & F.col("there_").isNotNull()
+    checked = F.when(both, F.col("label")).otherwise(F.raise_error(F.lit("the two labellings are not of the same points")).cast("smallint"))
+    return fuse(met.withColumn("label", checked), other).select(*points.columns)
+
+
 def confidence(label: Column) -> Column:
     """0 for labels that say little, else 1."""
     return F.when(label.isin(*UNCERTAIN), 0).otherwise(1).cast("smallint")

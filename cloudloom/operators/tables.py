@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a folder in the warehouse."""
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse. A machine's own folder is an error on a cluster."""
     sc = spark.sparkContext
     held = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if held:
         return held.rstrip("/")
-    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    sc.setCheckpointDir(own)
+    own = qualified(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
+    if own.startswith("file:") and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return own
 
 

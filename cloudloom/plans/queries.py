@@ -861,6 +861,17 @@ def augmented_blocks(spark, sf):
     return dataset.augment(cloud(spark, sf).withColumn("block", F.col("label")))
 
 
+@query(f"""with {CLOUD_SQL}, b as (select label, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, min(z) as z0, max(z) as z1 from cloud where z > 0 group by label)
+select b.label as instance_id, c.pid from b join cloud c on c.x between x0 - 0.1 and x1 + 0.1 and c.y between y0 - 0.1 and y1 + 0.1 and c.z between z0 - 0.1 and z1 + 0.1""")
+def local_context(spark, sf):
+    """The points around each instance's box."""
+    from ..operators import inference
+
+    points = cloud(spark, sf)
+    boxes = points.where("z > 0").groupBy(F.col("label").alias("instance_id")).agg(*(f(c).alias(f"{c}{e}") for c in "xyz" for e, f in ((0, F.min), (1, F.max))))
+    return inference.local_context(points, boxes, margin=0.1).select("instance_id", "pid")
+
+
 # --- text -------------------------------------------------------------------------
 
 _WORDS = [("the", "article"), ("der", "german"), ("que", "spanish"), ("et", "french")]
