@@ -57,6 +57,8 @@ def key_of(path: str) -> int:
 def header(path: str) -> tuple[str, Any, int]:
     """(kind, layout, rows): a :class:`formats.Layout`, a LAS header or a list of scans, from the file's header alone."""
     kind = path.rpartition(".")[2].lower()
+    if kind not in ("ply", "pcd", "las", "e57"):
+        raise ValueError(f"{path}: no records of a known kind")
     with open_file(path) as f:
         if kind == "e57":
             scans = e57.scans(e57.Pages(f))

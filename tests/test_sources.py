@@ -167,10 +167,13 @@ def test_dataset_status_and_meta(spark, tmp_path):
 def test_command_line_rejects_what_it_cannot_do(capsys):
     from cloudloom.__main__ import main, parser
 
-    for wrong in (["a.ply", "o", "--save-model", "1:x"], ["a.ply", "o", "--models", "m", "--save-model", "x"], ["a.ply", "o", "--preset", "moon"], ["a.ply", "o", "--exclude", "muro"], ["a.ply"]):
+    for wrong in (["a.ply", "o", "--save-model", "1:x"], ["a.ply", "o", "--models", "m", "--save-model", "x"], ["a.ply", "o", "--preset", "moon"], ["a.ply", "o", "--exclude", "muro"], ["a.ply"], ["a.ply", "o", "--bbox", "0,0,1"], ["a.ply", "o", "--bbox", "0,0,0,1,1,x"], ["a.ply", "o", "--margin", "1"]):
         with pytest.raises(SystemExit):
             main(wrong)
-    capsys.readouterr()
+    with pytest.raises(SystemExit) as end:
+        main(["--check"])
+    assert end.value.code == 0 and "pyarrow: " in capsys.readouterr().out
+    assert parser().parse_args(["a.ply", "o", "--bbox", "0,0,0,1,2,3", "--margin", "0.5"]).bbox == (0, 0, 0, 1, 2, 3)
     assert parser().parse_args(["a.ply", "o", "--preset", "data_center"]).preset == "data_center"
 
 
