@@ -36,7 +36,7 @@ class Tree:
     def __init__(self, ids: np.ndarray, labels: np.ndarray, v: np.ndarray, most: int, leaf: int = LEAF) -> None:
         self.most = float(most)
         wide = (v.astype(float) ** 2).sum(axis=1)
-        self.exact = max(float(np.abs(v).max(initial=0)) ** 2 * v.shape[1], wide.max(initial=0)) < EXACT
+        self.exact = self.most < EXACT  # no sum of products of two vectors is larger
         points = np.column_stack([v.astype(float), np.sqrt(np.maximum(self.most - wide, 0))])
         order = np.lexsort((labels, ids))
         draw = np.random.default_rng(42)

@@ -16,6 +16,7 @@ def vectors(draw, n, width=8):
     v = draw.normal(size=(n, width))
     v[n // 2 : n // 2 + 40] = v[0]  # a group of copies
     v[5], v[6], v[7] = 0, 1e30, -1e30
+    v[50] *= 1e6
     rows = [(i, x.tolist(), int(draw.integers(0, 4))) for i, x in enumerate(v)]
     return rows + [rows[3], rows[3], (3, rows[9][1], 1), (None, rows[4][1], 2), (n + 1, rows[4][1], None)] + [(1000 + i, x, 1) for x, i in BAD]
 
