@@ -33,7 +33,8 @@ SAMPLE_ROWS, LEAST_ROWS = 10_000, 500  # about so many labelled rows are learnt
 SAMPLE_BYTES = 64 << 20  # of text, about, in the sample at most: all languages' rows thin out alike beyond
 ORDERS = (4, 3, 2, 1)
 REMEMBERED = 20_000_000  # numbers, a word's language each, that a worker remembers at most, of 100,000 words at most
-HELD = 300_000  # counts that a training task holds before it passes them on
+HELD = 100_000  # counts that a training task holds before it passes them on
+BATCH_BYTES = 1 << 20  # of text that is looked up together
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -180,7 +181,7 @@ def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
             grams.clear()
             return table
 
-        for batch in batches(parts):
+        for batch in batches(parts, most=BATCH_BYTES):
             by_lang: dict[str, Counter[str]] = {}
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = by_lang.setdefault(language, Counter())
@@ -227,7 +228,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_name: str =
     def run(parts):
         release()
         known = held.value
-        for batch in batches(parts, text):
+        for batch in batches(parts, text, BATCH_BYTES):
             got = known.predict_all(batch.column(at).to_pylist())
             yield pa.record_batch([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*batch.schema.names, lang_name, score_name])
 
