@@ -218,25 +218,37 @@ def shingle_hashes(text: bytes, known: _Words, words: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def repeated(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, count) of what ``block`` has ``OFTEN`` times or more. It is sorted in place: an executor's workers have no room for copies of it."""
+    block.sort()
+    at = np.flatnonzero(block[1:] == block[:-1])
+    new = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    times = np.diff(np.append(new, len(at))) + 1
+    often = times >= OFTEN
+    return block[at[new[often]]], times[often]
+
+
 def common_shingles(rows: DataFrame, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, count) of the shingles of ``rows`` (id, t) that most documents have, ascending by hash."""
 
     def count(parts):
         release()
-        known, held, n = _Words(), [], 0
+        known, held, n = _Words(), np.empty(BLOCK, np.uint64), 0
 
         def out():
-            shingle, c = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
-            often = c >= OFTEN
-            return pa.record_batch([pa.array(shingle[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["shingle", "c"])
+            shingle, c = repeated(held[:n])
+            return pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(c.astype(np.int64))], names=["shingle", "c"])
 
         for batch in batches(parts, "t"):
             for t in batch.column(1).to_pylist():
-                held.append(shingle_hashes(t or b"", known, words))
-                n += len(held[-1])
-                if n >= BLOCK:
-                    yield out()
-                    held, n = [], 0
+                h = shingle_hashes(t or b"", known, words)
+                while len(h):
+                    part, h = h[: BLOCK - n], h[BLOCK - n :]
+                    held[n : n + len(part)] = part
+                    n += len(part)
+                    if n == BLOCK:
+                        yield out()
+                        n = 0
         yield out()
 
     blocks = -(-rows.count() // BLOCK_ROWS)  # many small partitions would each see too little of what is common

@@ -154,8 +154,9 @@ def encoder(path: str, added: bool = False) -> Encoder:
 
 
 def release() -> None:
-    """Drop this worker's encoders: workers are used again, and other operators' tasks need the memory."""
+    """Drop this worker's encoders and what Arrow keeps of freed batches: workers are used again, and other operators' tasks need the memory."""
     _encoders.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def batches(rows: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -68,3 +68,27 @@ def test_appended_passages_at_the_bound(spark):
 def test_texts_without_words_are_alike(spark):
     texts = ["a b", None, "", "a  B", " \n", "c"]
     assert kept(spark, texts) == {0, 1, 5}
+
+
+def test_what_repeats_is_counted_in_place():
+    """A block of 3,000,000 hashes, few of them equal, takes little more than itself."""
+    import tracemalloc
+
+    draw = np.random.default_rng(14)
+    block = draw.integers(0, 1 << 62, 3_000_000).astype(np.uint64)
+    block[:5], block[10:13] = 7, 9
+    want = np.unique(block, return_counts=True)
+    tracemalloc.start()
+    value, times = simhash.repeated(block)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < block.nbytes / 4
+    assert value.tolist() == want[0][want[1] > 1].tolist() and times.tolist() == want[1][want[1] > 1].tolist()
+    assert not len(simhash.repeated(np.zeros(0, np.uint64))[0]) and simhash.repeated(np.full(4, 3, np.uint64))[1].tolist() == [4]
+
+
+def test_blocks_may_end_inside_a_text(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    text = " ".join(f"w{i}" for i in range(40))
+    shingle, times = simhash.common_shingles(spark.createDataFrame([(i, text.encode()) for i in range(16)], "id long, t binary").coalesce(1))
+    assert len(shingle) == 36 and (times > 1).all()
