@@ -133,7 +133,9 @@ def links(nodes: DataFrame, wide: int = WIDE) -> DataFrame:
     found = left.join(right, (F.col("key") == F.col("key_b")) & near).select("a", "b")
     if some:
         found = found.union(masked_links(keyed.join(wide_keys, "key", "left_semi").select(F.shiftright("key", 34).alias("segment"), "fp").distinct()))
-    return found.distinct()
+    found = stored(found.distinct(), "links")
+    free(keyed, wide_keys)
+    return found
 
 
 def masked_links(members: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     """
     rows = stored(fingerprints(docs, text, doc_id, words), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = stored(links(nodes, wide), "links")
+    found = links(nodes, wide)
     reach = connected_components(found, "a", "b", small=0).withColumnRenamed("node", "fp")
     degree = found.select(F.col("a").alias("fp")).unionAll(found.select("b")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     of = nodes.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -181,7 +183,11 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
 
 # --- near copies by similarity ----------------------------------------------------
 #
-# Sets of word shingles that are ``similarity`` alike share at least that part of the
+# Documents meet by their SimHash first, as above: those of one fingerprint, and those
+# whose fingerprints the Golay keys link. What so meets is compared by the shingles
+# themselves, since texts of one often repeated passage may have one fingerprint and
+# little else in common. Two bits do not reach every edit, so what is not joined yet goes
+# on to an exact filter. Sets of word shingles that are ``similarity`` alike share at least that part of the
 # larger set. So with all sets in one order of shingles, each pair has a shingle that is
 # among the first n - ceil(similarity * n) + 1 of both (prefix filter): these are a
 # document's keys, and no similar pair is without a common one. The order puts shingles
@@ -299,14 +305,39 @@ def shingle_similarity(a: bytes, b: bytes, words: int = 5) -> float:
     return both / (len(s) + len(t) - both) if s or t else 1.0
 
 
+def fingerprint_pairs(rows: DataFrame, wide: int = WIDE) -> DataFrame:
+    """(a, b) with a < b: enough pairs of ``rows`` (id, t) to link all of one fingerprint and all whose fingerprints differ in at most two bits, as :func:`near_dedup` links them."""
+    prints = stored(fingerprints(rows, "t", "id"), "fingerprints")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    near = links(nodes, wide)
+    same = prints.join(nodes, "fp").where(F.col("doc_id") > F.col("least")).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    of = lambda p: nodes.select(F.col("fp").alias(p), F.col("least").alias(f"least_{p}"))
+    across = near.join(of("a"), "a").join(of("b"), "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    out = stored(same.unionByName(across), "met")
+    free(prints, nodes, near)
+    return out
+
+
+def _tried(least: DataFrame, pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(the similar ones, those compared) of ``pairs`` (a, b): each document first meets its least partner of ``least``; of the other pairs, those that this has joined need no look."""
+    first = stored(least.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    found = _compared(first, rows, words, similarity)
+    rest = stored(_apart(pairs.join(first, ["a", "b"], "left_anti"), connected_components(found, "a", "b", small=0)), "rest")
+    return found.unionByName(_compared(rest, rows, words, similarity)), first.unionByName(rest)
+
+
 def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): pairs of documents whose shingle sets are at least ``similarity`` alike, enough to link each such pair.
 
-    In a bucket every member first meets the least and the greatest member. Then all
+    Documents whose fingerprints link meet first. Of those that this does not join, every
+    member of a bucket of the filter meets the least and the greatest member. Then all
     pairs of members that these links have not joined meet, whatever the bucket's size.
     A document with a null id takes no part.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
+    near = fingerprint_pairs(rows)
+    found, tried = _tried(near, near, rows, words, similarity)
+    joined = connected_components(found, "a", "b", small=0)
     keys = stored(shingle_keys(rows, words, similarity), "keys")
     met = keys.groupBy("key").count().where("count > 1").select("key")
     shared = stored(keys.withColumn("place", F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).select("key", "id", "place").join(met, "key"), "shared")
@@ -321,15 +352,11 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 
     def star(end: str) -> DataFrame:
         centre, member = ended.where(F.col("id") == F.col(end)).select("key", *of("a")), ended.where(F.col("id") != F.col(end)).select("key", *of("b"))
-        return centre.join(member, "key").where(fit).select(*ordered).distinct()
+        return _apart(centre.join(member, "key").where(fit).select(*ordered).distinct(), joined).join(tried, ["a", "b"], "left_anti")
 
     low = stored(star("low"), "low")
-    # each document first meets its least partner; of the other pairs, those that this has joined need no look
-    first = low.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = _compared(first, rows, words, similarity)
-    rest = low.unionByName(star("high")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = stored(_apart(rest, connected_components(found, "a", "b", small=0)), "rest")
-    found = found.unionByName(_compared(rest, rows, words, similarity))
+    more, also = _tried(low, low.unionByName(star("high")).distinct(), rows, words, similarity)
+    found, tried = found.unionByName(more), tried.unionByName(also)
     reach = connected_components(found, "a", "b", small=0).select(F.col("node").alias("id"), "component")
     # buckets that are still in several parts, by part, so that a part is not joined with itself, and by size, since sizes of similar texts differ little
     band = F.floor(F.log("n") / float(-np.log(similarity)) + 1e-9).cast("int").alias("band")
@@ -348,8 +375,8 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     joint = reached.join(member("b"), ["key", "part_b", "band_b"])
     # at a pair's first common key, what follows it must suffice on both sides: most keys that merely happen to be common come too late
     every = joint.where((F.col("a") != F.col("b")) & fit).select(*ordered).distinct()
-    every = stored(every.join(first.unionByName(rest), ["a", "b"], "left_anti"), "every")
-    free(low, rest, parts)
+    every = stored(every.join(tried, ["a", "b"], "left_anti"), "every")
+    free(near, low, parts)
     gc.collect()  # Spark removes the shuffle files of the steps before when the driver's garbage goes
     docs.sparkSession.sparkContext._jvm.System.gc()
     return found.unionByName(_compared(every, rows, words, similarity))

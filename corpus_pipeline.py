@@ -36,7 +36,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts whose five-word shingles are 0.8 alike or more the smallest doc_id stays.
 
-    Groups are what such pairs reach. Rows that share an id stand for themselves, null ids
+    Texts meet by SimHash and Golay keys, then what those do not join by a prefix filter. Groups are what such pairs reach. Rows that share an id stand for themselves, null ids
     come last, null texts and texts without words are alike. Texts are compared whole. An
     empty table gives no rows.
     """

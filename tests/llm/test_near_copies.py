@@ -92,3 +92,29 @@ def test_blocks_may_end_inside_a_text(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(40))
     shingle, times = simhash.common_shingles(spark.createDataFrame([(i, text.encode()) for i in range(16)], "id long, t binary").coalesce(1))
     assert len(shingle) == 36 and (times > 1).all()
+
+
+def test_documents_meet_by_fingerprints_first(spark, monkeypatch):
+    """What op2 links is what near dedup compares first; one repeated passage gives one fingerprint to texts that are not alike, and both stay."""
+    draw = np.random.default_rng(15)
+    words = lambda n: [f"x{i}" for i in draw.integers(0, 1 << 40, n)]
+    texts = []
+    for _ in range(6):
+        a = words(900)
+        texts += [" ".join(a), " ".join([*a[:-1], "end"]), " ".join([*a, *words(150)])]  # at two bits or less, beyond them
+    texts += ["lorem ipsum dolor sit amet " * 2000 + " ".join(words(40)) for _ in range(2)] + [None, "", texts[0].upper()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = []
+    own = simhash.fingerprint_pairs
+
+    def seen(*a):
+        out = own(*a)
+        met.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "fingerprint_pairs", seen)
+    want = left_by_brute_force([t or "" for t in texts])
+    assert {r.doc_id for r in simhash.keep_dissimilar(rows).collect()} == want and {18, 19} <= want
+    reach = {r.node: r.component for r in simhash.connected_components(spark.createDataFrame(met), "a", "b").collect()}
+    assert {r.doc_id: r.component_id for r in simhash.near_dedup(rows).collect()} == {i: reach.get(i, i) for i in range(len(texts))}
+    assert any(reach.get(i + 1) == i for i in range(0, 18, 3)) and reach[19] == 18
