@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -35,9 +36,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_free, stored
-from .tokens import batches, crc_of, encoder
+from .tokens import batches, crc_of, encoder, give_back, release
 
 CAPACITY = 2048
+BATCH_BYTES = 3 << 20  # of text that is encoded together
 ROUNDS, BURN, STEP, ETA = 240, 60, 0.1, 5.0  # pricings at most, those that do not count; coverage a round; how fast weights fall with coverage, over the root of the round
 SLACK, GAP = 0.01, 0.0005  # configurations so close to the highest price are used; the gap at which rounds end
 Config = tuple[int, ...]  # lengths, longest first
@@ -196,30 +198,29 @@ def slots(runs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut into full pieces but the first."""
+def cut(parts: Iterator[pa.RecordBatch], tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> Iterator[pa.RecordBatch]:
+    """The pieces of batches of (doc_id, text); each batch's memory goes back before the next."""
+    enc = encoder(tokenizer, added)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+    for batch in batches(parts, most=BATCH_BYTES):
+        rows = []
+        for doc, got in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            ids = np.append(got, np.uint32(end_id))
+            cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                rows.append((doc, k, a, b - a, crc_of(ids[a:b]), *([ids[a:b].astype(np.int32)] if with_ids else [])))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
+        del rows, columns
+        give_back()
 
-    def run(parts):
-        enc = encoder(tokenizer, added)
-        for batch in batches(parts, most=6 << 20):
-            rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, got in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
-                ids = np.append(got, np.uint32(end_id))
-                cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    rows.append((doc, k, a, b - a, crc_of(ids[a:b]), ids[a:b]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in columns[5]], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.record_batch(arrays, names=names)
 
+def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut into full pieces but the first."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda parts: cut(parts, tokenizer, end_id, capacity, with_ids, added), schema)
 
 
 def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY, bucket_rows: int = 50_000) -> DataFrame:
@@ -246,6 +247,7 @@ def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: in
     keys = table[:, 0] * base + table[:, 1]
 
     def place(parts):
+        release()  # the pieces are stored: no task needs the encoder again
         for batch in parts:
             rank = batch.column(batch.num_columns - 1).to_numpy()
             size = batch.column(batch.schema.get_field_index(length)).to_numpy()

@@ -2,8 +2,8 @@
 
 Encoding. The byte-level pre-tokenizer always cuts before the last white-space character
 of a run, so what lies between such cuts can be encoded alone. A worker keeps the ids of
-the pieces it has met (up to ``CACHE``) and asks the tokenizers library only for the
-others; the ids are the library's own. With ``added``, a text that holds an added token's
+the pre-tokens it has met (up to ``CACHE``), each once, puts longer pieces together from
+them and asks the tokenizers library only for the others; the ids are the library's own. With ``added``, a text that holds an added token's
 content (``<|endoftext|>``) goes to the library whole, which finds it there by default;
 without, such content is encoded as other text is.
 
@@ -16,6 +16,7 @@ and a memory map reads it without a copy. A second file lists the documents' pla
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import zlib
@@ -31,17 +32,20 @@ from pyspark.sql import functions as F
 from ..operators.tables import qualified
 from .common import scratch_path
 
-CACHE = 300_000  # pieces, and pre-tokens, that a worker remembers
+CACHE = 300_000  # pre-tokens that a worker remembers
 SEQUENCE, BATCH = 2048, 64
 FILE_BYTES = 128 << 20  # of text a file
 
 # Fixed value: the byte-level pre-tokenizer's published pattern.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARKS = ".,;:!?|#$%&*"
+SPACE = "\u0120"  # as a byte-level vocabulary writes it
 BEGIN = "\x01"  # before a text's first part; texts that hold it take another way
+LEADS = BEGIN + "\n"
 _PIECE = re.compile(r"\s*\S+|\s+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the pre-tokenizer
 _encoders: dict[tuple[str, bool], Encoder] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # glibc's
 
 
 def _byte_names() -> dict[int, int]:
@@ -57,26 +61,17 @@ class _Pretokens(dict):
         self.model, self.names = model, _byte_names()
 
     def __missing__(self, token: str) -> bytes:
-        named = token.encode().decode("latin-1").translate(self.names)
+        word = token[1:]
+        if token[0] == " " and word.isascii() and word.isalpha():
+            named = SPACE + word
+        else:
+            named = token.encode().decode("latin-1").translate(self.names)
         ids = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
         if len(self) < CACHE:
             self[token] = ids
         return ids
 
 
-class _Parts(dict):
-    """Ids of what stands between spaces, with the space before it; a part that begins with a line break has none."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encoder.part(part)
-        if len(self) < CACHE:
-            self[part] = ids
-        return ids
-
-
 class Encoder:
     """Ids of texts as unsigned 32-bit arrays; ``added``: added tokens are found in texts."""
 
@@ -91,14 +86,14 @@ class Encoder:
         self.added = re.compile("|".join(contents)).search if contents else None
         self.size = self.tokenizer.get_vocab_size()
         self.split = regex.compile(PRETOKEN).findall
-        self.tokens, self.parts = _Pretokens(self.tokenizer.model), _Parts(self)
+        self.tokens = _Pretokens(self.tokenizer.model)
 
     def piece(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.split(text)))
 
     def part(self, part: str) -> bytes:
         """Ids of a part with its space, or of a text's first part; letters and common marks need no pattern."""
-        lead, core = (part[0], part[1:]) if part[0] in BEGIN + "\n" else (" ", part)
+        lead, core = (part[0], part[1:]) if part[0] in LEADS else (" ", part)
         word = core.rstrip(MARKS)
         if not word.isalpha():
             return self.piece(core if lead == BEGIN else lead + core)
@@ -127,14 +122,9 @@ class Encoder:
             return out
         parts = pc.split_pattern(pa.array(lines, pa.string()), " ")
         coded = parts.values.dictionary_encode()
-        codes, raw = coded.indices.to_numpy(), list(map(self.parts.__getitem__, coded.dictionary.to_pylist()))
-        flat, sizes = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
-        n = sizes[codes]
-        ends = n.cumsum()
-        ids = flat[np.arange(ends[-1]) + np.repeat((sizes.cumsum() - sizes)[codes] - (ends - n), n)]
-        bounds = ends[parts.offsets.to_numpy()[1:] - 1]
-        for i, a, b in zip(at, [0, *bounds[:-1].tolist()], bounds.tolist(), strict=True):
-            out[i] = ids[a:b]
+        codes, raw, cuts = coded.indices.to_numpy(), list(map(self.part, coded.dictionary.to_pylist())), parts.offsets.to_pylist()
+        for i, a, b in zip(at, cuts[:-1], cuts[1:], strict=True):
+            out[i] = np.frombuffer(b"".join(map(raw.__getitem__, codes[a:b].tolist())), "<u4")
         return out
 
     def _apart(self, text: str) -> np.ndarray:
@@ -153,10 +143,17 @@ def encoder(path: str, added: bool = False) -> Encoder:
     return _encoders[path, added]
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of freed batches: an executor's workers share what its JVM leaves."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def release() -> None:
-    """Drop this worker's encoders and what Arrow keeps of freed batches: workers are used again, and other operators' tasks need the memory."""
+    """Drop this worker's encoders and what is kept of freed batches: workers are used again, and other operators' tasks need the memory."""
     _encoders.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def batches(rows: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
