@@ -597,8 +597,9 @@ _SIGN_SQL = """sign as (select s_suppkey as instance_id, (s_suppkey % 17)::small
 def signs(spark, sf):
     k = F.col("s_suppkey")
     d = lambda c, n: c.cast("double") / float(n)
+    r4 = lambda c: F.round(c * 10_000.0) / 10_000.0  # noqa: E731 - the SQL's round is of the product, F.round(c, 4) of c's decimal digits
     return table(spark, sf, "supplier").select(
-        k.alias("instance_id"), (k % 17).cast("smallint").alias("label"), F.round(F.col("s_acctbal") / 5000 + 3.0, 4).alias("d1"), F.round(d(k % 9, 10) + 0.3, 4).alias("d2"), F.round(d(k % 4, 10) + 0.1, 4).alias("d3"),
+        k.alias("instance_id"), (k % 17).cast("smallint").alias("label"), r4(F.col("s_acctbal") / 5000 + 3.0).alias("d1"), r4(d(k % 9, 10) + 0.3).alias("d2"), r4(d(k % 4, 10) + 0.1).alias("d3"),
         d(k % 6, 5).alias("z_extent"), d(k % 8, 4).alias("to_ceiling"), d(k % 10, 10).alias("to_floor"), d(k % 11, 10).alias("verticality"),
         d(k * 3 % 40, 20).alias("cx"), d(k * 7 % 30, 20).alias("cy"), d(k % 3, 10).alias("cz"),
     )
