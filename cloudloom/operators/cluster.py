@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.model import CLUSTER
 from . import features, fits
 from .graph import connected_components
-from .spatial import grid_join, nearest
+from .spatial import nearest, nearest_few
 from .tables import stored
 
 
@@ -22,9 +22,8 @@ def neighbour_edges(points: DataFrame, eps: float, t: dict = CLUSTER) -> DataFra
     smooth: normals within an angle. concave: the points lie in front of each other's surface. Points have pid, x, y, z, nx, ny, nz and perhaps r, g, b.
     """
     columns = ["pid", "x", "y", "z", "nx", "ny", "nz", *(c for c in "rgb" if c in points.columns)]
-    pairs = grid_join(points.select(columns), points.select(columns), eps).where("a_pid <> b_pid")
-    order = Window.partitionBy("a_pid").orderBy("d2", "b_pid")
-    pairs = pairs.withColumn("nth_", F.row_number().over(order)).where(F.col("nth_") <= t["neighbours"])
+    pairs = nearest_few(points, points, t["neighbours"], eps, keep=columns)
+    pairs = pairs.join(points.select(*(F.col(c).alias(f"a_{c}") for c in columns)), "a_pid")
     d = [F.col(f"b_{c}") - F.col(f"a_{c}") for c in "xyz"]
     na, nb = ([F.col(f"{p}_n{c}") for c in "xyz"] for p in "ab")
     dot = lambda u, v: sum((x * y for x, y in zip(u, v, strict=True)), F.lit(0.0))

@@ -83,12 +83,9 @@ def dominant_colour(points: DataFrame, by: list[str], distance: float = 40.0) ->
 
 def local_normals(points: DataFrame, radius: float, most: int = 20, pid: str = "pid") -> DataFrame:
     """(pid, nx, ny, nz): the least axis of the ``most`` nearest points within ``radius``, the point itself with them; null under three points."""
-    from .spatial import grid_join
-    from pyspark.sql import Window
+    from .spatial import nearest_few
 
-    pairs = grid_join(points, points, radius, keep=([pid], [pid, *AXES]))
-    nearest = Window.partitionBy(f"a_{pid}").orderBy("d2", f"b_{pid}")
-    pairs = pairs.withColumn("nth_", F.row_number().over(nearest)).where(F.col("nth_") <= most)
+    pairs = nearest_few(points, points, most, radius, pid, list(AXES), own=True)
     near = pairs.select(F.col(f"a_{pid}").alias(pid), *(F.col(f"b_{c}").alias(c) for c in AXES))
     eigen = with_eigen(scatter_sums(near, [pid]))
     return eigen.select(pid, *(F.when(F.col("n") >= 3, F.element_at("eigen.e3", i + 1)).alias(f"n{c}") for i, c in enumerate(AXES)))

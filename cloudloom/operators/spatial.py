@@ -45,15 +45,72 @@ def grid_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz
     return pairs
 
 
+LEVELS = 10  # the least radius that is tried is the wanted one halved so many times
+TIGHTER = 3  # steps from a radius to its half
+
+
+def _by_level(points: DataFrame, others: DataFrame, radius: float, levels: list[int], pid: str, keep: list[str]) -> DataFrame:
+    """Pairs (a_*, b_*, d2) at most as far apart as the ``reach2_`` of ``points``, which is within the radius of their ``level_``: the wanted one halved ``level_`` times."""
+    size = lambda c: F.lit(float(radius)) / F.pow(F.lit(2.0), F.col(c))
+    a = points.select(*(F.col(c).alias(f"a_{c}") for c in (pid, *"xyz", "reach2_")), "level_")
+    around = F.array(*(F.struct(*(F.lit(o).alias(c) for o, c in zip(off, "xyz", strict=True))) for off in product((-1, 0, 1), repeat=3)))
+    a = a.withColumn("o_", F.explode(around))
+    b = _named(others, "b_", list(dict.fromkeys([*keep, pid, *"xyz"]))).withColumn("level_", F.explode(F.array(*map(F.lit, levels))))
+    a = a.withColumns({f"cell_{c}": F.floor(F.col(f"a_{c}") / size("level_")) + F.col(f"o_.{c}") for c in "xyz"}).drop("o_")
+    b = b.withColumns({f"cell_{c}": F.floor(F.col(f"b_{c}") / size("level_")) for c in "xyz"})
+    keys = ["level_", *(f"cell_{c}" for c in "xyz")]
+    pairs = a.join(b, keys).drop(*keys[1:]).withColumn("d2", squared_distance("a_", "b_"))
+    return pairs.where(F.col("d2") <= F.col("a_reach2_"))
+
+
+def nearest_few(points: DataFrame, others: DataFrame, k: int, radius: float, pid: str = "pid", keep: list[str] | None = None, own: bool = False) -> DataFrame:
+    """Pairs (a_pid, b_pid, columns ``keep`` as b_*, d2, nth_) of each point and its ``k`` nearest of ``others`` within ``radius``, ties to the smaller id.
+
+    Without ``own`` a row of the same id does not count. Where points are dense a smaller
+    radius holds ``k`` of them: each point begins with the least one whose cell holds about
+    as many, and doubles it until they are in reach or it is the wanted one. So pairs follow
+    ``k``, not what a ball of the wanted radius holds.
+    """
+    keep = list(dict.fromkeys([pid, *(keep or [])]))
+    order = Window.partitionBy(f"a_{pid}").orderBy("d2", f"b_{pid}")
+    self_ = F.lit(True) if own else F.col(f"a_{pid}") != F.col(f"b_{pid}")
+    columns = [f"a_{pid}", *(f"b_{c}" for c in keep), "d2"]
+    level = F.explode(F.array(*map(F.lit, range(1, LEVELS + 1)))).alias("level_")
+    cell = [F.floor(F.col(c) / (F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("level_")))).alias(f"cell_{c}") for c in "xyz"]
+    keys = ["level_", *(f"cell_{c}" for c in "xyz")]
+    full = others.select(*"xyz", level).select("level_", *cell).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") * 4 >= k).select(*keys)
+    met = points.select(pid, *"xyz", level).select(pid, "level_", *cell).join(full, keys).groupBy(pid).agg(F.max("level_").alias("level_"))
+    met = stored(met, "levels")
+    rest = points.select(pid, *"xyz").join(met, pid, "left").withColumn("level_", F.coalesce("level_", F.lit(0)))
+    done = rest.where("level_ = 0").withColumn("reach2_", F.lit(float(radius) * float(radius)))
+    rest, settled = rest.where("level_ > 0"), []
+    while levels := sorted(r[0] for r in rest.select("level_").distinct().collect()):
+        asked = rest.withColumn("reach2_", F.pow(F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("level_")), F.lit(2)))
+        pairs = _by_level(asked, others, radius, levels, pid, [pid]).where(self_)
+        steps = [F.col("a_reach2_") * F.lit(2.0 ** (-2 * m / TIGHTER)) for m in range(TIGHTER)]
+        counts = pairs.groupBy(F.col(f"a_{pid}").alias(pid)).agg(*(F.count_if(F.col("d2") <= r).alias(f"n{m}_") for m, r in enumerate(steps)), F.max("a_reach2_").alias("a_reach2_"))
+        reach = F.coalesce(*(F.when(F.col(f"n{m}_") >= k, steps[m]) for m in reversed(range(TIGHTER))))
+        tried = stored(rest.join(counts.select(pid, reach.alias("reach2_")), pid, "left"), "tried")
+        settled.append(tried.where("reach2_ is not null"))
+        rest = tried.where("reach2_ is null").drop("reach2_").withColumn("level_", F.col("level_") - 1)
+        done = done.unionByName(rest.where("level_ = 0").withColumn("reach2_", F.lit(float(radius) * float(radius))))
+        rest = rest.where("level_ > 0")
+    if not settled:
+        pairs = grid_join(points, others, radius, keep=([pid], keep)).where(self_).select(*columns)
+    else:
+        every = done
+        for some in settled:
+            every = every.unionByName(some)
+        every = stored(every, "reach")
+        used = sorted(r[0] for r in every.select("level_").distinct().collect())
+        pairs = _by_level(every, others, radius, used, pid, keep).where(self_).select(*columns)
+    return pairs.withColumn("nth_", F.row_number().over(order)).where(F.col("nth_") <= k)
+
+
 def knn(points: DataFrame, k: int, radius: float, pid: str = "pid", others: DataFrame | None = None) -> DataFrame:
     """(src, dst, d2, rank): the ``k`` nearest within ``radius``, ties to the smaller id. Without ``others`` a point is not its own neighbour."""
-    right = points if others is None else others
-    pairs = grid_join(points, right, radius, keep=([pid], [pid]))
-    if others is None:
-        pairs = pairs.where(F.col(f"a_{pid}") != F.col(f"b_{pid}"))
-    pairs = pairs.select(F.col(f"a_{pid}").alias("src"), F.col(f"b_{pid}").alias("dst"), "d2")
-    order = Window.partitionBy("src").orderBy("d2", "dst")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    pairs = nearest_few(points, points if others is None else others, k, radius, pid, own=others is not None)
+    return pairs.select(F.col(f"a_{pid}").alias("src"), F.col(f"b_{pid}").alias("dst"), "d2", F.col("nth_").alias("rank"))
 
 
 def radius_count(points: DataFrame, radius: float, pid: str = "pid", others: DataFrame | None = None) -> DataFrame:
