@@ -285,7 +285,11 @@ def structural_residual(points: DataFrame, planes: DataFrame, thickness: DataFra
     thin = points.join(thickness.where(F.col("thickness") <= t["residual_thickness"]).select(by), by, "left_semi").select(by, "x", "y", "z")
     sizes = thin.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
     close = F.abs(F.col("w_a") * F.col("x") + F.col("w_b") * F.col("y") + F.col("w_c") * F.col("z") + F.col("w_d")) <= t["residual_distance"]
-    held = in_boxes(thin, _widened(planes, F.col("margin")), [by]).where(close).groupBy(by, "w_ord", "w_code").agg(F.count(F.lit(1)).alias("on_"))
+    # planes that are alike hold the same points, so the first of them is enough; a plane of several boxes is alike another of the same ones
+    shape = ["a", "b", "c", "d", "margin", *(f"{c}{e}" for c in "xyz" for e in (0, 1))]
+    whole = planes.groupBy("ord", "code").agg(F.array_sort(F.collect_list(F.struct(*shape))).alias("boxes_"))
+    first = whole.groupBy("boxes_").agg(F.min(F.struct("ord", "code")).alias("o_")).select("o_.*", F.explode("boxes_").alias("b_")).select("ord", "code", "b_.*")
+    held = in_boxes(thin, _widened(stored(first, "planes"), F.col("margin")), [by]).where(close).groupBy(by, "w_ord", "w_code").agg(F.count(F.lit(1)).alias("on_"))
     good = held.join(sizes, by).where(F.col("on_") >= t["residual_share"] * F.col("n_"))
     return good.groupBy(by).agg(F.min_by("w_code", "w_ord").alias("code"))
 
