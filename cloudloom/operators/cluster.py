@@ -125,10 +125,12 @@ def split_giants(points: DataFrame, ceiling: float, floors: list[float], t: dict
     """(pid, by, part): clusters longer than ``giant`` in plan are cut: the band under the ceiling by distance, the rest by level and erosion. -1 is a scrap.
 
     Erosion is tried with its radius, and with twice and four times it, while one block stays larger than ``giant``.
+    A task holds a cluster's places: points of the same coordinates are one, with their number.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pid")
+        pdf = pdf.sort_values("first_")
+        many = pdf["n_"].to_numpy()
         p = pdf[["x", "y", "z"]].to_numpy(float)
         part = np.zeros(len(p), int)
         if len(p) and np.ptp(p[:, :2], axis=0).max() > t["giant"]:
@@ -140,12 +142,12 @@ def split_giants(points: DataFrame, ceiling: float, floors: list[float], t: dict
                 mine = np.flatnonzero(level == k)
                 if k == len(floors) + 1:
                     sub = fits.components_within(p[mine], t["eps"] * 2)
-                    small = np.bincount(sub)[sub] < t["least"]
+                    small = np.bincount(sub, many[mine])[sub] < t["least"]
                 else:
                     sub, radius = np.zeros(len(mine), int), t["erosion"]
                     if np.ptp(p[mine, :2], axis=0).max() >= t["erosion_side"]:
                         while radius <= 4 * t["erosion"]:
-                            sub = fits.erosion_split(p[mine], radius, t["erosion_cell"], t["instance"])
+                            sub = fits.erosion_split(p[mine], radius, t["erosion_cell"], t["instance"], many[mine])
                             widest = max((np.ptp(p[mine[sub == s], :2], axis=0).max() for s in np.unique(sub[sub >= 0])), default=0)
                             if widest <= t["giant"]:
                                 break
@@ -153,6 +155,11 @@ def split_giants(points: DataFrame, ceiling: float, floors: list[float], t: dict
                     small = sub < 0
                 part[mine] = np.where(small, -1, sub + at)
                 at += int(sub.max()) + 1 if len(sub) else 0
-        return pd.DataFrame({"pid": pdf["pid"].to_numpy(), by: pdf[by].to_numpy(), "part": part})
-
-    return points.select("pid", by, "x", "y", "z").groupBy(by).applyInPandas(run, f"pid long, {by} long, part int")
+        return pdf[[by, "x", "y", "z"]].assign(part=part)
+
+    kind = {f.name: f.dataType.simpleString() for f in points.schema}
+    place = [by, "x", "y", "z"]
+    places = points.groupBy(*place).agg(F.min("pid").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    cut = places.groupBy(by).applyInPandas(run, ", ".join([*(f"{c} {kind[c]}" for c in place), "part int"]))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in place]
+    return points.alias("p").join(cut.alias("c"), same).select(F.col("p.pid").cast("long").alias("pid"), F.col(f"p.{by}").cast("long").alias(by), "c.part")
